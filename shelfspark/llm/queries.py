@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, huffman, quality, substring, suffix, tokens
+from shelfspark.llm import decontaminate, huffman, licenses, packing, quality, substring, suffix, tokens, warc
 from shelfspark.llm.common import table
 
 
+def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,12 +41,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_warc_packages": op1_warc_packages,
+    "op2_length_buckets": op2_length_buckets,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_winnowing": op5_winnowing,
     "op7_token_id_files": op7_token_id_files,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 SQL: dict[str, str] = {}
