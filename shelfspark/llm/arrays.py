@@ -187,3 +187,19 @@ def per_document(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags each document has."""
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def shingles(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's runs of n symbols (of fewer: the whole sequence as one) and the documents' offsets into them."""
+    size = np.diff(at)
+    counts = np.where(size >= n, size - n + 1, (size > 0).astype(np.int64))
+    to = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(int(to[-1]), np.uint64)
+    full = np.repeat(size >= n, counts)
+    if full.any():
+        out[full] = ngrams(h, n)[ragged(at[:-1], counts)[full]]
+    for m in range(1, n):
+        few = np.flatnonzero(size == m)
+        if len(few):
+            out[to[few]] = ngrams(h, m, 50 + m)[at[few]]
+    return out, to

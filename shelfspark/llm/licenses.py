@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfspark.llm.arrays import LOWER, NOT_ALNUM, chunks, constants, mix, ngrams, ragged, word_hashes, words
+from shelfspark.llm.arrays import LOWER, NOT_ALNUM, chunks, constants, mix, ragged, shingles, word_hashes, words
 from shelfspark.llm.common import bounded_batches
 
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
@@ -39,21 +39,10 @@ _ODD = constants(515, BANDS)
 _ADD = constants(616, BANDS)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of each document (of fewer words: the whole sequence as one) and the documents' offsets into them."""
+def doc_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     s, e, at = words(low, offsets, NOT_ALNUM)
-    h = word_hashes(low, s, e)
-    n = np.diff(at)
-    counts = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
-    to = np.concatenate([[0], np.cumsum(counts)])
-    out = np.zeros(int(to[-1]), np.uint64)
-    full = np.repeat(n >= SHINGLE, counts)
-    grams = ngrams(h, SHINGLE)
-    out[full] = grams[ragged(at[:-1], counts)[full]] if full.any() else 0
-    for k in np.flatnonzero((n > 0) & (n < SHINGLE)).tolist():
-        out[to[k]] = ngrams(h[at[k] : at[k + 1]], int(n[k]), 50 + int(n[k]))[0]
-    return out, to
+    return shingles(word_hashes(low, s, e), at, SHINGLE)
 
 
 class TemplateIndex:
@@ -64,7 +53,7 @@ class TemplateIndex:
         self.sets, by_size = [], {}
         for k, name in enumerate(self.names):
             raw = np.frombuffer(templates[name].encode(), np.uint8)
-            own = np.unique(shingles(raw, np.array([0, len(raw)]))[0])
+            own = np.unique(doc_shingles(raw, np.array([0, len(raw)]))[0])
             self.sets.append(own)
             if len(own):
                 by_size.setdefault(max(1, 1 << (len(own) - 1).bit_length()), []).append(k)
@@ -78,7 +67,7 @@ class TemplateIndex:
 
     def scan(self, data: np.ndarray, offsets: np.ndarray, most_missing: bool = True) -> list[dict[int, float]]:
         """For each document its templates with their containment. most_missing: retrieve by MinHash; else try every window (for tests)."""
-        values, at = shingles(data, offsets)
+        values, at = doc_shingles(data, offsets)
         found: list[dict[int, float]] = [{} for _ in range(len(at) - 1)]
         if not len(values):
             return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, huffman, licenses, packing, quality, substring, suffix, tokens, warc
+from shelfspark.llm import decontaminate, huffman, jaccard, licenses, packing, quality, substring, suffix, tokens, warc
 from shelfspark.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_ids(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_winnowing": op5_winnowing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_id_files": op7_token_id_files,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
