@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(pa.array(mine, pa.int64())) for c in (batch.column(2), batch.column(3), batch.column(0))), pa.array([values[at[k] : at[k + 1]].tobytes() for k in mine], pa.binary())], names=["family", "blocks", "cid", "items"])
 
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    with_text = members.join(texts, F.col("doc_id").eqNullSafe(F.col("k"))).select("cid", "t", "family", "blocks")
+    # merged at every size: neither side has a bound that would allow a broadcast
+    with_text = members.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("k"))).select("cid", "t", "family", "blocks")
     items = with_text.mapInArrow(sets, "family long, blocks int, cid binary, items binary").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a family of one block has one pair of blocks; a larger one is compared block by block
     dealt = items.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "items")
