@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.arrays import Rolling, chunks, mix, ragged, sliding_min, valid_starts
 from shelfspark.llm.common import shard_count
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _ONE, _TWO = Rolling(101), Rolling(202)
 _LOW = np.uint64(0xFFFFFFFF)
 _BACK = np.iinfo(np.int64).min
