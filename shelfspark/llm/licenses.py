@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfspark.llm.arrays import LOWER, NOT_ALNUM, chunks, constants, mix, ragged, shingles, word_hashes, words
+from shelfspark.llm.arrays import LOWER, NOT_ALNUM, chunks, constants, ragged, shingles, word_hashes, words
 from shelfspark.llm.common import bounded_batches
 
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
@@ -36,7 +36,7 @@ TEMPLATES = {
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
 _ODD = constants(515, BANDS)
-_ADD = constants(616, BANDS)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def doc_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +60,7 @@ class TemplateIndex:
         #: half a window: (templates, their MinHash values, filter of leading bits)
         self.levels = {}
         for half, which in sorted(by_size.items()):
-            values = np.stack([[mix(self.sets[k] * _ODD[b] + _ADD[b]).min() for b in range(BANDS)] for k in which])
+            values = np.stack([[(self.sets[k] * _ODD[b]).min() for b in range(BANDS)] for k in which])
             bits = np.zeros((BANDS, 1 << 16), bool)
             bits[np.arange(BANDS)[None, :], (values >> np.uint64(48)).astype(np.int64)] = True
             self.levels[half] = (np.array(which), values, bits)
@@ -73,25 +73,34 @@ class TemplateIndex:
             return found
         candidates = set()
         if most_missing:
+            # documents padded to whole blocks of every size, so that a level is the minima of neighbours of the one before
+            whole = max(self.levels, default=1)
+            room = -(-np.diff(at) // whole) * whole
+            border = np.concatenate([[0], np.cumsum(room)])
+            place = ragged(border[:-1], np.diff(at))
+            empty = np.ones(int(border[-1]), bool)
+            empty[place] = False
+            empty = np.flatnonzero(empty)
+            padded = np.zeros(int(border[-1]), np.uint64)
+            padded[place] = values
             for b in range(BANDS):
-                least, border, size = mix(values * _ODD[b] + _ADD[b]), at, 1
+                least, size = padded * _ODD[b], 1
+                least[empty] = _MOST
                 for half, (which, known, bits) in self.levels.items():
-                    while size < half:  # join pairs of blocks of each document
-                        counts = np.diff(border)
-                        new = (counts + 1) // 2
-                        heads = ragged(np.zeros(len(new), np.int64), new) * 2 + np.repeat(border[:-1], new)
-                        least, border, size = np.minimum.reduceat(least, heads), np.concatenate([[0], np.cumsum(new)]), size * 2
+                    while size < half:
+                        least, size = np.minimum(least[::2], least[1::2]), size * 2
                     maybe = np.flatnonzero(bits[b][(least >> np.uint64(48)).astype(np.int64)])
                     for i in maybe.tolist():
-                        d = int(np.searchsorted(border, i, "right")) - 1
-                        block = i - int(border[d])
-                        for j in np.flatnonzero(known[:, b] == least[i]).tolist():
-                            # the block is in the windows that start at it and at the one before; each must have this minimum
-                            for w in (block - 1, block):
-                                other = i - 1 if w < block else i + 1
-                                inside = border[d] <= other < border[d + 1]
-                                if w >= 0 and (not inside or least[other] >= least[i]):
-                                    candidates.add((d, int(which[j]), w, half))
+                        same = np.flatnonzero(known[:, b] == least[i]).tolist()
+                        if not same:
+                            continue
+                        d = int(np.searchsorted(border, i * half, "right")) - 1
+                        block = i - int(border[d]) // half
+                        # the block is in the windows that start at it and at the one before; each must have this minimum
+                        for w, other in ((block - 1, i - 1), (block, i + 1)):
+                            inside = border[d] <= other * half < border[d + 1]
+                            if w >= 0 and (not inside or least[other] >= least[i]):
+                                candidates |= {(d, int(which[j]), w, half) for j in same}
         else:
             for half, (which, _, _) in self.levels.items():
                 candidates |= {(d, int(k), w, half) for d in range(len(at) - 1) for w in range(-(-int(at[d + 1] - at[d]) // half)) for k in which}

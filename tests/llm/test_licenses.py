@@ -42,5 +42,5 @@ def test_misses_are_rare():
     for _ in range(300):
         template = rng.integers(0, 2**63, 10).astype(np.uint64)
         window = np.concatenate([template, rng.integers(0, 2**63, 30).astype(np.uint64)])
-        missed += not any(L.mix(template * L._ODD[b] + L._ADD[b]).min() == L.mix(window * L._ODD[b] + L._ADD[b]).min() for b in range(L.BANDS))
+        missed += not any((template * L._ODD[b]).min() == (window * L._ODD[b]).min() for b in range(L.BANDS))
     assert missed == 0
