@@ -185,11 +185,17 @@ def _destination(a: np.ndarray, parts: int) -> np.ndarray:
     return (((a >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def _cuts(a: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index partitions that a run has keys for, and where each one's begin in it (and the end). The work follows the run, not the number of partitions."""
+    d = _destination(a, parts)
+    first = np.flatnonzero(np.append(True, d[1:] != d[:-1])[: len(d)])
+    return d[first], np.append(first, len(a))
+
+
 def _runs(a: np.ndarray, b: np.ndarray, v: np.ndarray, parts: int, src: int) -> pa.Table:
-    cut = np.searchsorted(_destination(a, parts), np.arange(parts + 1))
-    some = np.flatnonzero(np.diff(cut))
-    piece = lambda x: pa.array([x[cut[d] : cut[d + 1]].tobytes() for d in some], pa.binary())
-    return pa.table({"dest": pa.array(some, pa.int32()), "src": pa.array(np.full(len(some), src), pa.int32()), "a": piece(a), "b": piece(b), "v": piece(v)})
+    dests, cut = _cuts(a, parts)
+    piece = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
+    return pa.table({"dest": pa.array(dests, pa.int32()), "src": pa.array(np.full(len(dests), src), pa.int32()), "a": piece(a), "b": piece(b), "v": piece(v)})
 
 
 def _index(rule: Rule, level: int) -> Callable[[pa.Table], pa.Table]:
@@ -227,11 +233,12 @@ def _index(rule: Rule, level: int) -> Callable[[pa.Table], pa.Table]:
 def _answers(table: pa.Table, level: int, a: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """The answers in the order of the run a."""
     out = np.zeros((len(a), bits), bool)
-    cut = np.searchsorted(_destination(a, parts), np.arange(parts + 1))
-    for lv, d, x in zip(table.column("level").to_pylist(), table.column("dest").to_pylist(), table.column("answer"), strict=True):
+    dests, cut = _cuts(a, parts)
+    place = np.searchsorted(dests, table.column("dest").to_numpy())
+    for lv, k, x in zip(table.column("level").to_pylist(), place.tolist(), table.column("answer"), strict=True):
         if lv == level:
-            n = cut[d + 1] - cut[d]
-            out[cut[d] : cut[d + 1]] = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n * bits).reshape(n, bits).astype(bool)
+            n = cut[k + 1] - cut[k]
+            out[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n * bits).reshape(n, bits).astype(bool)
     return out
 
 
