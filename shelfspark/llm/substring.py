@@ -22,6 +22,7 @@ from shelfspark.llm.arrays import per_document, ragged, word_hashes, words
 from shelfspark.llm.repeats import SHARD_BYTES, Rule, repeated_windows
 
 RULE = Rule(window=13, gram=4, ordered=True)
+DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _read(data, offsets):
@@ -43,21 +44,22 @@ def kept_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray, g
     return memoryview(out), border[:-1], np.maximum(border[1:] - 1, border[:-1])
 
 
-def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = RULE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+def digest_rows(table: pa.Table, pieces) -> pa.Table:
+    """The rows of a shard with the digest of what is kept; pieces: its chunks with the flags of repeated words."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    ids, rows = table.column("__id").combine_chunks(), []
+    for piece, gone in pieces:
+        s, e, data, _ = piece.extra
+        raw, a, b = kept_words(data, s, e, piece.at, gone)
+        digest = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        rows.append(pa.table([ids.slice(piece.first_row, len(a)), np.diff(piece.at), per_document(gone, piece.at), digest], names=names))
+    return pa.concat_tables(rows) if rows else pa.table([pa.array([], t) for t in types], names=names)
 
-    def finish(table, pieces):
-        ids, rows = table.column("__id").combine_chunks(), []
-        for piece, gone in pieces:
-            s, e, data, _ = piece.extra
-            raw, a, b = kept_words(data, s, e, piece.at, gone)
-            digest = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            rows.append(pa.table([ids.slice(piece.first_row, len(a)), np.diff(piece.at), per_document(gone, piece.at), digest], names=names))
-        return pa.concat_tables(rows) if rows else pa.table([pa.array([], t) for t in types], names=names)
 
-    return repeated_windows(docs.select(F.col(key), F.col(text)), rule, _read, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", key=key, text=text, shard_bytes=shard_bytes)
+def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = RULE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+    return repeated_windows(docs.select(F.col(key), F.col(text)), rule, _read, digest_rows, DIGEST, key=key, text=text, shard_bytes=shard_bytes)
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", rule: Rule = RULE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
