@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import names as N
 from shelfspark.operators import catalogue as C
-from shelfspark.operators.resolve import first_wins, keeper, latest_distinct, preferred_first, reconcile, tier_ladder
+from shelfspark.operators import collections as L
+from shelfspark.operators.resolve import contained_pick, first_wins, keeper, latest_distinct, preferred_first, reconcile, tier_ladder
 from shelfspark.plans import organize as P
 
 QUERIES: dict = {}
@@ -227,14 +228,7 @@ def provider_ladder(spark, d):
 @query("WITH p AS (SELECT p_partkey, p_brand, lower(p_name) AS k FROM part), j AS (SELECT a.p_partkey, b.p_partkey AS other FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.k = b.k OR (length(a.k) >= 12 AND length(b.k) >= 12 AND (contains(a.k, b.k) OR contains(b.k, a.k)))) SELECT p_partkey, min(other) AS pick FROM j GROUP BY p_partkey")
 def substring_pick(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", F.lower("p_name").alias("k"))
-    # equal names are combined first, so what meets under a brand is its distinct names
-    names = p.groupBy("p_brand", "k").agg(F.min("p_partkey").alias("least"), F.sort_array(F.collect_list("p_partkey")).alias("keys"))
-    other = names.select("p_brand", F.col("k").alias("k2"), F.col("least").alias("least2"))
-    near = names.join(other, "p_brand").where((F.col("k") != F.col("k2")) & (F.length("k") >= 12) & (F.length("k2") >= 12) & (F.col("k").contains(F.col("k2")) | F.col("k2").contains(F.col("k"))))
-    near = near.groupBy("p_brand", "k").agg(F.min("least2").alias("near"))
-    rows = names.join(near, ["p_brand", "k"], "left").select(F.explode("keys").alias("p_partkey"), "keys", "near")
-    own = F.when(F.col("p_partkey") != F.col("keys")[0], F.col("keys")[0]).otherwise(F.try_element_at("keys", F.lit(2)))
-    return rows.select("p_partkey", F.least(own, "near").alias("pick")).where("pick IS NOT NULL")
+    return contained_pick(p, "p_brand", "k", "p_partkey").where("pick IS NOT NULL")
 
 
 # ---- names
@@ -500,9 +494,10 @@ def json_synonyms(spark, d):
 
 @query("WITH i AS (SELECT c_custkey, unnest([c_nationkey, c_nationkey + 1, 99]) AS k, unnest([1, 2, 3]) AS o FROM customer) SELECT c_custkey, string_agg(coalesce(n_name, CAST(k AS VARCHAR)), ', ' ORDER BY o) AS names FROM i LEFT JOIN nation ON n_nationkey = k GROUP BY c_custkey")
 def id_list_resolve(spark, d):
-    names = table(spark, d, "nation").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("m"))  # 25 fixed rows
     ids = F.array(F.col("c_nationkey"), F.col("c_nationkey") + 1, F.lit(99))
-    return table(spark, d, "customer").crossJoin(F.broadcast(names)).select("c_custkey", F.array_join(F.transform(ids, lambda i: F.coalesce(F.col("m")[i], i.cast("string"))), ", ").alias("names"))
+    rows = table(spark, d, "customer").select("c_custkey", F.posexplode(ids).alias("at", "n_nationkey")).join(table(spark, d, "nation"), "n_nationkey", "left")
+    named = rows.groupBy("c_custkey").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n_name", F.col("n_nationkey").cast("string")).alias("n")))).alias("l"))  # three for each row
+    return named.select("c_custkey", F.array_join("l.n", ", ").alias("names"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 3")
@@ -514,3 +509,22 @@ def quota_cut(spark, d):
 @query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' ELSE 'both' END AS side FROM documents LEFT JOIN labels l USING (doc_id)")
 def reconcile_sides(spark, d):
     return reconcile(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), ["doc_id"]).select("doc_id", "side")
+
+
+# ---- collections and destinations
+
+
+@query("WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'), m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'R') SELECT o.o_orderkey AS id, o.o_orderstatus = 'F' AS is_system, CAST(count(l_partkey) AS BIGINT) AS n_members FROM orders o LEFT JOIN m ON l_orderkey = o_orderkey WHERE o.o_orderkey NOT IN (SELECT o_orderkey FROM gone) GROUP BY 1, 2")
+def collection_edits(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("name"), (F.col("o_orderstatus") == "F").alias("is_system"), "o_orderpriority")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("collection_id"), F.col("l_partkey").alias("rom_id"), "l_returnflag")
+    members = L.add_members(lines.where("l_returnflag = 'N'").dropDuplicates(["collection_id", "rom_id"]), lines.where("l_returnflag = 'A'"))
+    kept, members, _ = L.delete(orders.drop("o_orderpriority"), members, orders.where("o_orderpriority = '1-URGENT'"))
+    return L.sizes(kept, members).select("id", "is_system", "n_members")
+
+
+@query("WITH s AS (SELECT p_name, min(p_partkey) AS i FROM part WHERE p_size > 30 GROUP BY 1), n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY concat('/mnt/', p_partkey)) AS k FROM part WHERE p_partkey NOT IN (SELECT i FROM s)) SELECT concat('/mnt/', s.i) AS target_path, s.p_name AS name, FALSE AS is_new FROM s UNION ALL SELECT concat('/mnt/', p_partkey), CASE WHEN s.i IS NULL AND k = 1 THEN n.p_name ELSE concat(n.p_name, ' (', k + CASE WHEN s.i IS NULL THEN 0 ELSE 1 END, ')') END, TRUE FROM n LEFT JOIN s ON s.p_name = n.p_name")
+def destination_names(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("/mnt/"), "p_partkey").alias("target_path"), F.col("p_brand").alias("profile_id"), "p_size")
+    saved = first_wins(part.where("p_size > 30").drop("p_size"), ["name"], [F.col("id")])
+    return L.ensure_destinations(saved, part).select("target_path", "name", "is_new")

@@ -57,3 +57,27 @@ def preferred_first(df: DataFrame, group: list[str], flag: str, key: str) -> Dat
     """If no row of a group is flagged, the one with the least key is."""
     w = Window.partitionBy(*group)
     return df.withColumn(flag, F.when((F.max(F.col(flag)).over(w) == 0) & (F.col(key) == F.min(key).over(w)), 1).otherwise(F.col(flag)))
+
+
+def contained_pick(items: DataFrame, group: str, text: str, key: str, least: int = 12) -> DataFrame:
+    """key and pick: the least other key of the group whose text is equal or, both of ``least`` characters or more, contains this one or lies in it.
+
+    Keys are unique; rows without such another have a null pick. Texts of a group aren't paired: substrings of a text that begin as some text
+    of the group does are joined with the texts by equality. Texts are titles: the work grows with the square of their length, not of their number.
+    """
+    rows = items.select(F.col(group).alias("g"), F.col(text).alias("t"), F.col(key).alias("i"))
+    first = rows.groupBy("g", "t").agg(F.min("i").alias("first"))
+    rows = rows.join(first, ["g", "t"], "left")
+    second = rows.where("i <> first").groupBy("g", "t").agg(F.min("i").alias("second"))
+    long = first.where(F.length("t") >= least)
+    heads = long.select("g", F.left("t", F.lit(least)).alias("head")).distinct()
+    starts = long.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("t") - (least - 1)))).withColumn("head", F.substr("t", F.col("at"), F.lit(least)))
+    starts = starts.join(heads, ["g", "head"], "left_semi")
+    ends = F.sequence(F.lit(least), F.length("t") - F.col("at") + 1)
+    parts = starts.select("g", "t", "first", F.explode(F.transform(ends, lambda n: F.substr("t", F.col("at"), n))).alias("part")).where("part <> t")
+    hits = parts.join(long.select("g", F.col("t").alias("part"), F.col("first").alias("inner")), ["g", "part"])
+    near = hits.select("g", "t", F.col("inner").alias("near")).unionByName(hits.select("g", F.col("part").alias("t"), F.col("first").alias("near")))
+    near = near.groupBy("g", "t").agg(F.min("near").alias("near"))
+    out = rows.join(second, ["g", "t"], "left").join(near, ["g", "t"], "left")
+    own = F.when(F.col("i") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return out.select(F.col("i").alias(key), F.least(own, "near").alias("pick"))
