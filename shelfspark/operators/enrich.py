@@ -103,3 +103,52 @@ def spread_to_siblings(values: DataFrame, items: DataFrame, keys: list[list[str]
         if got.isEmpty():
             return have
         have = have.unionByName(got)
+
+
+def set_preferred(covers: DataFrame, chosen: DataFrame) -> DataFrame:
+    """covers (id, rom_id, cover_type, is_preferred) where of each group with a chosen cover that one alone is preferred (of several the least id)."""
+    group = ["rom_id", "cover_type"]
+    best = covers.join(chosen.select("id").distinct(), "id", "left_semi").groupBy(*group).agg(F.min("id").alias("_best"))
+    out = covers.join(best, group, "left")
+    return out.withColumn("is_preferred", F.when(F.col("_best").isNull(), F.col("is_preferred")).otherwise(F.col("id") == F.col("_best"))).select(*covers.columns)
+
+
+def details(items: DataFrame, metadata: DataFrame, hashes: DataFrame, favourites: DataFrame) -> DataFrame:
+    """What a detail view shows of each item: display title, registry name, release, short hash, size and membership; blank values are null.
+
+    items: id, filename, title, canonical_name, dat_match, match_confidence, size_bytes; metadata: rom_id, release_date, release_year;
+    hashes: rom_id, sha1; favourites: rom_id. One row of metadata and hashes for each item at most.
+    """
+    blank = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    m = metadata.select(F.col("rom_id").alias("id"), F.coalesce(blank("release_date"), blank("release_year")).alias("released"))
+    h = hashes.where("sha1 IS NOT NULL").select(F.col("rom_id").alias("id"), N.short_hash(F.col("sha1")).alias("sha1_short"))
+    fav = favourites.select(F.col("rom_id").alias("id"), F.lit(True).alias("_fav")).distinct()
+    out = items.join(m, "id", "left").join(h, "id", "left").join(fav, "id", "left")
+    registry = F.coalesce(F.when(F.col("match_confidence") == "dat_verified", blank("dat_match")), blank("canonical_name"))
+    size = F.when(F.col("size_bytes") > 0, N.size_text(F.col("size_bytes")))
+    return out.select("id", F.coalesce(blank("canonical_name"), blank("title"), blank("filename"), F.lit("")).alias("display_title"), registry.alias("registry_name"), "released", "sha1_short", size.alias("size_text"), F.col("_fav").isNotNull().alias("is_favourite"))
+
+
+def destination_systems(files: DataFrame, mappings: DataFrame, base_path: str = "") -> DataFrame:
+    """files (rel_path) of a destination with system_id, by their first folder below the base path, and landing_path in the library.
+
+    Leading segments that equal those of the base path in any case are taken off one by one. mappings: system_id, folder; of systems that share
+    a folder the least id. A file of no known folder lands in _unsorted.
+    """
+    parts = F.split("rel_path", "/")
+    for segment in (s for s in base_path.replace("\\", "/").split("/") if s):
+        parts = F.when(F.lower(F.get(parts, F.lit(0))) == segment.lower(), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    known = mappings.where("folder <> ''").groupBy(F.lower("folder").alias("_folder")).agg(F.min("system_id").alias("system_id"))
+    out = files.withColumn("_first", F.lower(F.get(parts, F.lit(0)))).join(known, F.col("_first") == F.col("_folder"), "left")
+    return out.select(*files.columns, "system_id", F.concat_ws("/", F.coalesce("system_id", F.lit("_unsorted")), N.base_name(F.col("rel_path"))).alias("landing_path"))
+
+
+def signature_matches(previous: Column, current: Column) -> Column:
+    """A destination without a signature is a first visit and so matches."""
+    return F.coalesce(previous, F.lit("")).isin("") | F.coalesce(previous == current, F.lit(False))
+
+
+def file_totals(files: DataFrame) -> DataFrame:
+    """One row: n_files, n_bytes, largest of a listing (size_bytes); zeros if it is empty."""
+    zero = F.lit(0)
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size_bytes"), zero).alias("n_bytes"), F.coalesce(F.max("size_bytes"), zero).alias("largest"))

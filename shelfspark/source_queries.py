@@ -12,10 +12,12 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from shelfspark.catalogue_queries import _A, files, table
+from shelfspark.catalogue_queries import _A, _RANK, files, table
 from shelfspark.functions import content as B
 from shelfspark.functions import names as N
 from shelfspark.operators import enrich as E
+from shelfspark.plans import organize as P
+from shelfspark.plans import saved as S
 from shelfspark.sources import profiles as Y
 from shelfspark.sources import registries as R
 from shelfspark.sources import sinks as K
@@ -222,6 +224,43 @@ def sibling_spread(spark, d):
     return E.spread_to_siblings(values, a, [["sha1"]])
 
 
+@query(f"WITH {_A} SELECT a.id, coalesce(a.dat_match, a.filename) AS display_title, a.dat_match AS registry_name, CASE l.quality WHEN 1 THEN '1990-01-02' WHEN 0 THEN '1991' END AS released, CASE WHEN NOT a.is_hack THEN concat(left(a.sha1, 8), '…', right(a.sha1, 4)) END AS sha1_short, coalesce(l.toxic = 1, FALSE) AS is_favourite FROM a LEFT JOIN labels l ON l.doc_id = a.id")
+def detail_view(spark, d):
+    a, labels = files(spark, d), table(spark, d, "labels")
+    items = a.select("id", "filename", F.lit("").alias("title"), F.col("dat_match").alias("canonical_name"), "dat_match", "match_confidence", "size_bytes")
+    metadata = labels.select(F.col("doc_id").alias("rom_id"), F.when(F.col("quality") == 1, "1990-01-02").otherwise("").alias("release_date"), F.lit(1991).alias("release_year"))
+    hashes = a.where("NOT is_hack").select(F.col("id").alias("rom_id"), "sha1")
+    return E.details(items, metadata, hashes, labels.where("toxic = 1").select(F.col("doc_id").alias("rom_id"))).drop("size_text")
+
+
+@query(f"WITH {_A} SELECT id, CASE WHEN system_id IN ('en', 'de') THEN system_id END AS system_id, concat(CASE WHEN system_id IN ('en', 'de') THEN system_id ELSE '_unsorted' END, '/', filename) AS landing_path FROM a")
+def pull_landing(spark, d):
+    a = files(spark, d)
+    mappings = a.select("system_id").distinct().where("system_id IN ('en', 'de')").withColumn("folder", F.upper("system_id"))
+    there = a.select("id", F.concat(F.lit("ROMs/"), F.when(F.col("is_hack"), F.upper("system_id")).otherwise(F.col("system_id")), F.lit("/sub/"), "filename").alias("rel_path"))
+    return E.destination_systems(there, mappings, "roms").drop("rel_path")
+
+
+@query("WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS p, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) OVER w AS any_chosen, min(CASE WHEN l_linestatus = 'F' THEN l_linenumber END) OVER w AS best FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN any_chosen = 1 THEN l_linenumber = best ELSE p END AS is_preferred FROM c")
+def preferred_covers(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("rom_id"), F.lit("Named_Boxarts").alias("cover_type"), (F.col("l_returnflag") == "R").alias("is_preferred"), "l_linestatus")
+    return E.set_preferred(rows.drop("l_linestatus"), rows.where("l_linestatus = 'F'")).select("id", "is_preferred")
+
+
+@query(f"WITH {_A}, k AS (SELECT id, path, row_number() OVER w AS rn, first_value(id) OVER w AS keeper_id, first_value(path) OVER w AS keeper_path FROM a WHERE NOT is_hack WINDOW w AS (PARTITION BY sha1 ORDER BY {_RANK}, length(filename), id)) SELECT 'delete_duplicate' AS kind, id AS rom_id, keeper_id AS target_rom_id, path AS source_path, keeper_path AS target_path, concat('same content as ', keeper_path) AS reason FROM k WHERE rn > 1 AND id NOT IN (SELECT doc_id FROM labels)")
+def saved_plan(spark, d):
+    a = files(spark, d)
+    plan, root = P.duplicates(a), shared_dir(spark, "plans")
+    S.save(plan, root, 1, 1, "organize")
+    unlabelled = a.join(table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").select(F.col("id").alias("rom_id"))
+    return S.approved(S.load(spark, root, 1, plan.schema), unlabelled, ["rom_id"])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_bytes, CAST(max(n_chars) AS BIGINT) AS largest FROM documents")
+def staging_size(spark, d):
+    return E.file_totals(files(spark, d))
+
+
 # ---- the streamed catalogue
 
 
