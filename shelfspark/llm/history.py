@@ -11,7 +11,8 @@ no earlier run has.  Runs of like size are merged, so there are about log2(batch
 
 An index takes 16 bytes for each distinct window.  Shards of documents send each of their windows once, so a passage that every
 document holds is one row for each shard.  The list of live runs is written after the runs themselves: a batch that failed leaves
-nothing that later ones read, and can be added again.  Batches are added one at a time.
+nothing that later ones read, and can be added again; one that was taken in would lose all its windows to itself.  Batches are added
+one at a time.  Merged runs stay under root/runs until someone deletes those that ``runs`` doesn't name.
 
 Defined results: those of ``substring``, and a window of an earlier batch counts as one of a smaller doc_id, except for documents
 without a doc_id, which are smaller than all others and lose nothing.  If ids rise from batch to batch, all batches together give
