@@ -43,6 +43,7 @@ def ensure_destinations(destinations: DataFrame, wanted: DataFrame) -> DataFrame
 
     destinations: id, name, target_path, profile_id; wanted: target_path, profile_id, name (the name it should have). A name that is
     taken gets the next free " (n)" from 2 on, in the order of paths; of several rows of a path the least profile and name count.
+    A wanted name that itself ends in such a number counts as a name like any other, so two new rows may meet there.
     """
     saved = destinations.where("target_path IS NOT NULL").groupBy("target_path").agg(F.min_by(F.struct("name", "profile_id"), "id").alias("s"))
     paths = wanted.where("target_path IS NOT NULL").groupBy("target_path").agg(F.min(F.struct("profile_id", "name")).alias("w"))
