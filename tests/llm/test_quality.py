@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import quality as Q
 
@@ -97,3 +99,49 @@ def test_query(spark, tiny):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{tiny}/labels.parquet").collect()}
     judged = [(r[-1], labels[r[0]]) for r in got if r[0] in labels and not r[-2]]
     assert all(k for k, q in judged if q == 1)
+
+
+def labelled(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+def shares(judged):
+    """(band, label) -> (rejected, all) of the rows that pass the base rules."""
+    out = Counter()
+    for r in judged.where("not base_failed").collect():
+        band = next(n for n in (300, 100, 50) if r["n_words"] >= n)
+        out[band, r["label"], r["kept"]] += 1
+    return {(n, q): (out[n, q, False], out[n, q, False] + out[n, q, True]) for n in (50, 100, 300) for q in (0, 1)}
+
+
+@pytest.mark.parametrize("tag", ["und", "xx", "", "qq", "es", None])
+def test_tags_do_not_excuse_junk(spark, sf, tag):
+    """Junk with a tag of its own, or most of what a tag has, stays as far from the references as under any other tag."""
+    docs = labelled(spark, sf).withColumn("lang", F.when(F.col("label") == 0, F.lit(tag)).when(F.col("lang") == "es", "en").otherwise(F.col("lang")))
+    references = Q.fit_references(docs)
+    assert sorted(references) == sorted(Q.COMMON)
+    got = shares(Q.quality(docs, references, keys=("doc_id", "label")))
+    assert got[100, 0][0] == got[100, 0][1] > 5 and got[300, 0][0] == got[300, 0][1] > 5
+    assert not any(got[n, 1][0] for n in (50, 100, 300))
+
+
+def test_without_tags(spark, sf):
+    docs = labelled(spark, sf)
+    references = Q.fit_references(docs)
+    for lang in (F.lit(None).cast("string"), F.lit("und"), F.concat(F.lit("t"), "doc_id")):
+        bare = Q.fit_references(docs.withColumn("lang", lang))
+        assert bare.keys() == references.keys() and all(np.array_equal(x, y) for k in bare for x, y in zip(bare[k], references[k], strict=True))
+
+
+def test_languages_without_a_list(spark):
+    text = "la casa del nonno sta sulla collina che guarda il mare di sera "
+    rows = [(i, " ".join(f"{w}{(i * 7 + k) % 61}" for k in range(20) for w in ("mare", "casa", "sera"))) for i in range(Q.LEAST_TAGGED)]
+    junk = [(1000 + i, " ".join(f"|{i}#{k}$%" for k in range(90))) for i in range(20)]
+    frame = lambda tagged: spark.createDataFrame([(i, t, lang) for part, lang in tagged for i, t in part], "doc_id long, text string, lang string")
+    assert sorted(Q.fit_references(frame([(rows, "it-IT"), (junk, "j")]))) == ["it"]
+    assert sorted(Q.fit_references(frame([(rows[1:], "it"), (junk, None)]))) == [Q.POOLED]
+    mixed = frame([(rows, None), (junk, None), ([(1, text)], "it")])
+    references = Q.fit_references(mixed)
+    assert sorted(references) == [Q.POOLED]  # the text of 12 words fails the base rules
+    kept = {r["doc_id"] for r in Q.filter_quality(mixed, references).collect()}
+    assert kept == {i for i, _ in rows}
