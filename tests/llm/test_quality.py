@@ -114,6 +114,15 @@ def shares(judged):
     return {(n, q): (out[n, q, False], out[n, q, False] + out[n, q, True]) for n in (50, 100, 300) for q in (0, 1)}
 
 
+def test_junk_of_every_length_goes(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = labelled(spark, sf)
+    got = shares(Q.quality(docs, Q.fit_references(spark.read.parquet(f"{sf}/documents.parquet")), keys=("doc_id", "label")))
+    for n, least in ((50, 0.7), (100, 0.97), (300, 1)):
+        assert got[n, 0][1] > 20 and got[n, 0][0] >= least * got[n, 0][1]
+        assert got[n, 1][1] > 200 and got[n, 1][0] == 0
+
+
 @pytest.mark.parametrize("tag", ["und", "xx", "", "qq", "es", None])
 def test_tags_do_not_excuse_junk(spark, sf, tag):
     """Junk with a tag of its own, or most of what a tag has, stays as far from the references as under any other tag."""
