@@ -251,26 +251,33 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([ids[k] for k in node.tolist()], pa.binary()), "v": pa.array([ids[k] for k in root.tolist()], pa.binary())})
 
 
-def _described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, n, cid (a set's two fingerprints), h (the first) of every row."""
+def _described(docs: DataFrame, key: str, text: str, row: str | None) -> DataFrame:
+    """doc_id, row (null without such a column), n, cid (a set's two fingerprints), h (the first) of every row."""
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(2)):
                 values, at = doc_sets(data, offsets)
                 one, two = set_ids(values, at)
                 cid = np.stack([one, two], axis=1).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at), pa.int64()), pa.array([cid[16 * k : 16 * k + 16] for k in range(b - a)], pa.binary()), pa.array(one.view(np.int64))], names=["doc_id", "n", "cid", "h"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(at), pa.int64()), pa.array([cid[16 * k : 16 * k + 16] for k in range(b - a)], pa.binary()), pa.array(one.view(np.int64))], names=["doc_id", "row", "n", "cid", "h"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, cid binary, h long")
+    number = F.col(row) if row else F.lit(None)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), number.cast("long").alias("row"), text).mapInArrow(run, "doc_id long, row long, n long, cid binary, h long")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return _grouped(docs, key, text, block, None).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, block: int, row: str | None) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, first_row of every row; rows and sets are told apart by the unique numbers in the column row, if there is one."""
     bounded_batches(docs.sparkSession)
-    rows = stored(_described(docs, key, text), "sets")
+    rows = stored(_described(docs, key, text, row), "sets")
+    pick = "row" if row else "doc_id"
     family = stored(components(_candidate_edges(docs, text)), "families")
-    members = rows.where("n > 0").join(family.select(F.col("node").alias("h"), F.col("root").alias("family")), "h").groupBy("cid", "family").agg(F.min("doc_id").alias("doc_id"))
+    members = rows.where("n > 0").join(family.select(F.col("node").alias("h"), F.col("root").alias("family")), "h").groupBy("cid", "family").agg(F.min(pick).alias("pick"))
     size = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = stored(members.join(size, "family"), "members")
 
@@ -283,23 +290,28 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 mine = [k for k in range(b - a) if cid[16 * k : 16 * k + 16] == want[a + k].as_py()]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(pa.array(mine, pa.int64())) for c in (batch.column(2), batch.column(3), batch.column(0))), pa.array([values[at[k] : at[k + 1]].tobytes() for k in mine], pa.binary())], names=["family", "blocks", "cid", "items"])
 
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    texts = docs.select(F.col(row or key).cast("long").alias("k"), F.col(text).alias("t"))
     # merged at every size: neither side has a bound that would allow a broadcast
-    with_text = members.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("k"))).select("cid", "t", "family", "blocks")
+    with_text = members.hint("merge").join(texts, F.col("pick").eqNullSafe(F.col("k"))).select("cid", "t", "family", "blocks")
     items = with_text.mapInArrow(sets, "family long, blocks int, cid binary, items binary").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a family of one block has one pair of blocks; a larger one is compared block by block
     dealt = items.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "items")
     links = stored(dealt.groupBy("family", "i", "j").applyInArrow(_links, "u binary, v binary"), "links")
     joined = components(links).select(F.col("node").alias("cid"), "root")
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(joined, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
-    first = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = classes.join(first, "root").select("cid", "component_id")
-    full = rows.where("n > 0").join(of, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    # the first row of a group: least doc_id, nulls last, then least number
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = F.min(order) if row else F.struct(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
+    classes = rows.where("n > 0").groupBy("cid").agg(least.alias("least")).join(joined, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
+    least = F.min("least") if row else F.struct(F.min("least.doc_id").alias("doc_id"), F.min("least.row").alias("row"))
+    first = classes.groupBy("root").agg(least.alias("first"))
+    of = classes.join(first, "root").select("cid", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+    full = rows.where("n > 0").join(of, "cid").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "first_row")
+    return full.unionByName(rows.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("first_row")))
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row of each group of linked documents (that of the smallest id), and all rows without words; all columns."""
-    found = near_duplicates(docs, key=key, text=text, block=block)
-    gone = found.where(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*docs.columns)
+    """One row of each group of linked rows (that of the smallest id, nulls last; of equal ids any one), and all rows without words; all columns."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = _grouped(numbered, key, text, block, "__row")
+    gone = found.where("row <> first_row").select(F.col("row").alias("__gone"))
+    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)

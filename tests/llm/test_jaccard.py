@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import jaccard as J
 
@@ -116,3 +117,32 @@ def test_query(spark, tiny):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, QUERIES["op6_jaccard_join"](spark, tiny).collect()), key=str) == brute(rows)
+
+
+def test_keep_first_is_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a, 1), (7, a, 2), (3, b, 3), (5, b + " more", 4), (5, c, 5), (None, a + " end", 6), (None, c + " end", 7), (None, "q r s", 8), (None, "Q r s", 9), (None, None, 10), (None, "", 11), (9, "only", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)
+    kept = sorted(r["place"] for r in J.keep_first(df).collect())
+    one, other = ([x for x in kept if x in group] for group in ((1, 2), (8, 9)))
+    assert len(one) == len(other) == 1
+    assert [x for x in kept if x not in (1, 2, 8, 9)] == [3, 5, 10, 11, 12]
+    assert J.keep_first(df.where("doc_id is null and text is not null and text <> ''").withColumn("text", F.lit(a))).count() == 1
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_keep_first_of_any_rows(spark, block):
+    """Nulls and repeats are kept in the input: one row of each group stays, whatever its id."""
+    rows = [(i, t, k) for k, (i, t) in enumerate((None if x % 5 == 0 else i % 40, t) for x, (i, t) in enumerate((i or 0, t) for i, t in corpus(block + 1, 200)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    groups, empty = {}, set()
+    for k, _, c in brute([(k, t) for _, t, k in rows]):
+        groups.setdefault(c, []).append(rows[k])
+        if not shingle_set(rows[k][1]):
+            empty.add(k)
+    kept = [(r["doc_id"], r["place"]) for r in J.keep_first(df, block=block).collect()]
+    assert len(kept) == len(groups) and empty <= {p for _, p in kept}
+    of = {p: g for g in groups.values() for _, _, p in g}
+    for i, p in kept:
+        assert i == min((x for x, _, _ in of[p] if x is not None), default=None)
+    assert len({id(of[p]) for _, p in kept}) == len(groups)
