@@ -10,7 +10,7 @@ The index of the items is sent to the executors only while the benchmark has at
 text (measured first); larger benchmarks are joined by shuffles with the same result.
 
 Defined results: null text has no words and is clean; an item without words never occurs; equal item ids count
-once; repeated rows are judged each; an empty benchmark hits nothing; extra columns are ignored by
+once, and null item ids as one item 'None'; repeated rows are judged each; an empty benchmark hits nothing; extra columns are ignored by
 ``contamination`` and kept by ``drop_contaminated``.
 """
 
@@ -115,11 +115,15 @@ class BenchmarkIndex:
         return np.diff(at), n_hit, items
 
 
+def _item_id(item: str):
+    return F.coalesce(F.col(item).cast("string"), F.lit("None")).alias("id")
+
+
 def _index(benchmark: DataFrame, item: str, text: str, most_bytes: int) -> BenchmarkIndex | None:
     total = benchmark.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     if (total[0] or 0) + 16 * total[1] > most_bytes:
         return None
-    rows = benchmark.select(item, text).collect()  # at most most_bytes
+    rows = benchmark.select(_item_id(item), text).collect()  # at most most_bytes
     return BenchmarkIndex([r[0] for r in rows], [r[1] for r in rows])
 
 
@@ -128,7 +132,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     bounded_batches(docs.sparkSession)
     index = _index(benchmark, item, item_text, most_bytes)
     if index is None:
-        return _joined(docs, benchmark, key, text, item, item_text)
+        # a row gets a number, so that equal ids stay apart
+        numbered = stored(docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("k"), F.col(text).alias("t")), "numbered")
+        return _joined(numbered, benchmark, item, item_text).select(F.col("k").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -146,8 +152,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
     bounded_batches(docs.sparkSession)
     index = _index(benchmark, item, item_text, most_bytes)
     if index is None:
-        bad = _joined(docs, benchmark, key, text, item, item_text).where("contaminated").select(key).distinct()
-        return docs.join(bad, key, "left_anti").select(*docs.columns)
+        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        numbered = rows.select(F.col("__row").alias("id"), F.col(key).alias("k"), F.col(text).alias("t"))
+        bad = _joined(numbered, benchmark, item, item_text).where("contaminated").select(F.col("id").alias("__bad"))
+        return rows.join(bad, F.col("__row") == F.col("__bad"), "left_anti").select(*docs.columns)
     place = docs.columns.index(text)
 
     def run(batches):
@@ -187,13 +195,12 @@ def _windows_of(batches, lengths: list[int], only_short: bool):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + doc)), pa.array(s - at[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(gram.view(np.int64)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["id", "start", "n", "gram", "w1", "w2"])
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
-    """The same result by shuffled joins. A row gets a number, so that equal ids stay apart."""
+def _joined(numbered: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> DataFrame:
+    """The same result by shuffled joins, for stored rows with a number (id), a key (k) and a text (t)."""
     rows = "id long, start long, n int, gram long, w1 long, w2 long"
-    items = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t"))
+    items = benchmark.select(_item_id(item), F.col(item_text).alias("t"))
     tests = stored(items.mapInArrow(lambda it: _windows_of(it, list(range(1, WINDOW)), True), rows.replace("id long", "id string")), "benchmark-windows")
     lengths = sorted(r["n"] for r in tests.where(f"n < {WINDOW}").select("n").distinct().collect())  # at most 12
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("k"), F.col(text).alias("t")), "numbered")
     grams = numbered.select("id", "t").mapInArrow(lambda it: _windows_of(it, lengths, False), rows)
     near = grams.join(tests.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
     hit = stored(near.select("id", "start", "n", "w1", "w2").join(tests.select("n", "w1", "w2", F.col("id").alias("item")).distinct(), ["n", "w1", "w2"]).select("id", "start", "n", "item"), "window-hits")
@@ -206,8 +213,8 @@ def _joined(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
                 at = _doc_words(data, offsets)[1]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 1)), pa.array(np.diff(at), pa.int64())], names=["id", "k", "n_words"])
 
-    kind = docs.schema[key].dataType.simpleString()
+    kind = numbered.schema["k"].dataType.simpleString()
     counted = numbered.mapInArrow(sizes, f"id long, k {kind}, n_words long")
     joined = counted.join(found, "id", "left").join(spots, "id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(F.col("k").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return joined.select("id", "k", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

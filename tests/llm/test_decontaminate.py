@@ -50,3 +50,16 @@ def test_query(spark, tiny):
     docs, items = ([tuple(r) for r in spark.read.parquet(f"{tiny}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     got = sorted(map(tuple, QUERIES["op5_winnowing"](spark, tiny).collect()), key=str)
     assert got == brute(docs, items) and any(r[5] for r in got)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_null_and_repeated_ids(spark, most):
+    """Each row is judged by itself, and null item ids count alike, whatever the size of the benchmark."""
+    rows = [(None, LONG), (None, "clean of all that"), (None, None), (5, LONG), (5, "clean too"), (5, "clean too"), (6, "Alpha beta"), (6, "Alpha beta"), (7, "delta epsilon zeta")]
+    items = [(1, LONG), (None, LONG), (None, "alpha beta"), (None, "alpha beta"), (None, "epsilon zeta")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, place int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(rows, items)
+    assert sorted(map(tuple, D.contamination(docs, bench, most_bytes=most).collect()), key=str) == want and max(r[3] for r in want) == 2
+    kept = D.drop_contaminated(docs, bench, most_bytes=most)
+    assert kept.columns == docs.columns and sorted(r["place"] for r in kept.collect()) == [1, 2, 4, 5]
