@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 ARROW_ROWS = "2000"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -26,8 +26,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    """A new folder in the one that the cluster shares (spark.checkpoint.dir); only a local session may lack it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = FALLBACK_DIR
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -51,7 +55,23 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Of all texts; only lengths are read and one number comes back."""
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def parts_of(total: float, part_bytes: int, least: int = 8) -> int:
+    return max(least, math.ceil(total / part_bytes))
+
+
 def shard_count(df: DataFrame, column: str, shard_bytes: int, least: int = 8) -> int:
-    """How many shards of about shard_bytes the texts fill; only lengths are read and one number comes back."""
-    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(least, math.ceil(total / shard_bytes))
+    """How many shards of about shard_bytes the texts fill."""
+    return parts_of(text_bytes(df, column), shard_bytes, least)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

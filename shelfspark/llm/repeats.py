@@ -7,17 +7,23 @@ storing all windows would take many times the corpus, so windows are handled thr
 * In each window of W symbols the least of its K-symbol grams is the anchor (sampled suffix).  Consecutive
   windows share an anchor, and equal windows have equal anchors at equal places, so windows can only be equal
   if their anchors' grams are.  An anchor *owns* the windows that chose it; the text they span is its context.
-* Documents are dealt into shards by doc_id.  Each shard writes one sorted immutable run of (gram, context)
-  fingerprints for each index partition.  A partition takes run after run into a family of sorted levels:
-  a run is a new level, and levels of equal size are merged geometrically (``Levels``).  The compacted
-  family is then merge-joined with each run, and each shard gets its answers.
+* Documents are dealt into shards (batches) by id and text.  Each shard sends one sorted immutable run of (gram, context)
+  fingerprints to each index partition.  A partition takes run after run into a family of sorted levels (``Levels``):
+  a run is merge-scanned against every level that is there, a match is noted in the level, keys that no level has become
+  a new level, and levels of equal size are merged geometrically.  From the family each shard gets its answers.
 * Equal contexts settle all their windows at once.  Where a gram occurs with several contexts (the ends of
   shared passages, near copies) the windows themselves are sent in a second exchange of the same kind, with
   two independent 64-bit fingerprints, of which the second verifies the first.
 
+A rule may have a *scout*: a first scan of the same kind with shorter windows and bare grams, each sent once for a shard.
+A window whose scout grams aren't all repeated can't be repeated, so only the stretches that are left take part in what
+follows.  The scout also tells how many bytes of a document lie in grams that another document has.
+
 Equal entries of a shard are combined before they are sent, so a gram, context or window has at most one entry
 for each shard however often the corpus repeats it; no group holds all its copies.  The texts are shuffled
-once (the three passes over them reuse one exchange); what else moves is fingerprints.
+once (all passes over them reuse one exchange); what else moves is fingerprints.  Rows with equal ids, or without one,
+are dealt by their texts and by the task that read them, so no id makes a large shard; index partitions follow the
+size of the entries and not the number of shards.
 """
 
 from __future__ import annotations
@@ -30,10 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrays import Rolling, chunks, mix, ragged, sliding_min, valid_starts
-from shelfspark.llm.common import shard_count
+from shelfspark.llm.arrays import Rolling, chunks, covered, mix, per_document, ragged, sliding_min, valid_starts
+from shelfspark.llm.common import parts_of, text_bytes
 
 SHARD_BYTES = 4 << 20
+#: Of a run or partition of the index.
+INDEX_BYTES = 16 << 20
+ENTRY_BYTES = 24
 _ONE, _TWO = Rolling(101), Rolling(202)
 _LOW = np.uint64(0xFFFFFFFF)
 _BACK = np.iinfo(np.int64).min
@@ -51,49 +60,66 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Levels:
-    """A logarithmic family of sorted runs of (a, b) keys with the least value and the number of runs of each key."""
+    """A logarithmic family of sorted levels of (a, b) keys, each key in one level, with its least value and the number of runs that have it."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> None:
-        """A run of distinct keys, sorted."""
-        self.levels.append((a, b, value, np.ones(len(a), np.int64)))
+    def add(self, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Takes in a sorted run of distinct keys; which of them were there before."""
+        known = np.zeros(len(a), bool)
+        for la, lb, least, count in self.levels:
+            at, hit = _find(la, lb, a, b)
+            at = at[hit]
+            least[at] = np.minimum(least[at], value[hit])
+            count[at] += 1
+            known |= hit
+        if not known.all():
+            self.levels.append((a[~known], b[~known], value[~known], np.ones(int((~known).sum()), np.int64)))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             self._merge()
+        return known
 
     def _merge(self) -> None:
-        a, b, value, count = (np.concatenate(x) for x in zip(self.levels.pop(), self.levels.pop(), strict=True))
-        if len(a):
-            order, first = _groups(a, b)
-            a, b = a[order][first], b[order][first]
-            value, count = np.minimum.reduceat(value[order], first), np.add.reduceat(count[order], first)
-        self.levels.append((a, b, value, count))
+        two, one = self.levels.pop(), self.levels.pop()
+        a, b, value, count = (np.concatenate(x) for x in zip(one, two, strict=True))
+        order = np.argsort(a, kind="stable")  # two sorted runs: linear
+        if ((a[order][1:] == a[order][:-1]) & (b[order][1:] < b[order][:-1])).any():
+            order = np.lexsort((b, a))
+        self.levels.append((a[order], b[order], value[order], count[order]))
 
     def compacted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         while len(self.levels) > 1:
             self._merge()
-        return self.levels[0]
+        return self.levels[0] if self.levels else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
 
 
-def _place(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Where each key (x, y) is in the sorted (a, b); each is there."""
+def _find(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key (x, y) is in the sorted (a, b), and whether it is there."""
     low, high = np.searchsorted(a, x, "left"), np.searchsorted(a, x, "right") - 1
     while (open_ := np.flatnonzero(low < high)).size:
         mid = (low[open_] + high[open_]) >> 1
         less = b[mid] < y[open_]
         low[open_] = np.where(less, mid + 1, low[open_])
         high[open_] = np.where(less, high[open_], mid)
-    return low
+    at = np.minimum(low, max(0, len(a) - 1))
+    return at, (a[at] == x) & (b[at] == y) if len(a) else np.zeros(len(x), bool)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """window, gram: lengths in symbols. ordered: a window counts as repeated if a document of smaller id has it too; else if it starts anywhere else."""
+    """window, gram: lengths in symbols. ordered: a window counts as repeated if a document of smaller id has it too; else if it starts anywhere else.
+
+    scout: window and gram of a first scan (none of them longer than the rule's window); not for ordered rules.
+    """
 
     window: int
     gram: int
     ordered: bool
+    scout: tuple[int, int] | None = None
+
+    def entries_per_symbol(self) -> float:
+        return 2 / (self.window - self.gram + 2)
 
 
 @dataclass
@@ -123,17 +149,23 @@ class _State:
     value: np.ndarray  # of each row: its document id (ordered) or the shard
 
 
-def _anchors(symbols: np.ndarray, at: np.ndarray, rule: Rule):
+def _kept(symbols: np.ndarray, at: np.ndarray, window: int, gram: int):
+    """(prefix, starts of the windows, the gram that each keeps, all grams), or None without windows."""
     prefix = _ONE.prefix(symbols)
-    grams = _ONE.windows(prefix, rule.gram)
-    if len(symbols) < rule.window:
+    grams = _ONE.windows(prefix, gram)
+    if len(symbols) < window:
         return None
     order = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
-    least = sliding_min(order, rule.window - rule.gram + 1)
-    s = np.flatnonzero(valid_starts(at, rule.window, len(least)))
-    if not len(s):
+    least = sliding_min(order, window - gram + 1)
+    s = np.flatnonzero(valid_starts(at, window, len(least)))
+    return (prefix, s, (least[s] & _LOW).astype(np.int64), grams) if len(s) else None
+
+
+def _anchors(symbols: np.ndarray, at: np.ndarray, rule: Rule):
+    got = _kept(symbols, at, rule.window, rule.gram)
+    if got is None:
         return None
-    anchor = (least[s] & _LOW).astype(np.int64)
+    prefix, s, anchor, grams = got
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
     s0, owned = s[first], np.diff(np.append(first, len(s)))
     anchor = anchor[first]
@@ -141,19 +173,114 @@ def _anchors(symbols: np.ndarray, at: np.ndarray, rule: Rule):
     return s0, owned, grams[anchor], context
 
 
-def _state(table: pa.Table, rule: Rule, read: Callable, src: int) -> _State:
+class _Stretches:
+    """Of each text (by its hash) that has any: its stretches of starts of windows that may be repeated, and how much of it another document has."""
+
+    def __init__(self, hashes: np.ndarray, shared: np.ndarray, counts: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.hashes, self.shared, self.counts, self.first, self.last = hashes, shared, counts, first, last
+        self.at = np.cumsum(counts) - counts
+
+    def pack(self) -> bytes:
+        return np.concatenate([[len(self.hashes)], self.hashes, self.shared, self.counts, self.first, self.last]).astype(np.int64).tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> _Stretches:
+        x = np.frombuffer(raw, np.int64)
+        m = int(x[0])
+        head, rest = x[1 : 1 + 3 * m].reshape(3, m), x[1 + 3 * m :]
+        return cls(*head, *rest.reshape(2, -1))
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each text here, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[k] == hashes, k, -1)
+
+    def shared_of(self, hashes: np.ndarray) -> np.ndarray:
+        k = self.rows(hashes)
+        return np.where(k >= 0, self.shared[np.maximum(k, 0)], 0) if len(self.hashes) else np.zeros(len(hashes), np.int64)
+
+    def of(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first start, last start) of each stretch of a chunk's texts."""
+        k = self.rows(hashes)
+        row = np.flatnonzero(k >= 0)
+        n = self.counts[k[row]]
+        place = ragged(self.at[k[row]], n)
+        row = np.repeat(row, n)
+        return row, at[row] + self.first[place], at[row] + self.last[place]
+
+
+def _sightings(table: pa.Table, rule: Rule, read: Callable, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, document offsets, places, grams, first scout window and number of those that keep it) of what the scout keeps in each chunk."""
+    for a, _, data, offsets in chunks(table.column(text).combine_chunks()):
+        symbols, at, *_ = read(data, offsets)
+        got = _kept(symbols(), at, *rule.scout)
+        if got is None:
+            yield a, at, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            continue
+        _, s, anchor, grams = got
+        first = np.flatnonzero(np.diff(anchor, prepend=-1))
+        yield a, at, anchor[first], grams[anchor[first]], s[first], np.diff(np.append(first, len(s)))
+
+
+def _stretches(table: pa.Table, rule: Rule, read: Callable, text: str, hashes: np.ndarray, far_of: Callable[[np.ndarray], np.ndarray]) -> _Stretches:
+    """far_of: which of the sorted distinct grams another shard has."""
+    found = list(_sightings(table, rule, read, text))
+    gram = np.concatenate([x[3] for x in found]) if found else np.zeros(0, np.uint64)
+    row = np.concatenate([a + np.searchsorted(at, p, "right") - 1 for a, at, p, *_ in found]) if found else np.zeros(0, np.int64)
+    known, of, times = np.unique(gram, return_inverse=True, return_counts=True)
+    far = far_of(known)
+    least, most = np.full(len(known), len(table)), np.full(len(known), -1)
+    np.minimum.at(least, of, row)
+    np.maximum.at(most, of, row)
+    repeated, shared = (far | (times > 1))[of], (far | (least < most))[of]
+    window, (scout, length), done, out = rule.window, rule.scout, 0, []
+    for a, at, place, g, begin, owned in found:
+        mine = slice(done, done + len(g))
+        done += len(g)
+        size = int(at[-1])
+        bad = ~repeated[mine]
+        begin, end = begin[bad], (begin + owned)[bad]  # scout windows that aren't repeated, and so no window around them
+        start = np.maximum(begin + scout - window, at[np.searchsorted(at, begin, "right") - 1])
+        ok = valid_starts(at, window, size) & ~covered(start, end, size)
+        edge = np.diff(np.concatenate([[0], ok.astype(np.int8), [0]]))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        doc = np.searchsorted(at, first, "right") - 1
+        both = per_document(covered(place[shared[mine]], place[shared[mine]] + length, size), at)
+        out.append((hashes[a : a + len(at) - 1], both, np.bincount(doc, minlength=len(at) - 1), first - at[doc], last - at[doc]))
+    if not out:
+        return _Stretches(*(np.zeros(0, np.int64) for _ in range(5)))
+    h, both, n, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+    some = np.flatnonzero((n > 0) | (both > 0))
+    _, k = np.unique(h[some], return_index=True)  # equal texts have equal stretches
+    some = some[k]
+    place = ragged((np.cumsum(n) - n)[some], n[some])
+    return _Stretches(h[some], both[some], n[some], first[place], last[place])
+
+
+def _state(table: pa.Table, rule: Rule, read: Callable, src: int, text: str = "__text", stretches: _Stretches | None = None, hashes: np.ndarray | None = None) -> _State:
     """read(bytes, offsets) -> (function that gives the symbols, their document offsets, anything else)."""
     ids = table.column("__id")
     value = ids.fill_null(_BACK).to_numpy() if rule.ordered else np.full(len(table), src, np.int64)
     pieces, parts = [], []
-    for a, _, data, offsets in chunks(table.column("__text").combine_chunks()):
+    for a, _, data, offsets in chunks(table.column(text).combine_chunks()):
         symbols, at, *extra = read(data, offsets)
         k = len(pieces)
         pieces.append(_Chunk(a, symbols, at, tuple(extra)))
-        got = _anchors(symbols(), at, rule)
-        if got:
-            s0, owned, gram, context = got
-            parts.append((np.full(len(s0), k), a + np.searchsorted(at, s0, "right") - 1, s0, owned, gram, context))
+        if stretches is None:
+            got = _anchors(symbols(), at, rule)
+            if got:
+                s0, owned, gram, context = got
+                parts.append((np.full(len(s0), k), a + np.searchsorted(at, s0, "right") - 1, s0, owned, gram, context))
+            continue
+        row, first, last = stretches.of(hashes[a : a + len(at) - 1], at)
+        if len(row):
+            length = last - first + rule.window
+            border = np.concatenate([[0], np.cumsum(length)])
+            s0, owned, gram, context = _anchors(symbols()[ragged(first, length)], border, rule)
+            piece = np.searchsorted(border, s0, "right") - 1
+            parts.append((np.full(len(s0), k), a + row[piece], s0 - border[piece] + first[piece], owned, gram, context))
     if not parts:
         parts = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))]
     chunk, row, start, owned, gram, context = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -176,8 +303,10 @@ def _state(table: pa.Table, rule: Rule, read: Callable, src: int) -> _State:
     return _State(pieces, chunk, row, start, owned, of, cg, cc, least, members, pick, np.repeat(np.arange(len(new_gram)), classes), (cg[new_gram], np.where(many, np.uint64(0), cc[new_gram]), least[new_gram]), many, value)
 
 
-_RUN = "dest int, src int, a binary, b binary, v binary"
+_RUN = "level int, dest int, src int, a binary, b binary, v binary"
 _ANSWER = "src int, level int, dest int, answer binary"
+#: Levels of runs and answers: grams of the scout, stretches (passed on as they are), anchors, windows.
+_SCOUT, _PASSED, _ANCHORS, _WINDOWS = 0, 9, 1, 2
 
 
 def _destination(a: np.ndarray, parts: int) -> np.ndarray:
@@ -192,40 +321,55 @@ def _cuts(a: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return d[first], np.append(first, len(a))
 
 
-def _runs(a: np.ndarray, b: np.ndarray, v: np.ndarray, parts: int, src: int) -> pa.Table:
+def _runs(level: int, src: int, parts: int, a: np.ndarray, b: np.ndarray | None = None, v: np.ndarray | None = None, passed: bytes | None = None) -> pa.Table:
     dests, cut = _cuts(a, parts)
-    piece = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
-    return pa.table({"dest": pa.array(dests, pa.int32()), "src": pa.array(np.full(len(dests), src), pa.int32()), "a": piece(a), "b": piece(b), "v": piece(v)})
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    piece = lambda x: [b"" if x is None else x[i:j].tobytes() for i, j in spans]
+    rows = [[level] * len(spans), dests.tolist(), piece(a), piece(b), piece(v)]
+    if passed is not None:
+        for x, y in zip(rows, (_PASSED, src % parts, passed, b"", b""), strict=True):
+            x.append(y)
+    return pa.table({"level": pa.array(rows[0], pa.int32()), "dest": pa.array(rows[1], pa.int32()), "src": pa.array([src] * len(rows[0]), pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip("abv", rows[2:], strict=True)})
 
 
-def _index(rule: Rule, level: int) -> Callable[[pa.Table], pa.Table]:
-    """What an index partition does with the runs that the shards sent it."""
+def _index(rule: Rule) -> Callable[[pa.Table], pa.Table]:
+    """What an index partition does with the runs that the shards sent it, all of one level."""
 
     def merge(table: pa.Table) -> pa.Table:
-        table = table.sort_by("src")
-        src = table.column("src").to_numpy()
-        runs = [tuple(np.frombuffer(x.as_py(), t) for x, t in zip(r, (np.uint64, np.uint64, np.int64), strict=True)) for r in zip(*(table.column(c) for c in "abv"), strict=True)]
-        family = Levels()
-        for r in runs:
-            family.add(*r)
+        table = table.sort_by([("src", "ascending"), ("level", "ascending")])
+        runs, out, family, level = [], [], Levels(), 0
+        for lv, *r in zip(*(table.column(c) for c in ("level", "a", "b", "v")), strict=True):
+            if lv.as_py() == _PASSED:
+                runs.append(r[0].as_py())
+                continue
+            level = lv.as_py()
+            x, y, v = (np.frombuffer(z.as_py(), t) for z, t in zip(r, (np.uint64, np.uint64, np.int64), strict=True))
+            if level == _SCOUT:
+                y, v = np.zeros(len(x), np.uint64), np.zeros(len(x), np.int64)
+            family.add(x, y, v)
+            runs.append((x, y, v))
         a, b, least, count = family.compacted()
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        group = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
         several = (np.diff(np.append(first, len(a))) > 1) | (b[first] == 0)
-        everywhere = np.add.reduceat(count, first)
-        out = []
-        for x, y, v in runs:
-            at = _place(a, b, x, y)
+        everywhere = np.add.reduceat(count, first) if len(a) else count
+        for run in runs:
+            if isinstance(run, bytes):
+                out.append(run)
+                continue
+            x, y, v = run
+            at, _ = _find(a, b, x, y)
             own = group[at]
             known = (least[at] < v) if rule.ordered else (count[at] > 1)
-            if level == 1:
+            if level == _ANCHORS:
                 known &= y != 0
                 ask = several[own] & (~known if rule.ordered else v == least[at])
                 ask = np.where(y == 0, everywhere[own] > 1, ask)
                 out.append(np.packbits(np.stack([known, ask], axis=1).ravel()).tobytes())
             else:
                 out.append(np.packbits(known).tobytes())
-        return pa.table({"src": pa.array(src, pa.int32()), "level": pa.array(np.full(len(src), level), pa.int32()), "dest": table.column("dest").cast(pa.int32()), "answer": pa.array(out, pa.binary())})
+        return pa.table({"src": table.column("src").cast(pa.int32()), "level": table.column("level").cast(pa.int32()), "dest": table.column("dest").cast(pa.int32()), "answer": pa.array(out, pa.binary())})
 
     return merge
 
@@ -319,34 +463,68 @@ def _repeated(state: _State, rule: Rule, first: np.ndarray, second: Callable[[np
         yield piece, np.cumsum(d)[:-1] > 0
 
 
-def repeated_windows(docs: DataFrame, rule: Rule, read: Callable, finish: Callable, schema: str, *, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """finish(table of a shard, [(chunk, flags)]) -> table of ``schema``; the shard's table has all columns of docs."""
-    parts = shard_count(docs, text, shard_bytes)
-    dealt = docs.withColumns({"__id": F.col(key).cast("long"), "__text": F.col(text), "__shard": F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(parts)).cast("int")})
+def repeated_windows(docs: DataFrame, rule: Rule, read: Callable, finish: Callable, schema: str, *, key: str = "doc_id", text: str = "text", symbol_bytes: float = 1, shard_bytes: int = SHARD_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """finish(table of a shard, [(chunk, flags)], with a scout: shared bytes of each row) -> table of ``schema``.
 
-    def state_of(table: pa.Table) -> tuple[_State, int]:
-        src = table.column("__shard")[0].as_py()
-        return _state(table, rule, read, src), src
+    The shard's table begins with the columns of docs (under other names) and has their id as __id. symbol_bytes: a symbol's usual size, for the number of index partitions.
+    """
+    total = text_bytes(docs, text)
+    shards, parts = parts_of(total, shard_bytes), parts_of(total / symbol_bytes * rule.entries_per_symbol() * ENTRY_BYTES, index_bytes)
+    named = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    i, t = (F.col(f"c{docs.columns.index(c)}") for c in (key, text))
+    t_name = f"c{docs.columns.index(text)}"
+    dealt = named.withColumns({"__id": i.cast("long"), "__hash": F.xxhash64(t, F.octet_length(t))})
+    dealt = dealt.withColumn("__shard", F.pmod(F.xxhash64("__id", "__hash", F.spark_partition_id()), F.lit(shards)).cast("int"))
+
+    def src_of(table: pa.Table) -> int:
+        return table.column("__shard")[0].as_py()
+
+    def passed(table: pa.Table, answers: pa.Table) -> dict:
+        """What the scout left of a shard, as arguments of _state."""
+        if not rule.scout:
+            return {}
+        (raw,) = (x.as_py() for lv, x in zip(answers.column("level").to_pylist(), answers.column("answer"), strict=True) if lv == _PASSED)
+        return {"stretches": _Stretches.unpack(raw), "hashes": table.column("__hash").to_numpy()}
+
+    def scout_runs(table: pa.Table) -> pa.Table:
+        grams = [x[3] for x in _sightings(table, rule, read, t_name)]
+        return _runs(_SCOUT, src_of(table), parts, np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64))
+
+    def scouted_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return _runs(_ANCHORS, 0, parts, np.zeros(0, np.uint64))
+        src, hashes = src_of(table), table.column("__hash").to_numpy()
+        left = _stretches(table, rule, read, t_name, hashes, lambda a: _answers(answers, _SCOUT, a, parts, 1)[:, 0])
+        state = _state(table, rule, read, src, t_name, left, hashes)
+        return _runs(_ANCHORS, src, parts, *state.entries, passed=left.pack())
 
     def first_runs(table: pa.Table) -> pa.Table:
-        state, src = state_of(table)
-        return _runs(*state.entries, parts, src)
+        src = src_of(table)
+        return _runs(_ANCHORS, src, parts, *_state(table, rule, read, src, t_name).entries)
 
     def second_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
-            return _runs(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64)), parts, 0)
-        state, src = state_of(table)
-        w = _windows(state, rule, _answers(answers, 1, state.entries[0], parts, 2))
-        return _runs(*(x[w.sent] for x in w.keys), parts, src)
+            return _runs(_WINDOWS, 0, parts, np.zeros(0, np.uint64))
+        src = src_of(table)
+        state = _state(table, rule, read, src, t_name, **passed(table, answers))
+        w = _windows(state, rule, _answers(answers, _ANCHORS, state.entries[0], parts, 2))
+        return _runs(_WINDOWS, src, parts, *(x[w.sent] for x in w.keys))
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
-            return finish(table, [])
-        state, _ = state_of(table)
-        first = _answers(answers, 1, state.entries[0], parts, 2)
-        return finish(table, _repeated(state, rule, first, lambda a: _answers(answers, 2, a, parts, 1)[:, 0]))
+            return finish(table, [], *([np.zeros(0, np.int64)] if rule.scout else []))
+        left = passed(table, answers)
+        state = _state(table, rule, read, src_of(table), t_name, **left)
+        first = _answers(answers, _ANCHORS, state.entries[0], parts, 2)
+        found = _repeated(state, rule, first, lambda a: _answers(answers, _WINDOWS, a, parts, 1)[:, 0])
+        return finish(table, found, *([left["stretches"].shared_of(left["hashes"])] if rule.scout else []))
 
     by_shard = dealt.groupBy("__shard")
-    one = by_shard.applyInArrow(first_runs, _RUN).groupBy("dest").applyInArrow(_index(rule, 1), _ANSWER)
-    two = by_shard.cogroup(one.groupBy("src")).applyInArrow(second_runs, _RUN).groupBy("dest").applyInArrow(_index(rule, 2), _ANSWER)
+    index = _index(rule)
+    met = lambda runs: runs.groupBy("dest").applyInArrow(index, _ANSWER)
+    if rule.scout:
+        one = met(by_shard.cogroup(met(by_shard.applyInArrow(scout_runs, _RUN)).groupBy("src")).applyInArrow(scouted_runs, _RUN))
+    else:
+        one = met(by_shard.applyInArrow(first_runs, _RUN))
+    two = met(by_shard.cogroup(one.groupBy("src")).applyInArrow(second_runs, _RUN))
     return by_shard.cogroup(one.unionByName(two).groupBy("src")).applyInArrow(last, schema)

@@ -44,6 +44,10 @@ def kept_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray, g
     return memoryview(out), border[:-1], np.maximum(border[1:] - 1, border[:-1])
 
 
+#: Of a word with the blank after it, for the number of index partitions.
+WORD_BYTES = 6
+
+
 def digest_rows(table: pa.Table, pieces) -> pa.Table:
     """The rows of a shard with the digest of what is kept; pieces: its chunks with the flags of repeated words."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -59,7 +63,7 @@ def digest_rows(table: pa.Table, pieces) -> pa.Table:
 
 def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = RULE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return repeated_windows(docs.select(F.col(key), F.col(text)), rule, _read, digest_rows, DIGEST, key=key, text=text, shard_bytes=shard_bytes)
+    return repeated_windows(docs.select(F.col(key), F.col(text)), rule, _read, digest_rows, DIGEST, key=key, text=text, symbol_bytes=WORD_BYTES, shard_bytes=shard_bytes)
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", rule: Rule = RULE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -67,12 +71,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     schema = docs.schema
 
     def finish(table, pieces):
-        out = []
+        table, out = table.select(range(len(schema.names))).rename_columns(schema.names), []
         for piece, gone in pieces:
             s, e, data, offsets = piece.extra
             n = len(offsets) - 1
             lost, had = per_document(gone, piece.at), np.diff(piece.at)
-            part = table.slice(piece.first_row, n).select(schema.names)
+            part = table.slice(piece.first_row, n)
             changed = np.flatnonzero(lost)
             if len(changed):
                 d = np.zeros(len(data) + 1, np.int64)
@@ -93,6 +97,6 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                         sizes[k] = len(texts[k])
                     part = part.set_column(schema.names.index(size), size, pa.array(sizes, part.schema.field(size).type))
             out.append(part.filter(pa.array((lost == 0) | (lost < had))))
-        return pa.concat_tables(out) if out else table.slice(0, 0).select(schema.names)
+        return pa.concat_tables(out) if out else table.slice(0, 0)
 
-    return repeated_windows(docs, rule, _read, finish, schema, key=key, text=text, shard_bytes=shard_bytes)
+    return repeated_windows(docs, rule, _read, finish, schema, key=key, text=text, symbol_bytes=WORD_BYTES, shard_bytes=shard_bytes)

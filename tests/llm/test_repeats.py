@@ -3,10 +3,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from shelfspark.llm import substring, suffix
-from shelfspark.llm.repeats import Rule
+from shelfspark.llm.repeats import Levels, Rule
 
 
 def brute_bytes(rows, width):
@@ -26,6 +27,31 @@ def brute_bytes(rows, width):
     return sorted(out, key=str)
 
 
+def digests(df):
+    return sorted((tuple(r)[:5] for r in df.collect()), key=str)
+
+
+def check_shared(rows, df, rule):
+    """n_shared of distinct rows against what other rows have."""
+    window, gram = rule.scout
+    data = [(i, (t or "").encode()) for i, t in rows]
+    holders = {w: defaultdict(set) for w in (window, gram)}
+    for w, by in holders.items():
+        for k, (_, b) in enumerate(data):
+            for s in range(len(b) - w + 1):
+                by[b[s : s + w]].add(k)
+    got = defaultdict(set)
+    for r in df.collect():
+        got[r["doc_id"]].add(r["n_shared"])
+    seen = set()
+    for i, b in data:
+        long = any(len(holders[window][b[s : s + window]]) > 1 for s in range(len(b) - window + 1))
+        some = any(len(holders[gram][b[s : s + gram]]) > 1 for s in range(len(b) - gram + 1))
+        assert len(got[i]) == 1 and (not long or min(got[i]) >= gram) and (some or got[i] == {0})
+        seen.add((long, some))
+    return seen
+
+
 def brute_words(rows, width):
     least = {}
     data = [(i, re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
@@ -75,8 +101,11 @@ def corpus(seed, n, parts, join):
 def test_bytes_small_windows(spark, seed):
     rows = corpus(seed, 60, ["a", "b", "c", "é", "日"], "")
     df = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, n_spans boolean")
-    got = suffix.suffix_dedup(df, rule=Rule(9, 4, False), shard_bytes=200)
-    assert sorted(map(tuple, got.collect()), key=str) == brute_bytes(rows, 9)
+    rule = Rule(9, 4, False, (6, 3))
+    got = suffix.suffix_dedup(df, rule=rule, shard_bytes=200)
+    assert digests(got) == brute_bytes(rows, 9)
+    assert len(check_shared(rows, got, rule)) > 1
+    assert digests(suffix.suffix_dedup(df, rule=Rule(9, 4, False), shard_bytes=200)) == brute_bytes(rows, 9)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -93,7 +122,7 @@ def test_production_rules(spark):
     assert sorted(map(tuple, substring.substring_dedup(df).collect()), key=str) == brute_words(rows, 13)
     rows = rows[:-1]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, suffix.suffix_dedup(df).collect()), key=str) == brute_bytes(rows, 400)
+    assert digests(suffix.suffix_dedup(df)) == brute_bytes(rows, 400)
     for f in (substring.substring_dedup, suffix.suffix_dedup):
         assert f(df.limit(0)).count() == 0
 
@@ -112,5 +141,36 @@ def test_queries(spark, tiny):
     rows = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, QUERIES["op9_substring_dedup"](spark, tiny).collect()), key=str)
     assert got == brute_words(rows, 13) and any(r[2] for r in got)
-    got = sorted(map(tuple, QUERIES["op3_suffix_dedup"](spark, tiny).collect()), key=str)
+    out = QUERIES["op3_suffix_dedup"](spark, tiny).cache()
+    got = digests(out)
     assert got == brute_bytes(rows, 400) and any(r[2] for r in got)
+    check_shared(rows, out, suffix.RULE)
+
+
+def test_one_id_for_all(spark):
+    """Null and equal ids are dealt by text; column names that the operators use themselves."""
+    rows = [(None if k % 3 else 7, t) for k, (_, t) in enumerate(corpus(5, 60, ["aa", "b", "é", "dd", "x,", "y"], " "))]
+    df = spark.createDataFrame([(*r, "u", k, 0.5) for k, r in enumerate(rows)], "doc_id long, text string, __id string, __shard long, __text double").repartition(3)
+    assert sorted(map(tuple, substring.substring_dedup(df, rule=Rule(5, 2, True), shard_bytes=200).collect()), key=str) == brute_words(rows, 5)
+    assert digests(suffix.suffix_dedup(df, rule=Rule(9, 4, False, (6, 3)), shard_bytes=200)) == brute_bytes(rows, 9)
+    kept = substring.remove_repeats(df, rule=Rule(5, 2, True), shard_bytes=200)
+    assert kept.columns == df.columns and {r["__shard"] for r in kept.collect()} <= set(range(len(rows)))
+
+
+def test_levels():
+    """Batches are scanned against what is there, keys are held once, and levels grow geometrically."""
+    rng = random.Random(8)
+    family, seen, sizes = Levels(), {}, []
+    for k in range(64):
+        run = sorted({(rng.randrange(900), rng.randrange(3)) for _ in range(20)})
+        a, b = (np.array(x, np.uint64) for x in zip(*run, strict=True))
+        known = family.add(a, b, np.full(len(run), 100 - k))
+        assert known.tolist() == [x in seen for x in run]
+        for x in run:
+            n, least = seen.get(x, (0, 1000))
+            seen[x] = (n + 1, min(least, 100 - k))
+        sizes.append([len(x[0]) for x in family.levels])
+        assert all(one > 2 * two for one, two in zip(sizes[-1], sizes[-1][1:]))
+    assert sum(sizes[-1]) == len(seen) and max(map(len, sizes)) <= 7
+    a, b, least, count = family.compacted()
+    assert list(zip(a.tolist(), b.tolist(), count.tolist(), least.tolist(), strict=True)) == [(*x, *seen[x]) for x in sorted(seen)]
