@@ -5,10 +5,13 @@
    than that, into which shingles are dealt by hash, one part is equal.  Parts are keys of an index whose lists only hold
    sets with an equal part and a fitting size; each task combines equal keys before it sends them, and each list
    gives a chain, not pairs.  Connected candidates form a family, which no link leaves.
-3. Links inside a family, in blocks of at most BLOCK sets (a larger family is compared block by block, in as many
-   tasks): index lists of prefix shingles are kept in order of position, and the part of a list whose positions rule a
+3. Links inside a family, in blocks of at most BLOCK sets: index lists of prefix shingles are kept in order of position, and the part of a list whose positions rule a
    link out is skipped; a set that is highly similar to an earlier one isn't probed at all: its overlaps with
    every set follow from the earlier set's overlaps and the lists of the few shingles in which the two differ.
+   A family of more sets is compared within each block first; of each component there the set with most links stands
+   for it, and these are compared with each other.  What is connected then and makes the largest part of the family needs
+   no comparison inside; the other sets are compared with all, block by block.  So a family of near copies
+   costs as many tasks as it has blocks.
 4. Components of the links.
 
 Defined results: null text or text without words has an empty set and is linked with nothing; fewer than three words
@@ -25,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrays import LOWER, chunks, constants, mix, ragged, shingles, word_hashes, words
-from shelfspark.llm.common import bounded_batches, shard_count, stored
+from shelfspark.llm.common import bounded_batches, shard_count, stored, unused
 from shelfspark.llm.components import components
 
 SHINGLE = 3
 BLOCK = 2048
 FLUSH = 4_000_000
-INDEX_BYTES = 64 << 20
+INDEX_BYTES = 16 << 20
+JOIN_BYTES = 64 << 20
 _C = constants(717, 6)
 
 
@@ -245,14 +249,58 @@ class SetIndex:
 
 
 def _links(table: pa.Table) -> pa.Table:
+    """Links of a block as a forest (kind 0); for each of its components the set with most links (kind 1, u and v)."""
     ids = table.column("cid").to_pylist()
     u, v = SetIndex([np.frombuffer(x.as_py(), np.uint64) for x in table.column("items")]).links()
     node, root = _forest(u, v) if len(u) else (u, v)
-    return pa.table({"u": pa.array([ids[k] for k in node.tolist()], pa.binary()), "v": pa.array([ids[k] for k in root.tolist()], pa.binary())})
-
-
-def _described(docs: DataFrame, key: str, text: str, row: str | None) -> DataFrame:
-    """doc_id, row (null without such a column), n, cid (a set's two fingerprints), h (the first) of every row."""
+    of = np.arange(len(ids))
+    of[node] = root
+    order = np.lexsort((-np.bincount(u, minlength=len(ids)), of))
+    top = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
+    left, right = np.concatenate([node, top]).tolist(), np.concatenate([root, top]).tolist()
+    return pa.table({"kind": pa.array(np.repeat([0, 1], [len(node), len(top)]), pa.int32()), "u": pa.array([ids[k] for k in left], pa.binary()), "v": pa.array([ids[k] for k in right], pa.binary())})
+
+
+_LINK = "kind int, u binary, v binary"
+
+
+def _block(n: str):
+    """A set's block of n."""
+    return F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+
+
+def _paired(sets: DataFrame, n: str) -> DataFrame:
+    """Each pair of a family's n blocks as a group of its own."""
+    own = sets.withColumn("own", _block(n)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    return own.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "items")
+
+
+def _large_links(items: DataFrame, block: int) -> DataFrame:
+    """u, v: enough links of the families of several blocks to give their components; items: family, blocks, cid, items."""
+    items = stored(items, "large-sets")
+    within = stored(items.withColumn("own", _block("blocks")).groupBy("family", "own").applyInArrow(_links, _LINK), "large-links")
+    tops = items.join(within.where("kind = 1").select(F.col("u").alias("cid")), "cid", "left_semi")
+    count = tops.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    between = _paired(tops.join(count, "family"), "n").groupBy("family", "i", "j").applyInArrow(_links, _LINK)
+    first = stored(within.where("kind = 0").unionByName(between.where("kind = 0")).select("u", "v"), "large-links")
+    part = components(first).select(F.col("node").alias("cid"), "root")
+    sets = items.select("family", "blocks", "cid").join(part, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    largest = sets.groupBy("family", "root").agg(F.count("*").alias("size")).groupBy("family").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
+    rest = stored(sets.join(largest, "family").where("root <> main").select("family", "cid"), "large-rest")
+    n = rest.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    of = items.join(n, "family")
+    other = stored(of.join(rest, ["family", "cid"], "left_semi"), "large-rest")
+    # the rest with the rest, and each block of the main part with each block of the rest
+    main = of.join(rest, ["family", "cid"], "left_anti").withColumn("own", _block("blocks"))
+    split = lambda df, c, k: df.withColumn(c, F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+    mixed = split(main, "other", "n").select("family", F.col("own").alias("i"), (-1 - F.col("other")).alias("j"), "cid", "items")
+    mixed = mixed.unionByName(split(other, "i", "blocks").select("family", "i", (-1 - _block("n")).alias("j"), "cid", "items"))
+    last = _paired(other, "n").unionByName(mixed).groupBy("family", "i", "j").applyInArrow(_links, _LINK)
+    return first.unionByName(last.where("kind = 0").select("u", "v"))
+
+
+def _described(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
+    """doc_id, row, n, cid (a set's two fingerprints), h (the first) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -262,56 +310,60 @@ def _described(docs: DataFrame, key: str, text: str, row: str | None) -> DataFra
                 cid = np.stack([one, two], axis=1).tobytes()
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(at), pa.int64()), pa.array([cid[16 * k : 16 * k + 16] for k in range(b - a)], pa.binary()), pa.array(one.view(np.int64))], names=["doc_id", "row", "n", "cid", "h"])
 
-    number = F.col(row) if row else F.lit(None)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), number.cast("long").alias("row"), text).mapInArrow(run, "doc_id long, row long, n long, cid binary, h long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, row long, n long, cid binary, h long")
+
+
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return _grouped(docs, key, text, block, None).select("doc_id", "n_shingles", "component_id")
+    numbered = _numbered(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "row")
+    return _grouped(numbered, "doc_id", "text", block, "row").select("doc_id", "n_shingles", "component_id")
 
 
-def _grouped(docs: DataFrame, key: str, text: str, block: int, row: str | None) -> DataFrame:
-    """doc_id, row, n_shingles, component_id, first_row of every row; rows and sets are told apart by the unique numbers in the column row, if there is one."""
+def _grouped(docs: DataFrame, key: str, text: str, block: int, row: str) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, first_row of every row; row: a column of unique numbers, by which rows are told apart."""
     bounded_batches(docs.sparkSession)
     rows = stored(_described(docs, key, text, row), "sets")
-    pick = "row" if row else "doc_id"
     family = stored(components(_candidate_edges(docs, text)), "families")
-    members = rows.where("n > 0").join(family.select(F.col("node").alias("h"), F.col("root").alias("family")), "h").groupBy("cid", "family").agg(F.min(pick).alias("pick"))
+    members = rows.where("n > 0").join(family.select(F.col("node").alias("h"), F.col("root").alias("family")), "h").groupBy("cid", "family").agg(F.min("row").alias("k"))
     size = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = stored(members.join(size, "family"), "members")
 
     def sets(batches):
         for batch in batches:
-            want = batch.column(0)
             for a, b, data, offsets in chunks(batch.column(1)):
                 values, at = doc_sets(data, offsets)
-                cid = np.stack(set_ids(values, at), axis=1).tobytes()
-                mine = [k for k in range(b - a) if cid[16 * k : 16 * k + 16] == want[a + k].as_py()]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(pa.array(mine, pa.int64())) for c in (batch.column(2), batch.column(3), batch.column(0))), pa.array([values[at[k] : at[k + 1]].tobytes() for k in mine], pa.binary())], names=["family", "blocks", "cid", "items"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (2, 3, 0)), pa.array([values[at[k] : at[k + 1]].tobytes() for k in range(b - a)], pa.binary())], names=["family", "blocks", "cid", "items"])
 
-    texts = docs.select(F.col(row or key).cast("long").alias("k"), F.col(text).alias("t"))
+    parts = shard_count(docs, text, JOIN_BYTES)
+    texts = docs.select(F.col(row).alias("k"), F.col(text).alias("t")).repartition(parts, "k")
     # merged at every size: neither side has a bound that would allow a broadcast
-    with_text = members.hint("merge").join(texts, F.col("pick").eqNullSafe(F.col("k"))).select("cid", "t", "family", "blocks")
-    items = with_text.mapInArrow(sets, "family long, blocks int, cid binary, items binary").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # a family of one block has one pair of blocks; a larger one is compared block by block
-    dealt = items.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "items")
-    links = stored(dealt.groupBy("family", "i", "j").applyInArrow(_links, "u binary, v binary"), "links")
+    with_text = members.repartition(parts, "k").hint("merge").join(texts, "k").select("cid", "t", "family", "blocks")
+    items = with_text.mapInArrow(sets, "family long, blocks int, cid binary, items binary")
+    large = members.where("blocks > 1").limit(1).count() > 0
+    if large:
+        items = stored(items, "items")
+    links = items.where("blocks = 1").groupBy("family").applyInArrow(_links, _LINK).where("kind = 0").select("u", "v")
+    if large:
+        links = links.unionByName(_large_links(items.where("blocks > 1"), block))
+    links = stored(links, "links")
     joined = components(links).select(F.col("node").alias("cid"), "root")
     # the first row of a group: least doc_id, nulls last, then least number
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    least = F.min(order) if row else F.struct(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
-    classes = rows.where("n > 0").groupBy("cid").agg(least.alias("least")).join(joined, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
-    least = F.min("least") if row else F.struct(F.min("least.doc_id").alias("doc_id"), F.min("least.row").alias("row"))
-    first = classes.groupBy("root").agg(least.alias("first"))
+    classes = rows.where("n > 0").groupBy("cid").agg(F.min(order).alias("least")).join(joined, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
+    first = classes.groupBy("root").agg(F.min("least").alias("first"))
     of = classes.join(first, "root").select("cid", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
     full = rows.where("n > 0").join(of, "cid").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "first_row")
     return full.unionByName(rows.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("first_row")))
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row of each group of linked rows (that of the smallest id, nulls last; of equal ids any one), and all rows without words; all columns."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = _grouped(numbered, key, text, block, "__row")
-    gone = found.where("row <> first_row").select(F.col("row").alias("__gone"))
-    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """One row of each group of linked rows (that of the smallest id, nulls last; of equal ids any one), and all rows without words; all columns, whatever their names."""
+    row = unused(docs.columns, "__row")
+    gone = unused([*docs.columns, row], "__gone")
+    numbered = _numbered(docs, row)
+    found = _grouped(numbered, key, text, block, row).where("row <> first_row").select(F.col("row").alias(gone))
+    return numbered.join(found, F.col(row) == F.col(gone), "left_anti").select(*docs.columns)
