@@ -1,10 +1,11 @@
 """Token counts and token ids (operator 8, and what operators 2 and 7 build on).
 
-Texts are cut where the byte-level pre-tokenizer cuts them, by array operations over a whole chunk; each
-distinct piece of a chunk is looked up in a bounded cache, and only pieces that it lacks are encoded by the
-tokenizers library (its model's ``tokenize``).  The sum over pieces is what the library gives for the text,
-because a byte-level BPE never merges across pieces.  Vocabularies with another normalizer, pre-tokenizer
-or post-processor take the library's own batch encoding, on texts that are cut at safe boundaries.
+Batches are balanced by bytes: a chunk holds BATCH_BYTES of texts, and a longer text is split where the pre-tokenizer
+always ends a piece.  Texts are then cut where the byte-level pre-tokenizer cuts them, by array operations over a whole
+chunk; of the distinct pieces of a chunk those that a bounded cache lacks are encoded by the tokenizers library (its
+model's ``tokenize``).  The sum over pieces is what the library gives for the text, because a byte-level BPE never
+merges across pieces.  Pieces are told apart by their bytes, in the chunk and in the cache.  Vocabularies with another
+normalizer, pre-tokenizer or post-processor, and texts with special strings, take the library's own batch encoding.
 
 Defined results: null and empty text have 0 tokens; repeated rows are counted each; extra columns are
 ignored; special strings inside texts are handled as the library does by default (one special id).
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrays import Rolling, chunks, column_bytes, ragged
-from shelfspark.llm.common import bounded_batches
+from shelfspark.llm.arrays import LOWER, Rolling, chunks, column_bytes, ragged
+from shelfspark.llm.common import bounded_batches, unused
 
-BATCH_BYTES = 1 << 18
+BATCH_BYTES = 1 << 19
 PIECE_BYTES = 1 << 16
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 600_000
 LIMIT = 512
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
@@ -92,6 +93,8 @@ def piece_starts(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 
 _HASH = Rolling(23)
+#: Keeps so many leading bytes of a little-endian word.
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)], np.uint64)
 
 
 class PieceEncoder:
@@ -112,7 +115,7 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[int | bytes, int] = {}
         self.flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
         self.lengths = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
@@ -126,16 +129,17 @@ class PieceEncoder:
         rest = iter(range(0x100, 0x200))
         return "".join(chr(b) if b in shown else chr(next(rest)) for b in range(256))
 
-    def _add(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _add(self, pieces: dict[int | bytes, bytes]) -> None:
+        """New pieces by their keys."""
         table = dict(enumerate(self.byte_char))
-        need = len(self.row) + len(keys)
+        need = len(self.row) + len(pieces)
         if need > len(self.lengths):
             grow = max(need, 2 * len(self.lengths))
             self.lengths, self.starts = np.resize(self.lengths, grow), np.resize(self.starts, grow)
         out: list[int] = []
         tokenize = self.model.tokenize
         used = self.used
-        for key, piece in zip(keys, pieces, strict=True):
+        for key, piece in pieces.items():
             ids = [t.id for t in tokenize(piece.decode("latin-1").translate(table))]
             at = len(self.row)
             self.row[key] = at
@@ -164,19 +168,27 @@ class PieceEncoder:
         if at_byte is not None:
             starts = at_byte[starts]
         ends = np.append(starts[1:], len(data))
-        prefix = _HASH.prefix(_HASH.table[data])
-        key = _HASH.spans(prefix, starts, ends)
+        length = ends - starts
+        # short pieces are keys themselves (their bytes and length); of long ones a fingerprint, compared byte by byte
+        key = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))[starts]
+        key = (key & _MASK[np.minimum(length, 7)]) | (length.astype(np.uint64) << np.uint64(56))
+        long = np.flatnonzero(length > 7)
+        key[long] = _HASH.spans(_HASH.prefix(_HASH.table[data]), starts[long], ends[long]) | np.uint64(1 << 63)
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        row = self.row
-        found = [row.get(k, -1) for k in unique.tolist()]
-        table = np.array(found, np.int64)
-        lack = np.flatnonzero(table < 0)
-        if len(lack):
-            raw = data.tobytes()
-            at = len(row)
-            pieces = [raw[s:e] for s, e in zip(starts[first[lack]].tolist(), ends[first[lack]].tolist(), strict=True)]
-            self._add(unique[lack].tolist(), pieces)
-            table[lack] = np.arange(at, at + len(lack))
+        like, size = first[inverse[long]], length[long]
+        if not (np.array_equal(length[like], size) and np.array_equal(data[ragged(starts[like], size)], data[ragged(starts[long], size)])):
+            first = inverse = np.arange(len(starts))  # two pieces with one fingerprint: each piece is looked up for itself
+            unique = key
+        raw, row = data.tobytes(), self.row
+        keys: list[int | bytes] = unique.tolist()
+        spans = lambda of: zip(of.tolist(), starts[first[of]].tolist(), ends[first[of]].tolist(), strict=True)
+        for k, s, e in spans(np.flatnonzero(length[first] > 7)):
+            keys[k] = raw[s:e]
+        table = np.array([row.get(k, -1) for k in keys], np.int64)
+        lack = {keys[k]: raw[s:e] for k, s, e in spans(np.flatnonzero(table < 0))}
+        if lack:
+            self._add(lack)
+            table = np.array([row[k] for k in keys], np.int64)
         return table[inverse], np.searchsorted(starts, offsets)
 
     def _has_special(self, data: np.ndarray) -> bool:
@@ -197,9 +209,12 @@ class PieceEncoder:
         """The number of tokens of each document."""
         if not self.plain or self._has_special(data):
             return np.array([len(x) for x in self._library(data, offsets)], np.int64)
-        rows, at = self.rows(data, offsets)
-        total = np.concatenate([[0], np.cumsum(self.lengths[rows])])
-        return total[at[1:]] - total[at[:-1]]
+        out = np.zeros(len(offsets) - 1, np.int64)
+        for first, part, border in split_long(data, offsets, BATCH_BYTES):
+            rows, at = self.rows(part, border)
+            total = np.concatenate([[0], np.cumsum(self.lengths[rows])])
+            np.add.at(out, np.arange(first, first + len(border) - 1) if len(offsets) > 2 else 0, total[at[1:]] - total[at[:-1]])
+        return out
 
     def _library(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The library's own batch encoding; where cuts are safe, long texts go in pieces."""
@@ -216,6 +231,25 @@ class PieceEncoder:
         return [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in got]
 
 
+def split_long(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(document, bytes, offsets): a chunk as it is, or a single long text in parts that end before a blank or line feed after an ASCII letter or digit."""
+    if len(offsets) != 2 or len(data) <= size:
+        yield 0, data, offsets
+        return
+    after = np.flatnonzero((data[1:] == 0x20) | (data[1:] == 0x0A)) + 1
+    before = LOWER[data[after - 1]]
+    after = after[((before >= 0x61) & (before <= 0x7A)) | ((before >= 0x30) & (before <= 0x39))]
+    at = 0
+    while at < len(data):
+        k = np.searchsorted(after, at + size, "right") - 1
+        if k >= 0 and after[k] > at and at + size < len(data):
+            end = int(after[k])
+        else:  # the rest, or no safe place so soon: up to the next one
+            end = len(data) if at + size >= len(data) or k + 1 == len(after) else int(after[k + 1])
+        yield 0, data[at:end], np.array([0, end - at])
+        at = end
+
+
 def safe_pieces(text: str, size: int) -> Iterator[str]:
     """Cuts before a blank or line feed that follows a letter or digit: the pattern always ends a piece there."""
     at = 0
@@ -243,7 +277,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, *, text: str = "text", k
     A ``.model`` vocabulary is counted by sentencepiece, a ``.json`` one by tokenizers.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(*keys, F.col(text).alias("__text"))
+    source = docs.select(*keys, F.col(text).alias(unused(list(keys), "__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", n_bytes long, n_tokens long, over_limit boolean"
 
     def count(batches):
