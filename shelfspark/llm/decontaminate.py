@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrays import LOWER, NOT_ALNUM, chunks, column_bytes, covered, ngrams, per_document, sliding_min, valid_starts, word_hashes, words
-from shelfspark.llm.common import bounded_batches, stored
+from shelfspark.llm.common import bounded_batches, stored, unused
 
 WINDOW, K = 13, 5
 MOST_BYTES = 16 << 20
@@ -152,10 +152,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
     bounded_batches(docs.sparkSession)
     index = _index(benchmark, item, item_text, most_bytes)
     if index is None:
-        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        numbered = rows.select(F.col("__row").alias("id"), F.col(key).alias("k"), F.col(text).alias("t"))
-        bad = _joined(numbered, benchmark, item, item_text).where("contaminated").select(F.col("id").alias("__bad"))
-        return rows.join(bad, F.col("__row") == F.col("__bad"), "left_anti").select(*docs.columns)
+        row = unused(docs.columns, "__row")
+        gone = unused([*docs.columns, row], "__bad")
+        rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        numbered = rows.select(F.col(row).alias("id"), F.col(key).alias("k"), F.col(text).alias("t"))
+        bad = _joined(numbered, benchmark, item, item_text).where("contaminated").select(F.col("id").alias(gone))
+        return rows.join(bad, F.col(row) == F.col(gone), "left_anti").select(*docs.columns)
     place = docs.columns.index(text)
 
     def run(batches):

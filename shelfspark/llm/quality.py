@@ -6,9 +6,10 @@ of all its documents that pass the base rules, counted over the whole corpus.  A
 of COMMON of whose list most of its words are, a LEAST_SHARE at least, whatever its tag says; one below that share
 belongs to the language of its tag if that has no list here.  A reference needs LEAST_DOCS documents (LEAST_TAGGED
 where only the tag tells the language), so a tag can't excuse the junk under it; where there is none at all, the mean
-of all documents that pass the base rules serves as the only one.  A document is judged
-against the reference that it is nearest to, because declared languages can be wrong, and it is rejected if
-its character distance, its word distance or the mean of the two is above a limit.  Minimum lengths: each entry of
+of all documents that pass the base rules serves as the only one.  Because declared
+languages can be wrong, each of a document's two distances is the least over all references (that may be one reference for
+its characters and another for its words: taking the one nearest in both rejects good documents of sf0.01), and the document
+is rejected if its character distance, its word distance or the mean of the two is above a limit.  Minimum lengths: each entry of
 LIMITS and WORD_LIMITS holds from a number of words on, since histograms of short texts are far from any reference by chance;
 documents under all of them pass.  The base rules of the contract come first.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrays import LOWER, WHITE, chunks, covered, mix, ngrams, per_document, valid_starts, word_hashes, words
-from shelfspark.llm.common import bounded_batches
+from shelfspark.llm.common import bounded_batches, unused
 
 #: Frequent function words of each language.
 COMMON = {
@@ -237,7 +238,7 @@ def verdicts(data: np.ndarray, offsets: np.ndarray, references: dict, limits: tu
 def quality(docs: DataFrame, references: dict, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), limits: tuple = LIMITS, word_limits: tuple = WORD_LIMITS) -> DataFrame:
     """keys, the contract's counts, base_failed, kept, and both distances. Map only."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(*keys, F.col(text).alias("__text"))
+    source = docs.select(*keys, F.col(text).alias(unused(list(keys), "__text")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + "".join(f", {x} long" for x in names) + ", base_failed boolean, kept boolean, char_distance double, word_distance double"
 
