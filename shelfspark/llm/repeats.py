@@ -170,7 +170,7 @@ def _anchors(symbols: np.ndarray, at: np.ndarray, rule: Rule):
     s0, owned = s[first], np.diff(np.append(first, len(s)))
     anchor = anchor[first]
     context = mix(_ONE.spans(prefix, s0, s0 + owned - 1 + rule.window) + (anchor - s0).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + owned.astype(np.uint64)) | np.uint64(1)
-    return s0, owned, grams[anchor], context
+    return s0, owned, mix(grams[anchor]), context  # kept grams are small numbers: mixed once more, index partitions get even shares
 
 
 class _Stretches:
@@ -221,7 +221,7 @@ def _sightings(table: pa.Table, rule: Rule, read: Callable, text: str) -> Iterat
             continue
         _, s, anchor, grams = got
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
-        yield a, at, anchor[first], grams[anchor[first]], s[first], np.diff(np.append(first, len(s)))
+        yield a, at, anchor[first], mix(grams[anchor[first]]), s[first], np.diff(np.append(first, len(s)))
 
 
 def _stretches(table: pa.Table, rule: Rule, read: Callable, text: str, hashes: np.ndarray, far_of: Callable[[np.ndarray], np.ndarray]) -> _Stretches:
