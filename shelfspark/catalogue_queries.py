@@ -77,10 +77,13 @@ def dup_keeper_plan(spark, d):
     return P.duplicates(files(spark, d))
 
 
-@query(f"WITH {_A}, k AS (SELECT id, sha1, row_number() OVER (PARTITION BY sha1 ORDER BY CASE WHEN match_confidence = 'dat_verified' THEN 0 ELSE 1 END, {_RANK}, length(filename), id) AS rn FROM a) SELECT id, sha1 FROM k WHERE rn = 1")
+_HASHED = "CASE WHEN n_chars % 17 = 0 THEN NULL WHEN n_chars % 19 = 0 THEN '' WHEN doc_id % 2 = 0 THEN upper(sha1(text)) ELSE sha1(text) END"
+
+
+@query(f"WITH {_A.replace('sha1(text) AS sha1', _HASHED + ' AS sha1')}, k AS (SELECT id, sha1, row_number() OVER (PARTITION BY lower(sha1) ORDER BY CASE WHEN match_confidence = 'dat_verified' THEN 0 ELSE 1 END, {_RANK}, length(filename), id) AS rn FROM a) SELECT id, sha1 FROM k WHERE rn = 1 OR coalesce(sha1, '') = ''")
 def distinct_keepers(spark, d):
-    order = [F.when(F.col("match_confidence") == "dat_verified", 0).otherwise(1), N.extension_rank(F.col("extension")), F.length("filename"), F.col("id")]
-    return keeper(files(spark, d), ["sha1"], order, ["id"]).where("id = keeper_id").select("id", "sha1")
+    items = table(spark, d, "documents").selectExpr(*(f"{_HASHED if n == 'sha1' else e} AS {n}" for n, e in FILES))
+    return P.distinct_keepers(items).select("id", "sha1")
 
 
 @query("SELECT source, lang, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(arg_min(n_chars, (-n_chars, doc_id)) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang")
@@ -269,6 +272,20 @@ def sanitize_name(spark, d):
     return table(spark, d, "pages").select("page_id", N.safe_filename(F.col("url")).alias("safe"))
 
 
+_PATHS = "concat(CASE p_size % 10 WHEN 0 THEN 'roms/' WHEN 1 THEN '/etc/' WHEN 2 THEN '../' WHEN 3 THEN 'nes\\\\' WHEN 4 THEN 'c:' WHEN 5 THEN 'con/' WHEN 6 THEN 'a/LPT1.txt/' WHEN 7 THEN 'a//b/aux. /' WHEN 8 THEN 'content/' ELSE 'a/b..c/' END, p_name)"
+
+
+@query("SELECT p_partkey, p_size % 10 IN (0, 8, 9) AS is_safe FROM part")
+def safe_paths(spark, d):
+    return table(spark, d, "part").selectExpr("p_partkey", f"{_PATHS} AS path").select("p_partkey", N.valid_relative_path(F.col("path")).alias("is_safe"))
+
+
+@query("SELECT p_partkey, concat('https://t/', replace(p_brand, '#', '%23'), '/Named_Snaps/', replace(concat(p_name, '_ ', 'x_y'), ' ', '%20'), '.png') AS url, concat('/cache/', p_brand, '/Named_Snaps/', p_name, '_ x_y.png') AS cache_path FROM part")
+def thumbnail_urls(spark, d):
+    name, kind = F.concat("p_name", F.lit(": x/y")), F.lit("Named_Snaps")
+    return table(spark, d, "part").select("p_partkey", N.thumbnail_url("https://t/", F.col("p_brand"), name, kind).alias("url"), N.cover_cache_path("/cache", F.col("p_brand"), name, kind).alias("cache_path"))
+
+
 @query("SELECT p_partkey, right(concat('00000000', lower(to_hex(p_partkey * 7919))), 8) AS crc FROM part")
 def crc_normalize(spark, d):
     return table(spark, d, "part").select("p_partkey", N.crc_key(F.concat(F.lit("0x"), F.hex(F.col("p_partkey") * 7919)), clamp=True).alias("crc"))
@@ -403,12 +420,13 @@ def conflict_policy(spark, d):
     return C.sync_plan(*_sides(spark, d), "two_way", policy="newest").where("kind = 'conflict'").select("rom_id", "resolution")
 
 
-@query(f"WITH {_A}, {_DISK}, st AS (SELECT id, path AS target_path, size_bytes, sha1, CASE WHEN is_hack THEN NULL ELSE system_id END AS system_id FROM a), c AS (SELECT a.id, a.path, a.sha1 FROM a JOIN labels l ON l.doc_id = a.id WHERE l.quality = 0), h AS (SELECT sha1, min(id) AS i FROM c GROUP BY 1) SELECT st.id, CASE WHEN c.id IS NOT NULL THEN 'dupe_filename' WHEN disk.disk_size = st.size_bytes THEN 'dupe_filename' WHEN h.i IS NOT NULL THEN 'dupe_content' WHEN st.system_id IS NULL THEN 'unsorted' ELSE 'new' END AS status, coalesce(c.id, h.i) AS collides_with FROM st LEFT JOIN c ON c.path = st.target_path LEFT JOIN disk ON disk.path = st.target_path LEFT JOIN h ON h.sha1 = st.sha1")
+@query(f"WITH {_A}, {_DISK}, st AS (SELECT id, path AS target_path, size_bytes, sha1, CASE WHEN is_hack THEN NULL ELSE system_id END AS system_id, extension = '.zip' AND id % 9 = 0 AS is_multi FROM a), c AS (SELECT a.id, a.path, a.sha1 FROM a JOIN labels l ON l.doc_id = a.id WHERE l.toxic = 1), h AS (SELECT sha1, min(id) AS i FROM c GROUP BY 1), r AS (SELECT st.id, c.id AS c_id, h.i, CASE WHEN is_multi THEN 'multi_rom_archive' WHEN c.id IS NOT NULL THEN 'dupe_path' WHEN disk.disk_size = st.size_bytes THEN 'dupe_path' WHEN disk.disk_size <> st.size_bytes THEN 'dupe_filename' WHEN h.i IS NOT NULL AND st.system_id IS NOT NULL THEN 'dupe_hash' ELSE 'new' END AS status FROM st LEFT JOIN c ON c.path = st.target_path LEFT JOIN disk ON disk.path = st.target_path LEFT JOIN h ON h.sha1 = st.sha1) SELECT id, status, CASE status WHEN 'new' THEN 'copy' ELSE 'skip' END AS resolution, CASE status WHEN 'dupe_path' THEN c_id WHEN 'dupe_hash' THEN i END AS collides_with FROM r")
 def import_classify(spark, d):
-    a, labels = files(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    staged = a.select("id", F.col("path").alias("target_path"), "size_bytes", "sha1", F.when(~F.col("is_hack"), F.col("system_id")).alias("system_id"))
-    known = a.join(labels.where("quality = 0"), "id").select("id", "path", "sha1")
-    return C.import_status(staged, known, _disk(spark, d).select("path", F.col("disk_size").alias("size_bytes"))).select("id", "status", "collides_with")
+    a, labels = files(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    multi = ((F.col("extension") == ".zip") & (F.col("id") % 9 == 0)).alias("is_multi")
+    staged = a.select("id", F.col("path").alias("target_path"), "size_bytes", "sha1", F.when(~F.col("is_hack"), F.col("system_id")).alias("system_id"), multi)
+    known = a.join(labels.where("toxic = 1"), "id").select("id", "path", "sha1")
+    return C.import_status(staged, known, _disk(spark, d).select("path", F.col("disk_size").alias("size_bytes"))).select("id", "status", "resolution", "collides_with")
 
 
 # ---- plans
@@ -431,10 +449,35 @@ def collision_plan(spark, d):
     return P.collisions(P.renames(a, P.duplicates(a)), a).select("kind", "rom_id", "source_path", "target_path")
 
 
-@query(f"WITH {_A}, {_DUPES}, {_COLL} SELECT target_path AS collision, 'rename_suffixed' AS kind, rom_id, source_path AS path FROM c WHERE kind = 'collision'")
+@query(f"WITH {_A}, {_DUPES}, {_COLL} SELECT target_path AS collision, 0 AS ordinal, 'delete_file' AS kind, t_id AS rom_id, target_path AS source_path, NULL AS target_path FROM c WHERE kind = 'collision' AND rivals = 1 AND NOT moved UNION ALL SELECT target_path, 1, 'rename', rom_id, source_path, target_path FROM c WHERE kind = 'collision' AND rivals = 1 AND NOT moved")
 def resolve_collision_explode(spark, d):
     a = files(spark, d)
-    return P.resolutions(P.collisions(P.renames(a, P.duplicates(a)), a), "keep_both")
+    return P.resolutions(P.collisions(P.renames(a, P.duplicates(a)), a), "replace_target").drop("reason")
+
+
+@query(f"WITH {_A}, {_DUPES}, {_COLL} SELECT target_path AS collision, 0 AS ordinal, 'delete_file' AS kind, rom_id, source_path FROM c WHERE kind = 'collision'")
+def resolve_collision_source(spark, d):
+    a = files(spark, d)
+    return P.resolutions(P.collisions(P.renames(a, P.duplicates(a)), a), "delete_source").drop("reason", "target_path")
+
+
+@query(f"WITH {_A}, {_DUPES}, {_COLL}, o AS (SELECT target_path, unnest(CASE WHEN rivals = 1 AND NOT moved AND t_id IS NOT NULL THEN ['do_nothing', 'delete_source', 'replace_target'] ELSE ['do_nothing', 'delete_source'] END) AS choice FROM c WHERE kind = 'collision') SELECT target_path AS collision, list_position(['do_nothing', 'delete_source', 'replace_target'], choice) - 1 AS ordinal, choice FROM o")
+def resolution_choices(spark, d):
+    a = files(spark, d)
+    return P.available_resolutions(P.collisions(P.renames(a, P.duplicates(a)), a))
+
+
+_MERGES = "ff AS (SELECT system_id, folder, split_part(folder, '/', -1) AS alias FROM a GROUP BY 1, 2), ft AS (SELECT system_id, min(folder) AS target FROM ff WHERE alias IN ('src0', 'src1') GROUP BY 1), mg AS (SELECT ff.folder, ft.target FROM ff JOIN ft ON ft.system_id = ff.system_id WHERE ff.alias NOT IN ('src0', 'src1'))"
+
+
+def _aliases(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("lang").alias("system_id"), F.lower("source").alias("alias")).distinct().withColumn("canonical", F.col("alias").isin("src0", "src1"))
+
+
+@query(f"WITH {_A}, {_DUPES}, {_COLL}, {_MERGES} SELECT 'merge_folder' AS kind, NULL AS rom_id, NULL AS target_rom_id, folder AS source_path, target AS target_path FROM mg UNION ALL SELECT 'delete_duplicate', rom_id, target_rom_id, source_path, target_path FROM dup UNION ALL SELECT 'rename', rom_id, NULL, source_path, target_path FROM ren WHERE target_path NOT IN (SELECT target_path FROM c WHERE kind <> 'rename') UNION ALL SELECT kind, rom_id, CASE WHEN rivals = 1 AND NOT moved THEN t_id END, source_path, target_path FROM c WHERE kind <> 'rename'")
+def analyze_library(spark, d):
+    return P.analyze(files(spark, d), _aliases(spark, d)).drop("reason")
 
 
 @query(f"WITH {_A}, {_DUPES}, {_COLL} SELECT kind, CAST(count(*) AS BIGINT) AS n_actions FROM (SELECT kind FROM c UNION ALL SELECT 'delete_duplicate' FROM dup) GROUP BY kind")
@@ -452,15 +495,16 @@ def plan_destructive(spark, d):
 
 @query(f"WITH {_A}, f AS (SELECT system_id, folder, split_part(folder, '/', -1) AS alias, count(*) AS n FROM a GROUP BY 1, 2), t AS (SELECT system_id, min(folder) AS target FROM f WHERE alias IN ('src0', 'src1') GROUP BY 1) SELECT f.system_id, f.folder, t.target, CAST(f.n AS BIGINT) AS n_files FROM f JOIN t ON t.system_id = f.system_id WHERE f.alias NOT IN ('src0', 'src1')")
 def alias_merge_plan(spark, d):
-    docs = table(spark, d, "documents")
-    aliases = docs.select(F.col("lang").alias("system_id"), F.lower("source").alias("alias")).distinct().withColumn("canonical", F.col("alias").isin("src0", "src1"))
-    return P.alias_merges(files(spark, d), aliases)
+    return P.alias_merges(files(spark, d), _aliases(spark, d))
 
 
-@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN n = 1 THEN p_name WHEN n = 2 THEN concat(p_name, '_imported') ELSE concat(p_name, '_imported_', n - 1) END AS free_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
+_TAKEN = "concat(p_name, CASE p_size % 4 WHEN 0 THEN '_imported' WHEN 1 THEN '_imported_2' WHEN 2 THEN '_imported_5' ELSE '' END, '.SFC')"
+
+
+@query(f"WITH w AS (SELECT p_partkey AS id, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part), t AS (SELECT DISTINCT p_name, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END AS n FROM part WHERE p_size > 30 AND p_size % 4 < 3), l AS (SELECT p_name, list(n) AS ns FROM t GROUP BY 1), f AS (SELECT id, w.p_name, list_filter(range(1, k + 4), lambda x: NOT list_contains(coalesce(ns, []), x))[k] AS n FROM w LEFT JOIN l ON l.p_name = w.p_name) SELECT id, concat(p_name, '.SFC') AS name, concat(p_name, CASE WHEN n = 1 THEN '_imported' ELSE concat('_imported_', n) END, '.SFC') AS free_name FROM f")
 def unique_names(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return P.unique_names(part, part.select("name").limit(0))
+    part = table(spark, d, "part")
+    return P.unique_names(part.selectExpr("p_partkey AS id", "concat(p_name, '.SFC') AS name"), part.where("p_size > 30").selectExpr(f"{_TAKEN} AS name"))
 
 
 # ---- export

@@ -93,7 +93,7 @@ def disc_number(tag: Column) -> Column:
 
 
 def clean_name(text: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(text, GROUP, ""), r"\s+", " ")), r"[\s_\-]+$", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(text, GROUP, ""), r"(?U)\s+", " ")), r"[\s_\-]+$", "")
 
 
 def article_first(name: Column) -> Column:
@@ -104,10 +104,9 @@ def article_first(name: Column) -> Column:
 
 def fuzzy_key(name: Column, release: Column | None = None) -> Column:
     """Articles, numerals and version endings folded; only small letters and digits are left."""
-    words = F.filter(F.split(article_first(name), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(article_first(name), r"(?U)\s+"), lambda w: w != "")
     words = F.when(F.lower(F.get(words, F.lit(0))).isin(ARTICLES), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
-    numerals = F.create_map(*(x for k, v in NUMERALS.items() for x in (F.lit(k), F.lit(str(v)))))
-    words = F.transform(words, lambda w: F.coalesce(F.element_at(numerals, F.lower(F.regexp_replace(w, "[^A-Za-z0-9]", ""))), w))
+    words = F.transform(words, lambda w: lookup(F.lower(F.regexp_replace(w, "[^A-Za-z0-9]", "")), {k: str(v) for k, v in NUMERALS.items()}, w))
     key = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.array_join(words, " "), VERSION_END, ""))), "[^a-z0-9]", "")
     if release is None:
         return key
@@ -133,6 +132,8 @@ def parsed(name: Column) -> dict[str, Column]:
         "is_bad_dump": F.exists(marks, lambda m: m.rlike(r"^b\d*$")),
         "is_hack": F.exists(marks, lambda m: m.rlike(r"^h\d*$")),
         "is_translation": F.exists(marks, lambda m: m.rlike("^t[+-]")),
+        "is_overdump": F.exists(marks, lambda m: m.rlike(r"^o\d*$")),
+        "is_alternate": F.exists(marks, lambda m: m.rlike(r"^a\d*$")),
         **{f"is_{k}": has_status(tags, k) for k in STATUS},
         "fuzzy_key": fuzzy_key(clean, release),
     }
@@ -145,7 +146,7 @@ def safe_filename(name: Column) -> Column:
 
 
 def thumbnail_name(name: Column) -> Column:
-    return F.translate(name, '&*/:`<>?\\|"', "___________")
+    return F.translate(name, '&*/:\\<>?|"', "_" * 10)
 
 
 def url_path(text: Column) -> Column:
@@ -177,8 +178,20 @@ def valid_hash(text: Column) -> Column:
     return text.rlike("^[0-9a-f]+$") & F.length(text).isin(8, 32, 40)
 
 
-def valid_relative_path(text: Column) -> Column:
-    return (text != "") & ~text.rlike(r"^[/\\]") & ~text.rlike(r"^[A-Za-z]:") & ~text.rlike(r"(^|[/\\])\.\.([/\\]|$)") & ~text.rlike(r"[\x00-\x1f]")
+def valid_relative_path(text: Column, allow_empty: bool = False) -> Column:
+    """Forward slashes only, no drive or absolute path, no way up, no control characters, no device names (with any ending)."""
+    segments = F.filter(F.split(text, "/"), lambda x: x != "")
+    bad = F.exists(segments, lambda x: (x == "..") | x.rlike(r"[\x00-\x1f]") | F.lower(F.substring_index(F.regexp_replace(x, "[. ]+$", ""), ".", 1)).isin(DEVICES))
+    ok = ~text.rlike(r"[:\\\x00]") & ~text.startswith("/") & (F.size(segments) > 0) & ~bad
+    return F.when(text == "", F.lit(allow_empty)).otherwise(ok)
+
+
+def thumbnail_url(base: str, system: Column, name: Column, cover_type: Column) -> Column:
+    return F.concat_ws("/", F.lit(base.rstrip("/")), url_path(system), cover_type, F.concat(url_path(thumbnail_name(name)), F.lit(".png")))
+
+
+def cover_cache_path(root: str, system: Column, name: Column, cover_type: Column) -> Column:
+    return F.concat_ws("/", F.lit(root.rstrip("/")), system, cover_type, F.concat(thumbnail_name(name), F.lit(".png")))
 
 
 def is_sidecar(path: Column) -> Column:

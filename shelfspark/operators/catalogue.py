@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import names as N
@@ -80,11 +80,9 @@ def inventory_refresh(cached: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def signature(paths: DataFrame, group: str, path: str, n: int = 32) -> DataFrame:
-    """SHA-1 of the first n paths of each group in order, joined by NUL. Only the first n of each task are kept."""
-    first = F.sort_array(F.collect_set(path))
-    cut = paths.groupBy(group, F.spark_partition_id()).agg(F.slice(first, 1, n).alias("p"))
-    merged = cut.groupBy(group).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))), 1, n).alias("p"))
-    return merged.select(group, F.sha1(F.array_join("p", "\0")).alias("signature"))
+    """SHA-1 of the first n paths of each group in order, joined by NUL. The limit applies before the shuffle too, so no group is held whole."""
+    first = paths.withColumn("_place", F.dense_rank().over(Window.partitionBy(group).orderBy(path))).where(F.col("_place") <= n)
+    return first.groupBy(group).agg(F.sha1(F.array_join(F.sort_array(F.collect_set(path)), "\0")).alias("signature"))
 
 
 def conflict_resolution(policy: str, local_time: Column, dest_time: Column) -> Column:
@@ -153,14 +151,25 @@ def sync_plan(local: DataFrame, dest: DataFrame, mode: str, *, base_path: str =
     raise ValueError(mode)
 
 
-def import_status(staged: DataFrame, catalogue: DataFrame, disk: DataFrame) -> DataFrame:
-    """staged (path, target_path, size_bytes, sha1, system_id) with status and the id of what it collides with: catalogue path, then disk file of equal size, then equal content."""
-    by_path = catalogue.select(F.col("path").alias("target_path"), F.col("id").alias("path_id"))
-    on_disk = disk.select(F.col("path").alias("target_path"), F.col("size_bytes").alias("disk_size"))
+def import_status(staged: DataFrame, catalogue: DataFrame, disk: DataFrame, *, by_content: bool = True, default: str = "copy") -> DataFrame:
+    """staged with status, resolution and the id of the catalogue row it collides with.
+
+    In this order: multi_rom_archive (column is_multi, if there is one); dupe_path: the target path is catalogued, or a file of equal size is
+    there; dupe_filename: a file of another size is there; dupe_hash: equal content is catalogued (by_content, and only for files of a system);
+    new. All but new are skipped. staged: target_path, size_bytes, sha1, system_id; catalogue: id, path, sha1; disk: path, size_bytes.
+    """
+    by_path = catalogue.groupBy(F.col("path").alias("target_path")).agg(F.min("id").alias("path_id"))
+    on_disk = disk.select(F.col("path").alias("target_path"), F.col("size_bytes").alias("disk_size"), F.lit(True).alias("there"))
     by_hash = first_wins(catalogue.select("sha1", F.col("id").alias("hash_id")), ["sha1"], [F.col("hash_id")])
     joined = staged.join(by_path, "target_path", "left").join(on_disk, "target_path", "left").join(by_hash, "sha1", "left")
-    status = F.when(F.col("path_id").isNotNull(), "dupe_filename").when(F.col("disk_size") == F.col("size_bytes"), "dupe_filename").when(F.col("hash_id").isNotNull(), "dupe_content").when(F.col("system_id").isNull(), "unsorted").otherwise("new")
-    return joined.select(*staged.columns, status.alias("status"), F.coalesce("path_id", "hash_id").alias("collides_with"))
+    multi = F.col("is_multi") if "is_multi" in staged.columns else F.lit(False)
+    there = F.col("there").isNotNull()
+    same_path = F.col("path_id").isNotNull() | (there & F.coalesce(F.col("disk_size") == F.col("size_bytes"), F.lit(False)))
+    content = F.lit(by_content) & F.col("system_id").isNotNull() & F.col("hash_id").isNotNull()
+    status = F.when(multi, "multi_rom_archive").when(same_path, "dupe_path").when(there, "dupe_filename").when(content, "dupe_hash").otherwise("new")
+    with_status = joined.withColumn("status", status)
+    other = F.when(F.col("status") == "dupe_path", F.col("path_id")).when(F.col("status") == "dupe_hash", F.col("hash_id"))
+    return with_status.select(*staged.columns, "status", F.when(F.col("status") == "new", default).otherwise("skip").alias("resolution"), other.alias("collides_with"))
 
 
 def registry_match(items: DataFrame, registry: DataFrame) -> DataFrame:

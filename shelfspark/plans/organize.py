@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import names as N
 from shelfspark.operators.resolve import keeper
+from shelfspark.sources.shared import written
 
 
 def duplicates(items: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def renames(items: DataFrame, deleted: DataFrame) -> DataFrame:
     """Verified items whose name isn't the registry's."""
     own = items.where("match_confidence = 'dat_verified' AND dat_match <> ''").join(deleted.select(F.col("rom_id").alias("id")), "id", "left_anti")
     name = N.safe_filename(F.col("dat_match"))
-    name = F.when(F.endswith(F.lower(name), F.col("extension")), name).otherwise(F.concat(name, "extension"))
+    name = F.when(F.endswith(F.lower(name), F.lower("extension")), name).otherwise(F.concat(name, "extension"))
     target = F.concat(N.parent(F.col("path")), F.lit("/"), name)
     return own.withColumn("target_path", target).where((N.safe_filename(F.col("dat_match")) != "") & (F.col("target_path") != F.col("path"))).select(F.lit("rename").alias("kind"), F.col("id").alias("rom_id"), F.lit(None).cast("long").alias("target_rom_id"), F.col("path").alias("source_path"), "target_path", F.lit("registry name").alias("reason"))
 
@@ -51,19 +52,35 @@ def collisions(renamed: DataFrame, items: DataFrame) -> DataFrame:
     return safe.unionByName(judged.select(*columns))
 
 
+#: What may be done about a collision, in the order in which it is offered.
+CHOICES = ["do_nothing", "delete_source", "replace_target"]
+_ACTION = "struct<ordinal:int,kind:string,rom_id:long,source_path:string,target_path:string,reason:string>"
+
+
+def available_resolutions(plan: DataFrame) -> DataFrame:
+    """collision, ordinal, choice: what can be chosen for each collision, by the rows that it knows."""
+    source, target = F.col("rom_id").isNotNull(), F.col("target_rom_id").isNotNull()
+    offered = F.filter(F.array(F.lit(CHOICES[0]), F.when(source, CHOICES[1]), F.when(source & target, CHOICES[2])), lambda c: c.isNotNull())
+    return plan.where("kind = 'collision'").select(F.col("target_path").alias("collision"), F.posexplode(offered).alias("ordinal", "choice"))
+
+
 def resolutions(plan: DataFrame, choice: str) -> DataFrame:
-    """The actions that a choice (keep_source, keep_target, keep_both, skip) makes of each collision: none, one or two."""
-    action = lambda kind, who, path: F.struct(F.lit(kind).alias("kind"), F.col(who).alias("rom_id"), F.col(path).alias("path"))
-    both = F.col("target_rom_id").isNotNull()
-    none = F.expr("array()").cast("array<struct<kind:string,rom_id:long,path:string>>")
+    """The actions (collision, ordinal, kind, rom_id, source_path, target_path, reason) that a choice makes of each collision: none, one, or two in order.
+
+    do_nothing and unknown choices make none, delete_source deletes the file that should have been renamed, replace_target deletes the file
+    at the target path and renames then. A choice that isn't available for a collision makes none of it.
+    """
+
+    def action(ordinal, kind, who, source, target, reason):
+        return F.struct(F.lit(ordinal).alias("ordinal"), F.lit(kind).alias("kind"), F.col(who).alias("rom_id"), F.col(source).alias("source_path"), (F.col(target) if target else F.lit(None).cast("string")).alias("target_path"), F.lit(reason).alias("reason"))
+
+    source, both = F.col("rom_id").isNotNull(), F.col("rom_id").isNotNull() & F.col("target_rom_id").isNotNull()
     made = {
-        "keep_source": F.when(both, F.array(action("delete_duplicate", "target_rom_id", "target_path"), action("rename", "rom_id", "source_path"))),
-        "keep_target": F.when(both, F.array(action("delete_duplicate", "rom_id", "source_path"))),
-        "keep_both": F.array(action("rename_suffixed", "rom_id", "source_path")),
-        "skip": F.lit(None),
-    }[choice]
-    out = plan.where("kind = 'collision'").select(F.col("target_path").alias("collision"), F.explode(F.coalesce(made, none)).alias("a"))
-    return out.select("collision", "a.kind", "a.rom_id", "a.path")
+        "delete_source": F.when(source, F.array(action(0, "delete_file", "rom_id", "source_path", None, "chosen: delete source"))),
+        "replace_target": F.when(both, F.array(action(0, "delete_file", "target_rom_id", "target_path", None, "chosen: delete target before the rename"), action(1, "rename", "rom_id", "source_path", "target_path", "chosen: rename over the deleted target"))),
+    }.get(choice, F.lit(None))
+    out = plan.where("kind = 'collision'").select(F.col("target_path").alias("collision"), F.explode(made.cast(f"array<{_ACTION}>")).alias("a"))
+    return out.select("collision", "a.*")
 
 
 def alias_merges(items: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -79,10 +96,38 @@ def counts(plan: DataFrame) -> DataFrame:
 
 
 def unique_names(wanted: DataFrame, taken: DataFrame, suffix: str = "_imported") -> DataFrame:
-    """name, id -> a name that is free: as it is, with the suffix, or with the suffix and a number."""
-    w = Window.partitionBy("name").orderBy("id")
-    have = taken.groupBy("name").agg(F.count("*").alias("used"))
-    out = wanted.withColumn("n", F.row_number().over(w)).join(have, "name", "left")
-    k = F.col("n") - 1 + F.coalesce("used", F.lit(0))
-    base, ext = N.stem(F.col("name")), N.extension(F.col("name"))
-    return out.select("id", "name", F.when(k == 0, F.col("name")).when(k == 1, F.concat(base, F.lit(suffix), ext)).otherwise(F.concat(base, F.lit(f"{suffix}_"), k.cast("string"), ext)).alias("free_name"))
+    """id, name -> free_name for names that are taken: stem, suffix, and from the second free one on a number (a_imported.sfc, a_imported_2.sfc, ...).
+
+    Of equal wanted names each gets its own, in the order of ids. taken: name. As many numbers as a name has wanted and taken rows are tried, so the work is
+    in proportion to the rows.
+    """
+    parts = lambda df: df.withColumn("base", N.stem(F.col("name"))).withColumn("ext", F.regexp_extract("name", r"^.+(\.[^.]+)$", 1))
+    game = ["base", "ext"]
+    asked = parts(wanted.select("id", "name")).withColumn("k", F.row_number().over(Window.partitionBy(*game).orderBy("id")))
+    pattern = rf"^(.*){suffix}(?:_([1-9][0-9]{{0,8}}))?$"
+    used = parts(taken.select("name").distinct()).where(F.col("base").rlike(pattern))
+    used = used.select(F.regexp_extract("base", pattern, 1).alias("base"), "ext", F.coalesce(F.regexp_extract("base", pattern, 2).try_cast("int"), F.lit(1)).alias("n")).distinct()
+    room = asked.groupBy(*game).agg(F.max("k").alias("w")).join(used.groupBy(*game).agg(F.count("*").alias("t")), game, "left")
+    slots = room.select(*game, F.explode(F.sequence(F.lit(1), (F.col("w") + F.coalesce("t", F.lit(0))).cast("int"))).alias("n")).join(used, [*game, "n"], "left_anti")
+    slots = slots.withColumn("k", F.row_number().over(Window.partitionBy(*game).orderBy("n")))
+    named = asked.join(slots, [*game, "k"])
+    return named.select("id", "name", F.when(F.col("n") == 1, F.concat("base", F.lit(suffix), "ext")).otherwise(F.concat("base", F.lit(f"{suffix}_"), F.col("n").cast("string"), "ext")).alias("free_name"))
+
+
+def distinct_keepers(items: DataFrame) -> DataFrame:
+    """One item of each content (verified ones first, then by extension, length of name and id); items without a hash are all kept."""
+    hashed = F.coalesce("sha1", F.lit("")) != ""
+    order = [F.when(F.lower("match_confidence") == "dat_verified", 0).otherwise(1), N.extension_rank(F.lower("extension")), F.length("filename"), F.col("id")]
+    own = items.where(hashed).withColumn("_content", F.lower("sha1"))
+    kept = keeper(own, ["_content"], order, ["id"]).where("id = keeper_id").select(*items.columns)
+    return kept.unionByName(items.where(~hashed))
+
+
+def analyze(items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The whole plan: folder merges, then duplicates, then renames of what isn't deleted, with collisions in their place."""
+    dupes = written(duplicates(items), "duplicates")
+    moves = written(renames(items, dupes), "renames")
+    columns = ["kind", "rom_id", "target_rom_id", "source_path", "target_path", "reason"]
+    none = F.lit(None).cast("long")
+    merges = alias_merges(items, aliases).select(F.lit("merge_folder").alias("kind"), none.alias("rom_id"), none.alias("target_rom_id"), F.col("folder").alias("source_path"), F.col("target").alias("target_path"), F.lit("folder of an alias").alias("reason"))
+    return merges.select(*columns).unionByName(dupes.select(*columns)).unionByName(collisions(moves, items).select(*columns))
