@@ -210,10 +210,10 @@ class PieceEncoder:
         if not self.plain or self._has_special(data):
             return np.array([len(x) for x in self._library(data, offsets)], np.int64)
         out = np.zeros(len(offsets) - 1, np.int64)
-        for first, part, border in split_long(data, offsets, BATCH_BYTES):
+        for part, border in split_long(data, offsets, BATCH_BYTES):
             rows, at = self.rows(part, border)
             total = np.concatenate([[0], np.cumsum(self.lengths[rows])])
-            np.add.at(out, np.arange(first, first + len(border) - 1) if len(offsets) > 2 else 0, total[at[1:]] - total[at[:-1]])
+            out += total[at[1:]] - total[at[:-1]]
         return out
 
     def _library(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -231,10 +231,10 @@ class PieceEncoder:
         return [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in got]
 
 
-def split_long(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(document, bytes, offsets): a chunk as it is, or a single long text in parts that end before a blank or line feed after an ASCII letter or digit."""
+def split_long(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets): a chunk as it is, or a single long text in parts that end before a blank or line feed after an ASCII letter or digit."""
     if len(offsets) != 2 or len(data) <= size:
-        yield 0, data, offsets
+        yield data, offsets
         return
     after = np.flatnonzero((data[1:] == 0x20) | (data[1:] == 0x0A)) + 1
     before = LOWER[data[after - 1]]
@@ -246,7 +246,7 @@ def split_long(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tup
             end = int(after[k])
         else:  # the rest, or no safe place so soon: up to the next one
             end = len(data) if at + size >= len(data) or k + 1 == len(after) else int(after[k + 1])
-        yield 0, data[at:end], np.array([0, end - at])
+        yield data[at:end], np.array([0, end - at])
         at = end
 
 
