@@ -61,4 +61,43 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
 }
-SQL: dict[str, str] = {}
+
+#: Small letters for A-Z only, and words of a contract's character class.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_B32 = "list_transform(range(8), lambda g: ('0x' || substr(h, CAST(5 * g + 1 AS INTEGER), 5))::INTEGER)"
+
+#: The contract's results in DuckDB SQL, over whole tables; the others need the tokenizer, the divergence rules, the program of buckets, or n_shared.
+SQL: dict[str, str] = {
+    "op1_warc_packages": f"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS x FROM pages),
+        h AS (SELECT page_id, url, CAST(strlen(x) AS BIGINT) AS payload_bytes, sha1(x) AS h FROM p),
+        d AS (SELECT page_id, url, payload_bytes, array_to_string(list_transform({_B32}, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> k) & 31) + 1, 1)), '')), '') AS payload_digest FROM h)
+        SELECT *, CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to FROM d WINDOW w AS (PARTITION BY payload_digest)""",
+    "op5_winnowing": f"""
+        WITH d AS (SELECT doc_id, {_ALNUM.format(_LOWER)} AS w FROM documents), i AS (SELECT item_id, {_ALNUM.format(_LOWER)} AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw))),
+        hit AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.k = dw.k),
+        spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+        its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM hit GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN spots ON spots.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    "op6_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+        z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        m AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, component_id FROM d JOIN m ON m.a = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id""",
+    "op9_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        g AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+        h AS (SELECT doc_id, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS least FROM g) WHERE least < doc_id),
+        p AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, s + 13)) AS p FROM h) GROUP BY 1),
+        k AS (SELECT d.doc_id, string_agg(x, ' ' ORDER BY d.i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) d LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM p) q ON q.doc_id = d.doc_id AND q.i = d.i WHERE q.i IS NULL GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+}
