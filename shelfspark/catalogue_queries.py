@@ -50,6 +50,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*(f"{e} AS {n}" for n, e in FILES))
 
 
+#: The same files in one folder, where every third is to get the name of the next: many renames meet a file.
+FLAT = {"folder": "'/lib/x'", "path": f"concat('/lib/x/', {dict(FILES)['filename']})", "dat_match": "CASE WHEN n_chars % 3 = 0 THEN concat('f', doc_id + 1) END", "sha1": "CASE WHEN n_chars % 7 > 1 THEN sha1(left(text, 3)) END"}
+_FLAT = "a AS (SELECT " + ", ".join(f"{FLAT.get(n, e)} AS {n}" for n, e in FILES) + " FROM documents)"
+
+
+def flat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(*(f"{FLAT.get(n, e)} AS {n}" for n, e in FILES))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -69,7 +78,7 @@ def dup_groups(spark, d):
 
 
 _RANK = "CASE extension WHEN '.sfc' THEN 0 WHEN '.smc' THEN 1 WHEN '.md' THEN 0 ELSE 2147483647 END"
-_DUPES = f"k AS (SELECT *, row_number() OVER w AS rn, first_value(id) OVER w AS keeper_id, first_value(path) OVER w AS keeper_path FROM a WHERE NOT is_hack WINDOW w AS (PARTITION BY sha1 ORDER BY {_RANK}, length(filename), id)), dup AS (SELECT id AS rom_id, keeper_id AS target_rom_id, path AS source_path, keeper_path AS target_path FROM k WHERE rn > 1)"
+_DUPES = f"k AS (SELECT *, row_number() OVER w AS rn, first_value(id) OVER w AS keeper_id, first_value(path) OVER w AS keeper_path FROM a WHERE NOT is_hack AND sha1 IS NOT NULL WINDOW w AS (PARTITION BY sha1 ORDER BY {_RANK}, length(filename), id)), dup AS (SELECT id AS rom_id, keeper_id AS target_rom_id, path AS source_path, keeper_path AS target_path FROM k WHERE rn > 1)"
 
 
 @query(f"WITH {_A}, {_DUPES} SELECT 'delete_duplicate' AS kind, rom_id, target_rom_id, source_path, target_path, concat('same content as ', target_path) AS reason FROM dup")
@@ -440,7 +449,7 @@ def rename_plan(spark, d):
     return P.renames(a, P.duplicates(a)).select("rom_id", "source_path", "target_path")
 
 
-_COLL = f"{_REN}, g AS (SELECT target_path, count(*) AS rivals, arg_min(rom_id, rom_id) AS rom_id, arg_min(source_path, rom_id) AS source_path FROM ren GROUP BY 1), j AS (SELECT g.*, EXISTS (SELECT 1 FROM ren r WHERE r.source_path = g.target_path) AS moved, t.id AS t_id, t.sha1 AS t_sha, t.is_hack AS t_hack, s.sha1 AS s_sha, s.is_hack AS s_hack FROM g LEFT JOIN a t ON t.path = g.target_path AND t.id NOT IN (SELECT rom_id FROM ren) LEFT JOIN a s ON s.id = g.rom_id), c AS (SELECT *, CASE WHEN rivals > 1 OR moved THEN 'collision' WHEN t_id IS NULL THEN 'rename' WHEN t_sha = s_sha AND NOT t_hack AND NOT s_hack THEN 'delete_duplicate' ELSE 'collision' END AS kind FROM j)"
+_COLL = f"{_REN}, g AS (SELECT target_path, count(*) AS rivals, arg_min(rom_id, rom_id) AS rom_id, arg_min(source_path, rom_id) AS source_path FROM ren GROUP BY 1), j AS (SELECT g.*, EXISTS (SELECT 1 FROM ren r WHERE r.source_path = g.target_path) AS moved, t.id AS t_id, t.sha1 AS t_sha, t.is_hack AS t_hack, s.sha1 AS s_sha, s.is_hack AS s_hack FROM g LEFT JOIN a t ON t.path = g.target_path AND t.id NOT IN (SELECT rom_id FROM ren) LEFT JOIN a s ON s.id = g.rom_id), c AS (SELECT *, CASE WHEN rivals > 1 OR moved THEN 'collision' WHEN t_id IS NULL THEN 'rename' WHEN coalesce(t_sha = s_sha, FALSE) AND NOT t_hack AND NOT s_hack THEN 'delete_duplicate' ELSE 'collision' END AS kind FROM j)"
 
 
 @query(f"WITH {_A}, {_DUPES}, {_COLL} SELECT kind, rom_id, source_path, target_path FROM c")
@@ -449,24 +458,30 @@ def collision_plan(spark, d):
     return P.collisions(P.renames(a, P.duplicates(a)), a).select("kind", "rom_id", "source_path", "target_path")
 
 
-@query(f"WITH {_A}, {_DUPES}, {_COLL} SELECT target_path AS collision, 0 AS ordinal, 'delete_file' AS kind, t_id AS rom_id, target_path AS source_path, NULL AS target_path FROM c WHERE kind = 'collision' AND rivals = 1 AND NOT moved UNION ALL SELECT target_path, 1, 'rename', rom_id, source_path, target_path FROM c WHERE kind = 'collision' AND rivals = 1 AND NOT moved")
+@query(f"WITH {_FLAT}, {_DUPES}, {_COLL} SELECT target_path AS collision, 0 AS ordinal, 'delete_file' AS kind, t_id AS rom_id, target_path AS source_path, NULL AS target_path FROM c WHERE kind = 'collision' AND rivals = 1 AND NOT moved UNION ALL SELECT target_path, 1, 'rename', rom_id, source_path, target_path FROM c WHERE kind = 'collision' AND rivals = 1 AND NOT moved")
 def resolve_collision_explode(spark, d):
-    a = files(spark, d)
+    a = flat_files(spark, d)
     return P.resolutions(P.collisions(P.renames(a, P.duplicates(a)), a), "replace_target").drop("reason")
 
 
-@query(f"WITH {_A}, {_DUPES}, {_COLL} SELECT target_path AS collision, 0 AS ordinal, 'delete_file' AS kind, rom_id, source_path FROM c WHERE kind = 'collision'")
+@query(f"WITH {_FLAT}, {_DUPES}, {_COLL} SELECT target_path AS collision, 0 AS ordinal, 'delete_file' AS kind, rom_id, source_path FROM c WHERE kind = 'collision'")
 def resolve_collision_source(spark, d):
-    a = files(spark, d)
+    a = flat_files(spark, d)
     return P.resolutions(P.collisions(P.renames(a, P.duplicates(a)), a), "delete_source").drop("reason", "target_path")
 
 
-@query(f"WITH {_A}, {_DUPES}, {_COLL}, o AS (SELECT target_path, unnest(CASE WHEN rivals = 1 AND NOT moved AND t_id IS NOT NULL THEN ['do_nothing', 'delete_source', 'replace_target'] ELSE ['do_nothing', 'delete_source'] END) AS choice FROM c WHERE kind = 'collision') SELECT target_path AS collision, list_position(['do_nothing', 'delete_source', 'replace_target'], choice) - 1 AS ordinal, choice FROM o")
+@query(f"WITH {_FLAT}, {_DUPES}, {_COLL}, o AS (SELECT target_path, unnest(CASE WHEN rivals = 1 AND NOT moved AND t_id IS NOT NULL THEN ['do_nothing', 'delete_source', 'replace_target'] ELSE ['do_nothing', 'delete_source'] END) AS choice FROM c WHERE kind = 'collision') SELECT target_path AS collision, list_position(['do_nothing', 'delete_source', 'replace_target'], choice) - 1 AS ordinal, choice FROM o")
 def resolution_choices(spark, d):
-    a = files(spark, d)
+    a = flat_files(spark, d)
     return P.available_resolutions(P.collisions(P.renames(a, P.duplicates(a)), a))
 
 
+@query(f"WITH {_FLAT}, {_DUPES}, {_COLL} SELECT kind, rom_id, source_path, target_path FROM c")
+def collision_plan_flat(spark, d):
+    a = flat_files(spark, d)
+    return P.collisions(P.renames(a, P.duplicates(a)), a).select("kind", "rom_id", "source_path", "target_path")
+
+
 _MERGES = "ff AS (SELECT system_id, folder, split_part(folder, '/', -1) AS alias FROM a GROUP BY 1, 2), ft AS (SELECT system_id, min(folder) AS target FROM ff WHERE alias IN ('src0', 'src1') GROUP BY 1), mg AS (SELECT ff.folder, ft.target FROM ff JOIN ft ON ft.system_id = ff.system_id WHERE ff.alias NOT IN ('src0', 'src1'))"
 
 
