@@ -27,7 +27,7 @@ from shelfspark.llm.common import bounded_batches, unused
 
 BATCH_BYTES = 1 << 19
 PIECE_BYTES = 1 << 16
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 LIMIT = 512
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
