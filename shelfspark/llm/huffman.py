@@ -12,7 +12,7 @@ Decoding looks LIMIT bits up in a table and advances all checkpoints of a file t
 
 Defined results: a null or empty text has the end id alone; a null doc_id sorts before all others; rows with
 equal doc_id follow each other in the order of their texts; extra columns are ignored; an empty table gives
-no files and no rows.
+no files and no rows; a corpus with more than 2^LIMIT (262,144) different ids raises ValueError.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import decontaminate as D
 
@@ -63,3 +64,16 @@ def test_null_and_repeated_ids(spark, most):
     assert sorted(map(tuple, D.contamination(docs, bench, most_bytes=most).collect()), key=str) == want and max(r[3] for r in want) == 2
     kept = D.drop_contaminated(docs, bench, most_bytes=most)
     assert kept.columns == docs.columns and sorted(r["place"] for r in kept.collect()) == [1, 2, 4, 5]
+
+
+def test_drop_is_the_same_at_every_size(spark):
+    """Rows without an id, and rows that share one, are judged each; names that the operator uses itself."""
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, "see " + item, 0), (1, "clean text", 1), (None, item, 2), (None, "also clean", 3), (2, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row int").withColumn("__bad", F.lit("x"))
+    tests = spark.createDataFrame([(9, item), (None, "q r s")], "item_id long, text string")
+    for most in (0, D.MOST_BYTES):
+        kept = D.drop_contaminated(df, tests, most_bytes=most)
+        assert kept.columns == df.columns and sorted(r["__row"] for r in kept.collect()) == [1, 3, 4]
+        judged = sorted((r["n_words"], r["n_hit"], r["contaminated"]) for r in D.contamination(df, tests, most_bytes=most).collect())
+        assert judged == [(0, 0, False), (2, 0, False), (2, 0, False), (20, 20, True), (21, 20, True)]

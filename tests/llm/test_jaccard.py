@@ -146,3 +146,21 @@ def test_keep_first_of_any_rows(spark, block):
     for i, p in kept:
         assert i == min((x for x, _, _ in of[p] if x is not None), default=None)
     assert len({id(of[p]) for _, p in kept}) == len(groups)
+
+
+def test_one_large_family(spark):
+    """Many near copies around two texts, in blocks of 16: the components are those of all pairs."""
+    rng, rows = random.Random(3), []
+    for k in range(260):
+        w = [f"a{i}" for i in range(200)] if k % 4 else [f"a{i}" for i in range(188)] + [f"c{i}" for i in range(12)]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(200)] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.near_duplicates(df, block=16).collect()), key=str) == brute(rows)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", 1, 5), (2, "A b c d", 2, 6), (3, None, 3, 7)], "doc_id long, text string, __row int, __gone int")
+    kept = J.keep_first(df)
+    assert kept.columns == df.columns and sorted(r["__gone"] for r in kept.collect()) == [5, 7]

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -35,6 +37,33 @@ def test_query(spark, tiny):
     assert sorted(map(tuple, QUERIES["op10_license_scan"](spark, tiny).collect()), key=str) == brute(rows)
 
 
+def plain_scan(text, templates):
+    """Containment by sets of words alone, in stretches of four half windows that start a half window apart."""
+    words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    own, out = grams(words(text)), {}
+    for name, t in templates.items():
+        want, half = set(grams(words(t))), 1
+        while half < len(want):
+            half *= 2
+        for w in range(-(-len(own) // half)):
+            share = len(want & set(own[max(0, (w - 1) * half) : (w + 3) * half])) / len(want)
+            if share >= 0.8:
+                out[name] = max(out.get(name, 0), share)
+    return len(out), sorted(out), max(out.values(), default=0.0)
+
+
+def test_against_plain_sets(spark, tiny):
+    """Retrieval, shingles, windows and containment against another way to find them, over the whole table."""
+    from shelfspark.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op10_license_scan"](spark, tiny).collect()}
+    assert got == {i: plain_scan(t, L.TEMPLATES) for i, t in texts.items()} and any(x[0] for x in got.values())
+    cases = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(ROWS)], "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in L.license_scan(cases).collect()} == {k: plain_scan(t, L.TEMPLATES) for k, (_, t) in enumerate(ROWS)}
+
+
 def test_misses_are_rare():
     """The band setting's promise at the least similarity it is made for."""
     rng = np.random.default_rng(3)

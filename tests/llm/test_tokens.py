@@ -25,6 +25,21 @@ def test_pieces_equal_library():
         assert encoder.count(data, offsets).tolist() == [len(x) for x in want]
 
 
+def test_a_single_long_text():
+    """A text that fills more than a batch is counted in parts."""
+    rng, encoder = random.Random(6), tokens.PieceEncoder(PATH)
+    for t in ("word 12,3 don't  x\n\n" * 40000, "é" * 300000, " " * 600000 + "x", "".join(rng.choice(PARTS[:20]) for _ in range(400000))):
+        data = np.frombuffer(t.encode(), np.uint8)
+        parts = [bytes(x) for x, _ in tokens.split_long(data, np.array([0, len(data)]), 1 << 18)]
+        assert b"".join(parts) == bytes(data)
+        assert encoder.count(data, np.array([0, len(data)])).tolist() == [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids)]
+
+
+def test_any_key_name(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "__text long, text string")
+    assert sorted(map(tuple, tokens.token_counts(df, PATH, keys=("__text",)).collect())) == [(1, 3, 2, False), (2, 0, 0, False)]
+
+
 def test_safe_pieces():
     for t in ("ab cd\nef  gh" * 30, "x" * 100, "", "   " * 40):
         assert "".join(tokens.safe_pieces(t, 7)) == t
