@@ -29,7 +29,7 @@ def query(sql: str):
 _PLAN = "pl AS (SELECT 'merge_folder' AS kind, NULL AS rom_id, NULL AS target_rom_id, folder AS source_path, target AS target_path FROM mg UNION ALL SELECT 'delete_duplicate', rom_id, target_rom_id, source_path, target_path FROM dup UNION ALL SELECT 'rename', rom_id, NULL, source_path, target_path FROM ren WHERE target_path NOT IN (SELECT target_path FROM c WHERE kind <> 'rename') UNION ALL SELECT kind, rom_id, CASE WHEN rivals = 1 AND NOT moved THEN t_id END, source_path, target_path FROM c WHERE kind <> 'rename')"
 #: Contents at the time of applying: some changed since the plan was made.
 _NOW = "now AS (SELECT id, path, CASE WHEN id % 10 = 3 THEN 'changed' ELSE sha1 END AS sha1 FROM a)"
-_OUTCOME = f"{_NOW}, {_PLAN}, dl AS (SELECT rom_id FROM pl WHERE kind = 'delete_duplicate'), oc AS (SELECT pl.*, CASE WHEN kind = 'collision' THEN 'skipped' WHEN kind = 'delete_duplicate' THEN CASE WHEN t.id IS NULL OR coalesce(s.sha1 = t.sha1, FALSE) THEN 'applied' ELSE 'failed' END WHEN kind = 'rename' THEN CASE WHEN t.id IS NULL OR t.id IN (SELECT rom_id FROM dl) THEN 'applied' ELSE 'failed' END ELSE CASE WHEN EXISTS (SELECT 1 FROM a x JOIN a y ON y.path = concat(pl.target_path, '/', x.filename) WHERE x.folder = pl.source_path) THEN 'failed' ELSE 'applied' END END AS outcome FROM pl LEFT JOIN now s ON s.id = pl.rom_id LEFT JOIN now t ON t.path = pl.target_path)"
+_OUTCOME = f"{_NOW}, {_PLAN}, dl AS (SELECT pl.rom_id FROM pl LEFT JOIN now s ON s.id = pl.rom_id LEFT JOIN now t ON t.path = pl.target_path WHERE kind = 'delete_duplicate' AND (t.id IS NULL OR coalesce(s.sha1 = t.sha1, FALSE))), oc AS (SELECT pl.*, CASE WHEN kind = 'collision' THEN 'skipped' WHEN kind = 'delete_duplicate' THEN CASE WHEN t.id IS NULL OR coalesce(s.sha1 = t.sha1, FALSE) THEN 'applied' ELSE 'failed' END WHEN kind = 'rename' THEN CASE WHEN t.id IS NULL OR t.id IN (SELECT rom_id FROM dl) THEN 'applied' ELSE 'failed' END ELSE CASE WHEN EXISTS (SELECT 1 FROM a x JOIN a y ON y.path = concat(pl.target_path, '/', x.filename) WHERE x.folder = pl.source_path) THEN 'failed' ELSE 'applied' END END AS outcome FROM pl LEFT JOIN now s ON s.id = pl.rom_id LEFT JOIN now t ON t.path = pl.target_path)"
 
 
 def _outcome(spark, d):

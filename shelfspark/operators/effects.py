@@ -18,19 +18,20 @@ def organize_outcome(items: DataFrame, plan: DataFrame) -> DataFrame:
     """The plan with outcome: applied, failed or skipped (collisions).
 
     A duplicate is only deleted if its content still equals that of the file it duplicates (items: id, path, sha1); a rename needs a path that nothing
-    keeps; a folder merge needs that no file of the folder meets one of its name.
+    keeps once these deletions are done; a folder merge needs that no file of the folder meets one of its name.
     """
     at = items.select("id", "path", F.lower("sha1").alias("sha1"))
-    gone = plan.where("kind IN ('delete_duplicate', 'delete_file')").select(F.col("rom_id").alias("id"))
     source = at.select(F.col("id").alias("rom_id"), F.col("sha1").alias("_sha"))
     target = at.select(F.col("path").alias("target_path"), F.col("id").alias("_there"), F.col("sha1").alias("_target_sha"))
+    known = plan.join(source, "rom_id", "left").join(target.dropDuplicates(["target_path"]), "target_path", "left")
+    same = F.col("_there").isNull() | F.coalesce(F.col("_sha") == F.col("_target_sha"), F.lit(False))
+    gone = known.where((F.col("kind") == "delete_file") | ((F.col("kind") == "delete_duplicate") & same)).select(F.col("rom_id").alias("id"))
     stays = target.join(gone.select(F.col("id").alias("_there")).distinct(), "_there", "left_anti").select("target_path", F.lit(True).alias("_kept")).distinct()
     moved = at.select(N.parent(F.col("path")).alias("source_path"), N.base_name(F.col("path")).alias("_name"))
     merges = plan.where("kind = 'merge_folder'").select("source_path", F.col("target_path").alias("_into"))
     clash = moved.join(merges, "source_path").select("source_path", F.concat_ws("/", "_into", "_name").alias("target_path")).join(target.select("target_path"), "target_path", "left_semi")
     clash = clash.select("source_path", F.lit(True).alias("_clash")).distinct()
-    j = plan.join(source, "rom_id", "left").join(target.dropDuplicates(["target_path"]), "target_path", "left").join(stays, "target_path", "left").join(clash, "source_path", "left")
-    same = F.col("_there").isNull() | F.coalesce(F.col("_sha") == F.col("_target_sha"), F.lit(False))
+    j = known.join(stays, "target_path", "left").join(clash, "source_path", "left")
     ok = F.when(F.col("kind") == "delete_duplicate", same).when(F.col("kind") == "rename", F.col("_kept").isNull()).when(F.col("kind") == "merge_folder", F.col("_clash").isNull()).otherwise(F.col("kind") == "delete_file")
     return j.select(*plan.columns, F.when(F.col("kind") == "collision", "skipped").when(ok, "applied").otherwise("failed").alias("outcome"))
 

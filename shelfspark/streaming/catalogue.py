@@ -1,97 +1,61 @@
-"""A catalogue that follows a stream of scanned files.
+"""A catalogue that follows a stream of scanned files: ``foreachBatch`` and the merge that a full scan uses.
 
-Each micro-batch is merged into the snapshot before it by the operators that a full scan uses.  The catalogue is dealt into
-buckets by the hash of its key and a batch writes only the buckets that it touches, so its work follows the batch and not
-the catalogue.  Versions are folders that are never overwritten while they are read; a batch that runs again after a lost
-driver reads the versions before its own and writes the same rows.
+Each micro-batch gives the next snapshot, root/data/version=<batch>. A batch that runs again reads the snapshot before its own and
+writes the same rows. A batch rewrites the catalogue, so batches should be large.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfspark.operators import catalogue as C
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def bucket_of(key: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def _columns(stream: DataFrame, order: str) -> StructType:
+    return StructType([StructField(f.name, f.dataType) for f in stream.schema if f.name != order])
 
 
-class Versions:
-    """Snapshots under root/data as Parquet parts batch=<id>/bucket=<k>; a bucket's rows are those of its latest finished batch.
+def snapshot(spark: SparkSession, root: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The newest snapshot, or the one that a batch found; without one, no rows."""
+    path = f"{root.rstrip('/')}/data"
+    try:
+        every = spark.read.schema(StructType([*schema, StructField("version", LongType())])).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    if before is not None:
+        every = every.where(F.col("version") < before)
+    last = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == last).select(*schema.names)
 
-    root/log/batch=<id> is written after a batch's data and names the buckets it replaced: data without a log entry is of a batch that
-    didn't end, and isn't read.
-    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str, buckets: int):
-        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
-
-    def _latest(self, before: int | None) -> DataFrame | None:
-        """bucket and the batch that wrote it last: one row for each bucket."""
-        if not self._exists(f"{self.root}/log"):
-            return None
-        log = self.spark.read.schema("bucket int, batch long").option("basePath", f"{self.root}/log").parquet(f"{self.root}/log")
-        if before is not None:
-            log = log.where(F.col("batch") < before)
-        return log.groupBy("bucket").agg(F.max("batch").alias("batch"))
-
-    def read(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-        """The snapshot (as it was before a batch), or its part in the buckets of touched."""
-        latest = self._latest(before)
-        if latest is None:
-            return self.spark.createDataFrame([], self.schema)
-        if touched is not None:
-            latest = latest.join(touched, "bucket", "left_semi")
-        # at most one pair for each bucket (a fixed number), so that the scan opens those folders only
-        paths = [f"{self.root}/data/batch={r.batch}/bucket={r.bucket}" for r in latest.collect()]
-        paths = [p for p in paths if self._exists(p)]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, touched: DataFrame, batch: int) -> None:
-        data = rows.withColumn("bucket", bucket_of(self.key, self.buckets))
-        data.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/batch={batch}")
-        touched.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
-
-
-def follow(stream: DataFrame, root: str, *, order: str, key: str = "path", buckets: int = 64, merge: Merge = C.upsert) -> Callable[[DataFrame, int], None]:
+def follow(stream: DataFrame, root: str, *, order: str, key: str = "path", merge: Merge = C.upsert) -> Callable[[DataFrame, int], None]:
     """The foreachBatch function that merges batches into the catalogue at root.
 
     Of several rows of a key in a batch the one with the greatest ``order`` counts (ties: the greatest row); rows with a null key go.
     """
-    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema if f.name != order])
+    schema = _columns(stream, order)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        versions = Versions(batch.sparkSession, root, schema, key, buckets)
         rest = [c for c in schema.names if c != key]
         rows = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, *rest)).alias("r")).select(key, *(f"r.{c}" for c in rest))
-        rows = rows.select(*schema.names)
-        rows.persist()
-        try:
-            touched = rows.select(bucket_of(key, buckets).alias("bucket")).distinct()
-            old = versions.read(before=batch_id, touched=touched)
-            versions.write(merge(old, rows).select(*schema.names), touched, batch_id)
-        finally:
-            rows.unpersist()
+        old = snapshot(batch.sparkSession, root, schema, before=batch_id)
+        merge(old, rows.select(*schema.names)).select(*schema.names).write.mode("overwrite").parquet(f"{root.rstrip('/')}/data/version={batch_id}")
 
     return step
 
 
-def run_available(stream: DataFrame, root: str, *, order: str, key: str = "path", buckets: int = 64, merge: Merge = C.upsert) -> DataFrame:
+def run_available(stream: DataFrame, root: str, *, order: str, key: str = "path", merge: Merge = C.upsert) -> DataFrame:
     """Takes in what the stream has now and returns the catalogue. Called again, it goes on from its checkpoint at root/checkpoint."""
-    step = follow(stream, root, order=order, key=key, buckets=buckets, merge=merge)
+    step = follow(stream, root, order=order, key=key, merge=merge)
     running = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root.rstrip('/')}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema if f.name != order])
-    return Versions(stream.sparkSession, root, schema, key, buckets).read()
+    return snapshot(stream.sparkSession, root, _columns(stream, order))
