@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import names as N
 from shelfspark.operators import catalogue as C
 from shelfspark.operators import collections as L
+from shelfspark.operators import enrich as E
 from shelfspark.operators.resolve import contained_pick, first_wins, keeper, latest_distinct, preferred_first, reconcile, tier_ladder
 from shelfspark.plans import organize as P
 
@@ -216,14 +217,12 @@ def sibling_metadata_ladder(spark, d):
     return out.select("id", "donor_id", "match_tier")
 
 
-@query(f"WITH {_A}, cover AS (SELECT a.id, a.sha1, a.system_id, a.fuzzy_key FROM a JOIN labels l ON l.doc_id = a.id WHERE l.toxic = 1), t AS (SELECT * FROM a WHERE id NOT IN (SELECT id FROM cover)), hit AS (SELECT t.id, c.id AS cover_id, 1 AS tier FROM t JOIN cover c ON c.sha1 = t.sha1 UNION ALL SELECT t.id, c.id, 2 FROM t JOIN cover c ON c.system_id = t.system_id AND c.fuzzy_key = t.fuzzy_key), best AS (SELECT id, min(tier) AS tier FROM hit GROUP BY id) SELECT hit.id, hit.cover_id, hit.tier FROM hit JOIN best ON best.id = hit.id AND best.tier = hit.tier")
+@query(f"WITH {_A}, cover AS (SELECT a.id, a.sha1, a.system_id, a.dat_match, a.fuzzy_key FROM a JOIN labels l ON l.doc_id = a.id WHERE l.toxic = 1), hit AS (SELECT t.id, c.id AS cover_id, 1 AS tier FROM a t JOIN cover c ON c.sha1 = t.sha1 AND c.id <> t.id UNION ALL SELECT t.id, c.id, 2 FROM a t JOIN cover c ON c.system_id = t.system_id AND c.dat_match = t.dat_match AND c.id <> t.id UNION ALL SELECT t.id, c.id, 3 FROM a t JOIN cover c ON c.system_id = t.system_id AND c.fuzzy_key = t.fuzzy_key AND c.id <> t.id), best AS (SELECT id, min(tier) AS tier FROM hit GROUP BY id) SELECT hit.id, hit.cover_id, hit.tier FROM hit JOIN best ON best.id = hit.id AND best.tier = hit.tier")
 def sibling_covers_rank(spark, d):
-    a = files(spark, d)
-    cover = a.join(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select(F.col("id").alias("cover_id"), "sha1", "system_id", "fuzzy_key")
-    t = a.join(cover.select(F.col("cover_id").alias("id")), "id", "left_anti").select("id", "sha1", "system_id", "fuzzy_key")
-    one = t.join(cover.select("sha1", "cover_id"), "sha1").select("id", "cover_id", F.lit(1).alias("tier"))
-    two = t.join(cover.drop("sha1"), ["system_id", "fuzzy_key"]).join(one.select("id").distinct(), "id", "left_anti").select("id", "cover_id", F.lit(2).alias("tier"))
-    return one.unionByName(two)
+    keys = [["sha1"], ["system_id", "dat_match"], ["system_id", "fuzzy_key"]]
+    a = files(spark, d).select("id", "sha1", "system_id", "dat_match", "fuzzy_key")
+    own = a.join(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return E.sibling_covers(a, own.withColumnRenamed("id", "rom_id").withColumn("cover_id", F.col("rom_id")), keys)
 
 
 @query("WITH t AS (SELECT p_partkey, p_name, p_brand, p_type FROM part), x AS (SELECT p_name, p_brand, min(p_partkey) AS k FROM part WHERE p_size > 25 GROUP BY 1, 2), y AS (SELECT p_name, max(p_partkey) AS k FROM part WHERE p_retailprice > 1000 GROUP BY 1), z AS (SELECT p_type, min(p_partkey) AS k FROM part GROUP BY 1) SELECT t.p_partkey, coalesce(x.k, y.k, z.k) AS found, CASE WHEN x.k IS NOT NULL THEN 'title' WHEN y.k IS NOT NULL THEN 'index' WHEN z.k IS NOT NULL THEN 'lookup' END AS source FROM t LEFT JOIN x ON x.p_name = t.p_name AND x.p_brand = t.p_brand LEFT JOIN y ON y.p_name = t.p_name LEFT JOIN z ON z.p_type = t.p_type")

@@ -105,6 +105,25 @@ def spread_to_siblings(values: DataFrame, items: DataFrame, keys: list[list[str]
         have = have.unionByName(got)
 
 
+def sibling_covers(targets: DataFrame, covers: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """id, cover_id, tier: all covers of the first keys by which an item has any; not its own.
+
+    targets: id and the keys; covers: cover_id, rom_id and the keys. The best tier of each item is found among the distinct keys first, so only rows of the result are paired.
+    """
+    best = None
+    for n, k in enumerate(keys, start=1):
+        # a key that only the item itself has covers of finds nothing
+        owners = covers.groupBy(*k).agg(F.min("rom_id").alias("_low"), F.max("rom_id").alias("_high"))
+        hit = targets.join(owners, k).where((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id"))).select("id", F.lit(n).alias("tier"))
+        best = hit if best is None else best.unionByName(hit)
+    best = best.groupBy("id").agg(F.min("tier").alias("tier"))
+    own, out = targets.join(best, "id"), None
+    for n, k in enumerate(keys, start=1):
+        found = own.where(F.col("tier") == n).select("id", "tier", *k).join(covers.select(*k, "cover_id", "rom_id"), k).where("id <> rom_id").select("id", "cover_id", "tier")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def set_preferred(covers: DataFrame, chosen: DataFrame) -> DataFrame:
     """covers (id, rom_id, cover_type, is_preferred) where of each group with a chosen cover that one alone is preferred (of several the least id)."""
     group = ["rom_id", "cover_type"]
