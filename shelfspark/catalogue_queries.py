@@ -14,6 +14,7 @@ from shelfspark.functions import names as N
 from shelfspark.operators import catalogue as C
 from shelfspark.operators import collections as L
 from shelfspark.operators import enrich as E
+from shelfspark.operators import lookups as U
 from shelfspark.operators.resolve import contained_pick, first_wins, keeper, latest_distinct, preferred_first, reconcile, tier_ladder
 from shelfspark.plans import organize as P
 
@@ -139,14 +140,13 @@ def enrich_status_grid(spark, d):
 
 @query(f"WITH {_A} SELECT id FROM a WHERE contains(lower(filename), '1') AND (region IS NOT NULL AND region <> '' AND region NOT IN ('USA', 'Europe', 'Japan', 'World')) AND match_confidence IN ('dat_verified', 'header')")
 def grid_filters(spark, d):
-    other = (F.coalesce("region", F.lit("")) != "") & ~F.col("region").isin("USA", "Europe", "Japan", "World")
-    return files(spark, d).where(F.lower("filename").contains("1") & other & F.col("match_confidence").isin("dat_verified", "header")).select("id")
+    return U.grid(files(spark, d), text="1", region="Other", confidence="Verified").select("id")
 
 
 @query(f"WITH {_A} SELECT id, path FROM a WHERE system_id IN ('en', 'de') AND (region IN ('USA') OR region IS NULL) AND id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def export_candidates(spark, d):
-    picked = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return files(spark, d).where(F.col("system_id").isin("en", "de") & (F.col("region").isin("USA") | F.col("region").isNull())).join(picked, "id", "left_semi").select("id", "path")
+    picked = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("rom_id"))
+    return U.export_candidates(files(spark, d), systems=["en", "de"], regions=["USA", "Other"], members=picked).select("id", "path")
 
 
 @query(f"WITH {_A} SELECT id, filename, size_bytes FROM a ORDER BY filename, id LIMIT 50")
