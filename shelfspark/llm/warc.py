@@ -5,7 +5,10 @@ ZIP package with ZIP64 fields; ``indexes/index.cdxj`` lists where each record is
 the one with the smallest page_id is the response and the others are revisits without payload.
 
 Reading: the end of the file gives the central directory (or the ZIP64 one), the directory gives the stored
-members, the index gives the records' places; records are then read by ranges, nothing is extracted.
+members, the indexes give the records' archives and places; records are then read by ranges, nothing is extracted.
+A package may have any number of archives (``archive/``) and indexes (``indexes/*.cdx``, ``.cdxj``, also with ``.gz``);
+index lines may come in any order and repeat a record. An archive that a line names but the package lacks is an error,
+and so is an archive or index that isn't stored: its records can't be read by ranges.
 
 Defined results: null html is an empty payload; a null page_id is always a response and never referred to;
 rows that repeat a page_id and payload have the same role; an empty table gives no packages and no rows;
@@ -15,6 +18,7 @@ extra columns are ignored; line breaks in a URL are percent-encoded, a null URL
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -65,16 +69,21 @@ def parse_record(raw: bytes) -> dict:
     head = dict(x.split(": ", 1) for x in lines[1:])
     block = block[: int(head["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
+
+    def number(name):  # records of other makers have other names and no page id
+        number = (name or "").removeprefix("<urn:page:").removesuffix(">")
+        return int(number) if number.isdigit() else None
+
     out = {"page_id": number(head["WARC-Record-ID"]), "record_type": head["WARC-Type"], "refers_to": None, "url": head.get("WARC-Target-URI")}
     if out["record_type"] == "revisit":
-        out["refers_to"] = number(head["WARC-Refers-To"])
+        out["refers_to"] = number(head.get("WARC-Refers-To"))
         out["payload_digest"] = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        out["payload_bytes"] = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length"))
+        out["payload_bytes"] = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
     else:
         out["payload_digest"] = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         out["payload_bytes"] = len(payload)
-        if head["WARC-Payload-Digest"] != f"sha1:{out['payload_digest']}":
+        said = head.get("WARC-Payload-Digest", "")
+        if said.startswith("sha1:") and said != f"sha1:{out['payload_digest']}":
             raise ValueError(f"payload of page {out['page_id']} doesn't have the digest of its record")
     return out
 
@@ -137,8 +146,8 @@ def write_packages(pages: DataFrame, folder: str, *, key: str = "page_id", url:
     return stored(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "packages")
 
 
-def members(read, size: int) -> dict[str, tuple[int, int]]:
-    """(offset of the data, length) of each stored member; read(offset, length) reads a range."""
+def directory_entries(read, size: int) -> dict[str, tuple[int, int, int]]:
+    """(method, offset of the local header, packed length) of each member; read(offset, length) reads a range."""
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
@@ -169,14 +178,52 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
                 header = values.pop(0) if header == 0xFFFFFFFF else header
             q += 4 + n
         p += 46 + n_name + n_extra + n_comment
-        if method == 0:
-            local = read(header, 30)
-            if local[:4] != b"PK\x03\x04":
-                raise ValueError(f"no local header of {name}")
-            out[name] = header + 30 + sum(struct.unpack("<HH", local[26:30])), packed
+        out[name] = method, header, packed
     return out
 
 
+def stored_member(read, entries: dict[str, tuple[int, int, int]], name: str) -> tuple[int, int]:
+    """(offset of the data, length) of a stored member."""
+    method, header, length = entries[name]
+    if method != 0:
+        raise ValueError(f"{name} is compressed in the package, so that its records have no ranges")
+    local = read(header, 30)
+    if local[:4] != b"PK\x03\x04":
+        raise ValueError(f"no local header of {name}")
+    return header + 30 + sum(struct.unpack("<HH", local[26:30])), length
+
+
+def members(read, size: int) -> dict[str, tuple[int, int]]:
+    """(offset of the data, length) of each stored member."""
+    entries = directory_entries(read, size)
+    return {name: stored_member(read, entries, name) for name, (method, _, _) in entries.items() if method == 0}
+
+
+def record_places(read, entries: dict[str, tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(offset in the package, length) of every record that the package's indexes list, in order of place, each once."""
+    places, archives = set(), {}
+    for name in entries:
+        if not name.startswith("indexes/") or not name.removesuffix(".gz").endswith((".cdx", ".cdxj")):
+            continue
+        raw = read(*stored_member(read, entries, name))
+        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).splitlines():
+            fields = line.split(b" ", 2)
+            if len(fields) < 3 or line.startswith(b"!"):  # blank lines and the index's own header
+                continue
+            entry = json.loads(fields[2])
+            archive = entry["filename"]
+            if archive not in archives:
+                member = next((x for x in (archive, "archive/" + archive) if x in entries), None)
+                if member is None:
+                    raise ValueError(f"{name} names {archive}, which the package doesn't have")
+                archives[archive] = stored_member(read, entries, member)
+            (at, size), offset, length = archives[archive], int(entry["offset"]), int(entry["length"])
+            if offset + length > size:
+                raise ValueError(f"{name} places a record beyond the end of {archive}")
+            places.add((at + offset, length))
+    return sorted(places)
+
+
 def locate(packages: DataFrame, *, read_bytes: int = READ_BYTES) -> DataFrame:
     """Ranges of consecutive records of each package: path, start, lengths of the records."""
     schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("lengths", pa.list_(pa.int64()))])
@@ -186,18 +233,17 @@ def locate(packages: DataFrame, *, read_bytes: int = READ_BYTES) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, own = file_system(path)
                 with system.open_input_file(own) as f:
-                    found = members(lambda at, n: f.read_at(n, at), f.size())  # noqa: B023
-                    data, index = found[DATA][0], f.read_at(found[INDEX][1], found[INDEX][0])
+                    read = lambda at, n: f.read_at(n, at)  # noqa: B023, E731
+                    places = record_places(read, directory_entries(read, f.size()))
                 rows, start, lengths, held = [], None, [], 0
-                for line in index.splitlines():
-                    x = json.loads(line.split(b" ", 2)[2])
-                    if lengths and (held + x["length"] > read_bytes or data + x["offset"] != start + held):
+                for at, n in places:
+                    if lengths and (held + n > read_bytes or at != start + held):
                         rows.append({"path": path, "start": start, "lengths": lengths})
                         lengths, held = [], 0
                     if not lengths:
-                        start = data + x["offset"]
-                    lengths.append(x["length"])
-                    held += x["length"]
+                        start = at
+                    lengths.append(n)
+                    held += n
                 if lengths:
                     rows.append({"path": path, "start": start, "lengths": lengths})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)

@@ -1,8 +1,12 @@
 import base64
 import hashlib
+import gzip
 import io
+import json
 import zipfile
 
+import pytest
+
 from shelfspark.llm import warc
 
 
@@ -80,3 +84,44 @@ def test_zip64_fields():
     data = bytes(data[:p]) + bytes(entry) + bytes(tail)
     at, n = warc.members(lambda a, k: data[a : a + k], len(data))["a"]
     assert data[at : at + n] == b"hello"
+
+
+def package(path, archives, indexes, packed=()):
+    """archives: name to records; indexes: name to (archive, record number, filename field)."""
+    places = {}
+    with zipfile.ZipFile(path, "w") as z:
+        for name, records in archives.items():
+            raw = b""
+            for k, r in enumerate(records):
+                one = gzip.compress(r)
+                places[name, k] = len(raw), len(one)
+                raw += one
+            z.writestr(zipfile.ZipInfo(name), raw, zipfile.ZIP_DEFLATED if name in packed else zipfile.ZIP_STORED)
+        for name, lines in indexes.items():
+            text = "!meta {}\n" + "".join(f"com,a)/ 2024 {json.dumps({'offset': str(places[a, k][0]), 'length': places[a, k][1], 'filename': f})}\n" for a, k, f in lines)
+            z.writestr(zipfile.ZipInfo(name), gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
+
+
+def test_packages_of_several_archives(spark, tmp_path):
+    """Two archives, two indexes out of order, a line twice, plain and full file names, records of another maker."""
+    made = [warc.record(i, f"http://a/{i}", b"page %d" % i, None)[0] for i in range(4)]
+    other = made[3].replace(b"<urn:page:3>", b"<urn:uuid:ab>")
+    archives = {"archive/a.warc.gz": made[:2], "archive/b.warc.gz": [made[2], other]}
+    lines = [("archive/b.warc.gz", 1, "b.warc.gz"), ("archive/a.warc.gz", 1, "archive/a.warc.gz"), ("archive/b.warc.gz", 0, "b.warc.gz")]
+    good = {"indexes/index.cdxj": lines, "indexes/more.cdx.gz": [("archive/a.warc.gz", 0, "a.warc.gz"), lines[1]]}
+    at = str(tmp_path / "two.wacz")
+    package(at, archives, good)
+    for read_bytes in (1, 1 << 20):
+        got = warc.read_packages(spark.createDataFrame([(at,)], "path string"), read_bytes=read_bytes).select("page_id", "payload_bytes", "url").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(0, 6, "http://a/0"), (1, 6, "http://a/1"), (2, 6, "http://a/2"), (None, 6, "http://a/3")], key=str)
+
+
+def test_packages_that_cannot_be_read_by_ranges(tmp_path):
+    archives, line = {"archive/a.warc.gz": [warc.record(1, None, b"x", None)[0]]}, ("archive/a.warc.gz", 0, "a.warc.gz")
+    for name, packed, field, said in (("packed", ["archive/a.warc.gz"], "a.warc.gz", "compressed"), ("missing", [], "z.warc.gz", "doesn't have")):
+        at = tmp_path / name
+        package(at, archives, {"indexes/index.cdxj": [(*line[:2], field)]}, packed)
+        data = at.read_bytes()
+        read = lambda a, n: data[a : a + n]  # noqa: B023, E731
+        with pytest.raises(ValueError, match=said):
+            warc.record_places(read, warc.directory_entries(read, len(data)))
