@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Used only where a local session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
-ARROW_ROWS = "2000"
+ARROW_ROWS, ARROW_BYTES = "2000", str(8 << 20)
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that rows of long texts don't fill a worker's memory."""
+    """Arrow batches of few rows and bytes (a longer text is a batch by itself), so that long texts don't fill a worker's memory. The session keeps the setting, since plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -111,3 +111,15 @@ def test_lengths_are_optimal():
         cost += s
         heapq.heappush(heap, (s,))
     assert int((huffman.code_lengths(counts, 18) * counts).sum()) == cost
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from shelfspark.llm.common import ARROW_BYTES, bounded_batches
+
+    bounded_batches(spark)
+    rows = spark.range(60).coalesce(1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("t"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) < int(ARROW_BYTES) + (2 << 20)
