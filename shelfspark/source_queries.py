@@ -55,6 +55,17 @@ def registry_xml(spark, d):
     return R.registry_entries(spark, path).drop("dat_file", "md5")
 
 
+@query("SELECT p_partkey AS size_bytes, concat(p_name, ' (USA)') AS game_name, sha1(p_name) AS sha1, CASE b % 3 WHEN 0 THEN 'sys0' WHEN 1 THEN 'sys1' END AS system_id FROM (SELECT *, p_partkey // 100 AS b FROM part) WHERE b % 5 <> 4")
+def registry_load(spark, d):
+    game = "concat('<game name=\"', p_name, ' (USA)\"><rom name=\"', p_name, '.bin\" size=\"', p_partkey, '\" sha1=\"', sha1(p_name), '\"/></game>') AS game"
+    books = table(spark, d, "part").selectExpr("p_partkey div 100 AS b", game).groupBy("b").agg(F.array_join(F.collect_list("game"), "").alias("games"))  # a hundred entries a file
+    texts = books.selectExpr("concat('dats/', b % 2, '/sub/book', b, CASE WHEN b % 5 = 4 THEN '.txt' WHEN b % 2 = 0 THEN '.dat' ELSE '.xml' END) AS rel_path", "concat('<datafile><header><name>DAT ', b % 3, '</name></header>', games, '</datafile>') AS content")
+    root = shared_dir(spark, "registries").removeprefix("file://").removeprefix("file:")
+    K.write_texts(texts, root).write.format("noop").mode("overwrite").save()
+    systems = spark.range(2).selectExpr("concat('sys', id) AS id", "concat('dat ', id) AS dat_name", "CAST(NULL AS ARRAY<STRING>) AS dat_name_aliases")
+    return R.load_registries(spark, [f"{root}/dats", f"{root}/dats/0"], systems).select("size_bytes", "game_name", "sha1", "system_id")
+
+
 @query("SELECT lower(right(concat('00000000', to_hex(p_partkey)), 8)) AS crc, p_type AS genre, CASE WHEN p_size > 10 THEN p_brand END AS publisher FROM part")
 def dimension_text(spark, d):
     part = table(spark, d, "part").withColumn("crc", F.hex("p_partkey"))
@@ -67,6 +78,25 @@ def dimension_text(spark, d):
     return R.dimension_index(read)
 
 
+_DIMENSION_COLUMNS = {"developer": "p_name", "esrb": "p_brand", "franchise": "p_type", "genre": "p_type", "maxusers": "string(p_size)", "publisher": "p_brand", "releaseyear": "string(1960 + p_size)"}
+
+
+@query("SELECT p_partkey, p_brand AS system_id, CASE WHEN p_size % 2 = 0 THEN p_name END AS developer, CASE WHEN p_size % 3 = 0 THEN p_brand END AS esrb, CASE WHEN p_size % 4 = 0 THEN p_type END AS franchise, CASE WHEN p_size % 5 = 0 THEN p_type END AS genre, CASE WHEN p_size % 6 = 0 THEN CAST(p_size AS VARCHAR) END AS maxusers, CASE WHEN p_size % 7 = 0 THEN p_brand END AS publisher, CASE WHEN p_size % 8 = 0 THEN CAST(1960 + p_size AS VARCHAR) END AS releaseyear FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0 OR p_size % 5 = 0 OR p_size % 7 = 0")
+def dimension_join(spark, d):
+    part = table(spark, d, "part").withColumn("crc", F.hex("p_partkey"))
+    root = shared_dir(spark, "dimensions").removeprefix("file://").removeprefix("file:")
+    texts = None
+    for k, (name, value) in enumerate(_DIMENSION_COLUMNS.items(), start=2):
+        block = 'game (\n\tcomment "%s"\n\t' + name + ' "%s"\n\trom ( crc %s )\n)\n'
+        own = part.where(F.col("p_size") % k == 0).select(F.concat(F.expr("p_partkey div 1000"), F.lit(f"/{name}/"), F.regexp_replace("p_brand", "#", " "), F.lit(".dat")).alias("rel_path"), F.format_string(block, "p_name", F.expr(value), "crc").alias("block"))
+        texts = own if texts is None else texts.unionByName(own)
+    texts = texts.groupBy("rel_path").agg(F.array_join(F.collect_list("block"), "").alias("content"))  # at most a thousand entries a file
+    K.write_texts(texts, root).write.format("noop").mode("overwrite").save()
+    systems = part.select(F.col("p_brand").alias("id"), F.regexp_replace("p_brand", "#", " ").alias("dimension_name")).distinct()
+    items = part.select("p_partkey", F.col("p_brand").alias("system_id"), N.crc_key(F.col("crc"), clamp=True).alias("crc"))
+    return R.dimension_match(items, R.dimension_table(spark, root, systems)).drop("crc")
+
+
 @query("WITH e AS (SELECT * FROM part WHERE p_size > 10), t AS (SELECT DISTINCT p_name FROM e) SELECT p.p_partkey, CASE WHEN p.p_size > 10 AND p.p_size % 2 = 0 THEN p.p_name ELSE t.p_name END AS title, CAST(CASE WHEN p.p_size > 10 AND p.p_size % 2 = 0 THEN 1 WHEN t.p_name IS NOT NULL THEN 3 END AS INTEGER) AS match_tier FROM part p LEFT JOIN t ON t.p_name = p.p_name")
 def json_lookup(spark, d):
     part = table(spark, d, "part")

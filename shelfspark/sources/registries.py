@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
@@ -12,6 +14,7 @@ from shelfspark.operators.resolve import first_wins, tier_ladder
 # Fields of the formats.
 ROM_FIELDS = ["name", "size", "crc", "md5", "sha1"]
 TITLE_FIELDS = {"title": "Name", "platform": "Platform", "description": "Overview", "genre": "Genres", "developer": "Developer", "publisher": "Publisher", "release_date": "ReleaseDate", "players": "MaxPlayers", "rating": "ESRB"}
+REGISTRY_EXTENSIONS = [".dat", ".xml"]
 DIMENSIONS = ["developer", "esrb", "franchise", "genre", "maxusers", "publisher", "releaseyear"]
 JSON_FIELDS = ["crc32", "title", "release_name", "region", "publisher", "developer", "genre", "release_date", "description", "players", "rating"]
 
@@ -23,6 +26,11 @@ def _blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def _file_name() -> Column:
+    """Of the file that a row comes from; Spark gives it percent-encoded, with plus signs as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def _first(tags: Column, test) -> Column:
     return N.first_tag(tags, test)
 
@@ -34,8 +42,8 @@ def registry_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     rom = StructType([StructField(f"_{n}", _STRING) for n in ROM_FIELDS])
     schema = StructType([StructField("_name", _STRING), StructField("_isbios", _STRING), StructField("rom", ArrayType(rom)), StructField(_CORRUPT, _STRING)])
-    games = spark.read.format("xml").option("rowTag", "game").option("columnNameOfCorruptRecord", _CORRUPT).schema(schema).load(_paths(paths))
-    games = games.withColumn("dat_file", F.col("_metadata.file_name")).where(F.col(_CORRUPT).isNull())
+    games = _registry_xml(spark, paths, "game", schema)
+    games = games.where(F.col(_CORRUPT).isNull())
     rows = games.select("dat_file", F.trim("_name").alias("game_name"), (F.lower(F.coalesce("_isbios", F.lit("no"))) == "yes").alias("is_bios"), F.explode("rom").alias("r"))
     tags = N.paren_tags(F.col("game_name"))
     out = rows.select(
@@ -54,8 +62,13 @@ def registry_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def registry_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """dat_file and the name in its header."""
     schema = StructType([StructField("name", _STRING)])
-    rows = spark.read.format("xml").option("rowTag", "header").schema(schema).load(_paths(paths))
-    return rows.select(F.col("_metadata.file_name").alias("dat_file"), F.trim("name").alias("header_name")).where("header_name <> ''").dropDuplicates(["dat_file"])
+    rows = _registry_xml(spark, paths, "header", schema)
+    return rows.select("dat_file", F.trim("name").alias("header_name")).where("header_name <> ''").dropDuplicates(["dat_file"])
+
+
+def load_registries(spark: SparkSession, paths: str | list[str], systems: DataFrame) -> DataFrame:
+    """Entries of all registries under the paths, with their systems; ids and duplicates are left to who keeps them. systems: id, dat_name, dat_name_aliases."""
+    return with_systems(registry_entries(spark, paths), registry_headers(spark, paths), systems)
 
 
 def with_systems(entries: DataFrame, headers: DataFrame, systems: DataFrame) -> DataFrame:
@@ -66,17 +79,22 @@ def with_systems(entries: DataFrame, headers: DataFrame, systems: DataFrame) ->
     return entries.join(found, "dat_file", "left")
 
 
-def dimension_values(spark: SparkSession, paths: str | list[str], dimension: str) -> DataFrame:
-    """crc, value of one dimension's text files, the first value of a crc in its file; read block by block, not as whole files.
-
-    Files are taken in the order of their names.
-    """
+def _dimension_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records of dimension texts with their place; read block by block, not as whole files."""
     # every block starts a record: the separator is the block's opening
-    blocks = spark.read.option("lineSep", "\ngame").text(_paths(paths))
-    blocks = blocks.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    blocks = spark.read.option("lineSep", "\ngame").option("recursiveFileLookup", "true").text(_paths(paths))
     crc = N.crc_key(F.regexp_extract("value", r"(?i)\brom\s*\(\s*crc\s+([0-9A-Fa-f]+)", 1), clamp=True)
-    value = F.trim(F.regexp_extract("value", rf'(?i)\b{dimension}\s+"([^"]*)"', 1))
-    rows = blocks.select(crc.alias("crc"), value.alias("value"), "file", "start", "at").where("crc IS NOT NULL AND value <> ''")
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return blocks.select("value", crc.alias("crc"), folder.alias("folder"), _file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).where("crc IS NOT NULL")
+
+
+def _dimension(name: str) -> Column:
+    return F.trim(F.regexp_extract("value", rf'(?i)\b{name}\s+"([^"]*)"', 1))
+
+
+def dimension_values(spark: SparkSession, paths: str | list[str], dimension: str) -> DataFrame:
+    """crc, value of one dimension's text files, the first value of a crc in its file. Files are taken in the order of their names."""
+    rows = _dimension_blocks(spark, paths).select("crc", _dimension(dimension).alias("value"), "file", "start", "at").where("value <> ''")
     return first_wins(rows, ["crc"], [F.col("file"), F.col("start"), F.col("at")]).select("crc", "value")
 
 
@@ -89,13 +107,27 @@ def dimension_index(values: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("crc").pivot("dimension", list(values)).agg(F.min("value"))
 
 
+def dimension_table(spark: SparkSession, root: str, systems: DataFrame) -> DataFrame:
+    """system_id, crc and the DIMENSIONS of the texts <root>/<dimension>/<file name of a system>.dat, all read in one pass. systems: id, dimension_name."""
+    value = F.coalesce(*(F.when(F.col("folder") == d, _dimension(d)) for d in DIMENSIONS))
+    rows = _dimension_blocks(spark, root).select(N.stem(F.col("file")).alias("dimension_name"), F.col("folder").alias("dimension"), "crc", value.alias("value"), "start", "at").where("value <> ''")
+    named = rows.join(systems.select(F.col("id").alias("system_id"), "dimension_name"), "dimension_name")
+    first = first_wins(named, ["system_id", "crc", "dimension"], [F.col("start"), F.col("at")])
+    return first.groupBy("system_id", "crc").pivot("dimension", DIMENSIONS).agg(F.min("value"))
+
+
+def dimension_match(items: DataFrame, index: DataFrame) -> DataFrame:
+    """items (system_id, crc) with the dimensions of their system's entry for their crc; only items that have one."""
+    return items.join(index, ["system_id", "crc"])
+
+
 def json_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row for each entry of JSON files {key: {fields}}: file, ord, entry_key and the fields. A file that isn't such an object gives none.
 
     A file is one JSON value and so one row of text first (lookup files hold thousands of entries).
     """
     entry = StructType([StructField(n, _STRING) for n in JSON_FIELDS])
-    raw = spark.read.text(_paths(paths), wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = spark.read.text(_paths(paths), wholetext=True).select(_file_name().alias("file"), "value")
     rows = raw.select("file", F.posexplode(F.from_json("value", MapType(_STRING, _STRING))).alias("ord", "entry_key", "text"))
     rows = rows.where(F.col("text").startswith("{")).withColumn("e", F.from_json("text", entry))
     return rows.select("file", "ord", "entry_key", "e.*")
@@ -122,7 +154,7 @@ def title_entries(spark: SparkSession, paths: str | list[str], platforms: DataFr
     """<Game> records of a title file with the system of their platform (null where unmapped); records without a name go. platforms: platform, system_id."""
     schema = StructType([StructField(tag, _STRING) for tag in TITLE_FIELDS.values()])
     rows = spark.read.format("xml").option("rowTag", "Game").schema(schema).load(_paths(paths))
-    order = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")]
+    order = [_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")]
     rows = rows.select(*(_blank_to_null(F.col(tag)).alias(n) for n, tag in TITLE_FIELDS.items()), *order).where("title IS NOT NULL")
     return rows.join(first_wins(platforms, ["platform"], [F.col("system_id")]), "platform", "left")
 
@@ -138,5 +170,20 @@ def title_match(items: DataFrame, entries: DataFrame, fields: list[str]) -> Data
     return out.drop("_key")
 
 
+def _registry_xml(spark: SparkSession, paths: str | list[str], tag: str, schema: StructType) -> DataFrame:
+    """Records of files as they are named, and of all registry files below folders (paths without an extension); a file that both name counts once."""
+    reader = spark.read.format("xml").option("rowTag", tag).option("columnNameOfCorruptRecord", _CORRUPT).schema(schema)
+    names = [p.rstrip("/") for p in ([paths] if isinstance(paths, str) else paths)]
+    below = lambda p, folders: any(p.startswith(f + "/") for f in folders)
+    folders = sorted({p for p in names if not os.path.splitext(p)[1]})
+    folders = [p for p in folders if not below(p, folders)]
+    files = sorted({p for p in names if os.path.splitext(p)[1] and not (p.endswith(tuple(REGISTRY_EXTENSIONS)) and below(p, folders))})
+    found = [reader.load(files)] if files else []
+    if folders:
+        found.append(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(REGISTRY_EXTENSIONS) + "}").load(folders))
+    rows = [df.withColumn("dat_file", _file_name()) for df in found]
+    return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+
+
 def _paths(paths: str | list[str]) -> str | list[str]:
     return paths if isinstance(paths, str) else sorted(set(paths))

@@ -84,6 +84,27 @@ def test_dimension_text(spark, tmp_path):
     assert got == {"4019ecec": "Action", "00000012": "Short"}
 
 
+def test_dimension_table(spark, tmp_path):
+    """Names of systems with blanks and signs; the first value of a crc in its file; other folders and systems are left out."""
+    for folder, name, text in (("genre", "Big Co - Game + Play", 'game (\n\tgenre "One"\n\trom ( crc AB )\n)\ngame (\n\tgenre "Two"\n\trom ( crc ab )\n)\n'), ("esrb", "Big Co - Game + Play", 'game (\n\tesrb "E"\n\trom ( crc ab )\n)\n'), ("genre", "Other", 'game (\n\tgenre "No"\n\trom ( crc ab )\n)\n'), ("notes", "Big Co - Game + Play", 'game (\n\tnotes "No"\n\trom ( crc cd )\n)\n')):
+        put(tmp_path / folder / f"{name}.dat", text)
+    systems = spark.createDataFrame([("con", "Big Co - Game + Play")], "id string, dimension_name string")
+    index = R.dimension_table(spark, str(tmp_path), systems)
+    assert [(r.system_id, r.crc, r.genre, r.esrb, r.developer) for r in index.collect()] == [("con", "000000ab", "One", "E", None)]
+    items = spark.createDataFrame([(1, "con", "000000ab"), (2, "other", "000000ab"), (3, "con", None)], "id int, system_id string, crc string")
+    assert [(r.id, r.genre) for r in R.dimension_match(items, index).collect()] == [(1, "One")]
+
+
+def test_registry_paths(spark, tmp_path):
+    """Folders give .dat and .xml files at any depth, named files are taken as they are, and each file counts once."""
+    for name in ("in/a b.dat", "in/deep/c.xml", "in/d.txt", "in/e.md", "f.txt"):
+        put(tmp_path / name, f"<datafile><game name='{name}'><rom name='x'/></game></datafile>")
+    read = lambda *paths: sorted((r.dat_file, r.game_name) for r in R.registry_entries(spark, [str(tmp_path / p) for p in paths]).collect())
+    both = [("a b.dat", "in/a b.dat"), ("c.xml", "in/deep/c.xml")]
+    assert read("in") == both
+    assert read("in", "in/deep", "in/a b.dat", "in/d.txt", "f.txt") == sorted([*both, ("d.txt", "in/d.txt"), ("f.txt", "f.txt")])
+
+
 def test_json_entries(spark, tmp_path):
     put(tmp_path / "a.json", '{"1": {"crc32": "0xAB", "title": "Élan", "release_name": "Elan (USA)"},\n "2": {"crc32": "AB", "title": "Other"}, "3": 4}')
     put(tmp_path / "b.json", "[1, 2]")
