@@ -147,14 +147,6 @@ def sync_fetched(spark, d):
     return _synced(spark, d)[1]
 
 
-@query("WITH i AS (SELECT concat('/l/', p_name, '.bin') AS path, max(p_size) AS size_bytes, 'old' AS system_id FROM part WHERE p_size > 25 GROUP BY 1), pl AS (SELECT p_partkey AS id, concat('/l/', p_name, '.bin') AS path, p_size AS size_bytes, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'new' END AS system_id, CASE p_partkey % 3 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' ELSE 'skip' END AS resolution FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) AS k FROM pl WHERE resolution = 'keep_both'), n AS (SELECT arg_min(path, id) AS path, arg_min(size_bytes, id) AS size_bytes, min(id) AS id FROM pl WHERE resolution = 'replace' GROUP BY pl.path UNION ALL SELECT concat(left(path, length(path) - 4), CASE WHEN k = 1 THEN '_imported' ELSE concat('_imported_', k) END, '.bin'), size_bytes, id FROM b) SELECT n.path, n.size_bytes, pl.system_id FROM n JOIN pl ON pl.id = n.id UNION ALL SELECT * FROM i WHERE path NOT IN (SELECT path FROM n)")
-def import_applied(spark, d):
-    part = table(spark, d, "part")
-    items = part.where("p_size > 25").groupBy(F.concat(F.lit("/l/"), "p_name", F.lit(".bin")).alias("path")).agg(F.max("p_size").alias("size_bytes")).withColumn("system_id", F.lit("old"))
-    plan = part.selectExpr("p_partkey AS id", "concat('/l/', p_name, '.bin') AS target_path", "p_size AS size_bytes", "CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'new' END AS system_id", "CASE p_partkey % 3 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' ELSE 'skip' END AS resolution")
-    return E.imported(items, plan)
-
-
 # ---- covers, destinations, history, settings
 
 

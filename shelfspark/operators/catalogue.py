@@ -155,8 +155,8 @@ def import_status(staged: DataFrame, catalogue: DataFrame, disk: DataFrame, *, b
     """staged with status, resolution and the id of the catalogue row it collides with.
 
     In this order: multi_rom_archive (column is_multi, if there is one); dupe_path: the target path is catalogued, or a file of equal size is
-    there; dupe_filename: a file of another size is there; dupe_hash: equal content is catalogued (by_content, and only for files of a system);
-    new. All but new are skipped. staged: target_path, size_bytes, sha1, system_id; catalogue: id, path, sha1; disk: path, size_bytes.
+    there; dupe_filename: a file of another size is there; dupe_hash: equal content is catalogued (by_content, and only for files of a system
+    that takes their extension: column accepts, if there is one); new. All but new are skipped. staged: target_path, size_bytes, sha1, system_id; catalogue: id, path, sha1; disk: path, size_bytes.
     """
     by_path = catalogue.groupBy(F.col("path").alias("target_path")).agg(F.min("id").alias("path_id"))
     on_disk = disk.select(F.col("path").alias("target_path"), F.col("size_bytes").alias("disk_size"), F.lit(True).alias("there"))
@@ -165,7 +165,8 @@ def import_status(staged: DataFrame, catalogue: DataFrame, disk: DataFrame, *, b
     multi = F.col("is_multi") if "is_multi" in staged.columns else F.lit(False)
     there = F.col("there").isNotNull()
     same_path = F.col("path_id").isNotNull() | (there & F.coalesce(F.col("disk_size") == F.col("size_bytes"), F.lit(False)))
-    content = F.lit(by_content) & F.col("system_id").isNotNull() & F.col("hash_id").isNotNull()
+    accepts = F.col("accepts") if "accepts" in staged.columns else F.lit(True)
+    content = F.lit(by_content) & accepts & F.col("system_id").isNotNull() & F.col("hash_id").isNotNull()
     status = F.when(multi, "multi_rom_archive").when(same_path, "dupe_path").when(there, "dupe_filename").when(content, "dupe_hash").otherwise("new")
     with_status = joined.withColumn("status", status)
     other = F.when(F.col("status") == "dupe_path", F.col("path_id")).when(F.col("status") == "dupe_hash", F.col("hash_id"))

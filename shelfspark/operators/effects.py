@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from shelfspark.functions import names as N
 from shelfspark.operators.catalogue import insert_ignore, replace_rows
 from shelfspark.operators.resolve import first_wins, preferred_first
-from shelfspark.plans.organize import unique_names
 
 
 def organize_outcome(items: DataFrame, plan: DataFrame) -> DataFrame:
@@ -105,18 +104,6 @@ def synced(inventory: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]
     return replace_rows(kept, first_wins(to_dest, ["rel_path"], [F.col("rom_id")]), ["rel_path"]), fetched
 
 
-def imported(items: DataFrame, plan: DataFrame) -> DataFrame:
-    """The next catalogue after an import plan (id, target_path, size_bytes, system_id, resolution): copy and replace enrol a file at its target path, keep_both under the next free name there, skip none.
-
-    items: path, size_bytes, system_id; rows that were there at a path that is written get the new size and system.
-    """
-    new = plan.where("resolution IN ('copy', 'replace')").select(F.col("target_path").alias("path"), "size_bytes", "system_id", "id")
-    both = plan.where("resolution = 'keep_both'")
-    free = unique_names(both.select("id", F.col("target_path").alias("name")), items.select(F.col("path").alias("name"))).select("id", F.col("free_name").alias("path"))
-    new = first_wins(new.unionByName(both.select("id", "size_bytes", "system_id").join(free, "id").select(*new.columns)), ["path"], [F.col("id")])
-    return replace_rows(items.select("path", "size_bytes", "system_id"), new.select("path", "size_bytes", "system_id"), ["path"])
-
-
 def copied_covers(covers: DataFrame, donors: DataFrame) -> DataFrame:
     """covers with those of each item's donor (donors: rom_id, donor_id), but for files that the item has; then one of each item and type is preferred.
 

@@ -96,15 +96,15 @@ def counts(plan: DataFrame) -> DataFrame:
 
 
 def unique_names(wanted: DataFrame, taken: DataFrame, suffix: str = "_imported") -> DataFrame:
-    """id, name -> free_name for names that are taken: stem, suffix, and from the second free one on a number (a_imported.sfc, a_imported_2.sfc, ...).
+    """id, name -> free_name for names or paths that are taken: stem, suffix, and from the second free one on a number (a_imported.sfc, a_imported_2.sfc, ...).
 
-    Of equal wanted names each gets its own, in the order of ids. taken: name. As many numbers as a name has wanted and taken rows are tried, so the work is
+    Dots in folders don't count. Of equal wanted names each gets its own, in the order of ids. taken: name. As many numbers as a name has wanted and taken rows are tried, so the work is
     in proportion to the rows.
     """
-    parts = lambda df: df.withColumn("base", N.stem(F.col("name"))).withColumn("ext", F.regexp_extract("name", r"^.+(\.[^.]+)$", 1))
+    parts = lambda df: df.withColumn("ext", F.regexp_extract("name", r"(?s)[^/](\.[^./]+)$", 1)).withColumn("base", F.left("name", F.length("name") - F.length("ext")))
     game = ["base", "ext"]
     asked = parts(wanted.select("id", "name")).withColumn("k", F.row_number().over(Window.partitionBy(*game).orderBy("id")))
-    pattern = rf"^(.*){suffix}(?:_([1-9][0-9]{{0,8}}))?$"
+    pattern = rf"(?s)^(.*){suffix}(?:_([1-9][0-9]{{0,8}}))?$"
     used = parts(taken.select("name").distinct()).where(F.col("base").rlike(pattern))
     used = used.select(F.regexp_extract("base", pattern, 1).alias("base"), "ext", F.coalesce(F.regexp_extract("base", pattern, 2).try_cast("int"), F.lit(1)).alias("n")).distinct()
     room = asked.groupBy(*game).agg(F.max("k").alias("w")).join(used.groupBy(*game).agg(F.count("*").alias("t")), game, "left")

@@ -43,7 +43,7 @@ def read_gamelists(spark, path: str) -> DataFrame:
 
 
 def write_texts(rows: DataFrame, root: str) -> DataFrame:
-    """Writes each row's content to root/rel_path and returns rel_path, n_bytes of what was written.
+    """Writes each row's content (text or bytes) to root/rel_path and returns rel_path, n_bytes of what was written.
 
     root is on a mount that every executor has. A file appears under its name only when it is whole, and a task that
     runs again writes the same bytes again. Rows whose rel_path leaves the root are refused (n_bytes null).
@@ -59,7 +59,7 @@ def write_texts(rows: DataFrame, root: str) -> DataFrame:
                 target = os.path.join(root, rel_path)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 part = f"{target}.{uuid.uuid4().hex}.part"
-                data = content.encode()
+                data = content.encode() if isinstance(content, str) else bytes(content)
                 with open(part, "wb") as f:
                     f.write(data)
                 os.replace(part, target)
