@@ -98,12 +98,12 @@ def _scan(spark, d, scope=None):
     return S.scan_library(old, listing, systems, "/l", scope=scope)
 
 
-@query(f"WITH {_TREE}, {_ACC}, {_OLD} SELECT coalesce(ac.path, ol.path) AS path, coalesce(ac.system_id, ol.system_id) AS system_id, coalesce(ac.n_chars, ol.size_bytes) AS size_bytes, ac.path IS NULL AS missing, coalesce(ol.match_confidence, 'unmatched') AS match_confidence FROM ol FULL JOIN ac ON ac.path = ol.path")
+@query(f"WITH {_TREE}, {_ACC}, {_OLD} SELECT coalesce(ac.path, ol.path) AS path, coalesce(ac.system_id, ol.system_id) AS system_id, coalesce(ac.n_chars, ol.size_bytes) AS size_bytes, ac.path IS NULL AS missing, coalesce(ol.match_confidence, 'fuzzy') AS match_confidence FROM ol FULL JOIN ac ON ac.path = ol.path")
 def library_scan(spark, d):
     return _scan(spark, d)
 
 
-@query(f"WITH {_TREE}, {_ACC}, {_OLD} SELECT coalesce(x.path, ol.path) AS path, coalesce(x.system_id, ol.system_id) AS system_id, coalesce(x.n_chars, ol.size_bytes) AS size_bytes, x.path IS NULL AND ol.system_id = 'megadrive' AS missing, coalesce(ol.match_confidence, 'unmatched') AS match_confidence FROM ol FULL JOIN (SELECT * FROM ac WHERE system_id = 'megadrive') x ON x.path = ol.path")
+@query(f"WITH {_TREE}, {_ACC}, {_OLD} SELECT coalesce(x.path, ol.path) AS path, coalesce(x.system_id, ol.system_id) AS system_id, coalesce(x.n_chars, ol.size_bytes) AS size_bytes, x.path IS NULL AND ol.system_id = 'megadrive' AS missing, coalesce(ol.match_confidence, 'fuzzy') AS match_confidence FROM ol FULL JOIN (SELECT * FROM ac WHERE system_id = 'megadrive') x ON x.path = ol.path")
 def library_scan_scoped(spark, d):
     return _scan(spark, d, "megadrive")
 

@@ -6,6 +6,7 @@ As in source_queries, Spark first writes the files that the tables' rows stand f
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 
 import pandas as pd
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from shelfspark.catalogue_queries import table
+from shelfspark.operators import catalogue as C
+from shelfspark.operators import destinations as D
+from shelfspark.operators import enrich as E
 from shelfspark.operators import hashing as H
 from shelfspark.operators import imports as I
+from shelfspark.operators import scan as S
 from shelfspark.sources import sinks as K
 from shelfspark.sources import tree as T
-from shelfspark.sources.shared import shared_dir
+from shelfspark.sources.shared import shared_dir, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,3 +153,86 @@ def import_applied(spark, d):
     disk = part.where("g % 7 = 0").selectExpr(f"concat('/l/No.', g % 2, '/', {_GAME}, '_imported', {_END}) AS path").distinct()
     plan = part.selectExpr("p_partkey AS id", f"{_AT} AS target_path", "p_size AS size_bytes", "1.0D AS mtime", "if(p_partkey % 4 = 3, NULL, 'new') AS system_id", "'fuzzy' AS confidence", f"{_HOW} AS resolution")
     return I.imported(items, plan, disk, "/l").select("path", "size_bytes", "system_id", "title", "region", "is_hack", "match_confidence", "missing")
+
+
+# ---- covers, destinations and the counters of a scan
+
+_HOME = "concat('lib/S', doc_id % 2, CASE doc_id % 3 WHEN 0 THEN '' ELSE concat('/sub', doc_id % 3) END)"
+_IMAGE = "concat(CASE doc_id % 6 WHEN 0 THEN '/media/boxart/' WHEN 1 THEN '/snaps/' WHEN 2 THEN '/.hidden/' WHEN 3 THEN '/Backup/' WHEN 4 THEN '/a/b/c/d/' ELSE '/a/b/c/d/e/' END, 'Game ', doc_id, CASE doc_id % 6 WHEN 1 THEN ' (Europe).PNG' ELSE '.png' END)"
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, {_HOME} AS home, {_IMAGE} AS image, doc_id % 6 AS k FROM documents),
+    c AS (SELECT l.doc_id AS id, l.doc_id AS rom_id, 'Named_Boxarts' AS cover_type, 'lib/x.png' AS local_path, 1 AS is_preferred FROM labels l WHERE quality = 1
+        UNION ALL SELECT l.doc_id + 1000000, f.doc_id, 'Named_Snaps', concat(home, image), 0 FROM labels l JOIN f ON f.doc_id = l.doc_id WHERE toxic = 1),
+    n AS (SELECT doc_id AS rom_id, CASE k WHEN 1 THEN 'Named_Snaps' ELSE 'Named_Boxarts' END AS cover_type, concat(home, image) AS local_path FROM f WHERE k IN (0, 1, 4) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND NOT EXISTS (SELECT 1 FROM c WHERE c.rom_id = f.doc_id AND c.local_path = concat(home, image)))
+    SELECT id, rom_id, cover_type, local_path, is_preferred FROM c UNION ALL SELECT NULL, rom_id, cover_type, local_path, 1 FROM n"""
+)
+def cover_discovery(spark, d):
+    """Images below the items' own folders, whose trees lie in one another; hidden, blocklisted and too deep folders; covers that are there."""
+    root, docs, labels = folder(spark, "covers"), table(spark, d, "documents"), table(spark, d, "labels")
+    put(docs.select(F.expr(f"concat({_HOME}, {_IMAGE})").alias("rel_path"), F.lit("x").alias("content")), root)
+    at = lambda e: F.concat(F.lit(root + "/"), F.expr(e))
+    items = docs.select(F.col("doc_id").alias("id"), at(f"concat({_HOME}, '/Game ', doc_id, ' (USA).sfc')").alias("path"), F.expr("concat('game', doc_id)").alias("fuzzy_key"), F.lit(None).cast("string").alias("dat_match"))
+    box = labels.where("quality = 1").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rom_id"), F.lit("Named_Boxarts").alias("cover_type"), at("'lib/x.png'").alias("local_path"), F.lit(1).alias("is_preferred"))
+    snaps = labels.where("toxic = 1").join(docs.select("doc_id"), "doc_id").select(F.expr("doc_id + 1000000").alias("id"), F.col("doc_id").alias("rom_id"), F.lit("Named_Snaps").alias("cover_type"), at(f"concat({_HOME}, {_IMAGE})").alias("local_path"), F.lit(0).alias("is_preferred"))
+    out = E.discover_covers(items, box.unionByName(snaps))
+    return out.withColumn("local_path", F.substr("local_path", F.lit(len(root) + 2)))
+
+
+_DEST = "concat(CASE doc_id % 5 WHEN 3 THEN '1/2/3/4/5/6/7/8/9/10/11/' WHEN 4 THEN '1/2/3/4/5/6/7/8/9/10/11/12/' ELSE '' END, 'f', doc_id, '.bin')"
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, doc_id % 4 AS dest_id, {_DEST} AS rel_path, CAST(strlen({_TEXT}) AS BIGINT) AS size_bytes FROM documents),
+    s AS (SELECT dest_id, sha1(string_agg(rel_path, chr(0) ORDER BY rel_path)) AS signature FROM (SELECT *, row_number() OVER (PARTITION BY dest_id ORDER BY rel_path) AS k FROM f WHERE doc_id % 5 <> 4) WHERE k <= 32 GROUP BY 1)
+    SELECT f.dest_id, rel_path, size_bytes, CASE WHEN f.dest_id <> 1 AND doc_id % 3 = 0 THEN concat('sha', doc_id) END AS sha1, CASE WHEN f.dest_id <> 1 AND doc_id % 3 = 0 THEN doc_id END AS rom_id, signature FROM f JOIN s ON s.dest_id = f.dest_id WHERE doc_id % 5 <> 4 AND f.dest_id <> 3
+    UNION ALL SELECT dest_id, rel_path, size_bytes, concat('sha', doc_id), doc_id, 'kept' FROM f WHERE dest_id = 3 AND doc_id % 3 < 2 AND doc_id % 5 <> 4"""
+)
+def destination_scan(spark, d):
+    """Four destinations: as before, drifted, first visited and away; files deeper than twelve folders."""
+    root, docs = folder(spark, "destinations"), table(spark, d, "documents")
+    put(docs.select(F.expr(f"concat('d', doc_id % 4, '/', {_DEST})").alias("rel_path"), F.expr(_TEXT).alias("content")), root)
+    before = T.listings(spark.range(4).select(F.concat(F.lit(f"{root}/d"), "id").alias("root")), max_depth=12)
+    known = before.withColumns({"dest_id": F.right("root", F.lit(1)).cast("long"), "rom_id": F.regexp_extract("filename", "[0-9]+", 0).cast("long")})
+    inventory = known.where("rom_id % 3 < 2").select("dest_id", "rel_path", "size_bytes", (F.col("mtime") - F.col("rom_id") % 3).alias("mtime"), F.concat(F.lit("sha"), "rom_id").alias("sha1"), "rom_id")
+    gone = docs.select((F.col("doc_id") % 3).alias("dest_id"), F.concat(F.lit("gone"), "doc_id").alias("rel_path"), F.lit(1).cast("long").alias("size_bytes"), F.lit(0.0).alias("mtime"), F.lit("x").alias("sha1"), F.col("doc_id").alias("rom_id"))
+    inventory = written(inventory.unionByName(gone), "inventory")
+    signed = C.signature(known.where("dest_id = 0"), "dest_id", "rel_path").first()[1]
+    away = F.when(F.col("id") == 3, F.lit(f"{root}/away")).otherwise(F.concat(F.lit(f"{root}/d"), "id"))
+    destinations = spark.range(4).withColumns({"target_path": away, "signature": F.when(F.col("id") == 0, signed).when(F.col("id") == 1, "other").when(F.col("id") == 3, "kept")})
+    now, after = D.scan_destinations(destinations, inventory)
+    return now.join(after.select(F.col("id").alias("dest_id"), "signature"), "dest_id").drop("mtime")
+
+
+_IN = "concat(CASE source WHEN 'src0' THEN 'snes' WHEN 'src1' THEN 'Super NES/hacks' WHEN 'src2' THEN 'md' ELSE 'else' END, '/f', doc_id, CASE doc_id % 4 WHEN 0 THEN '.sfc' WHEN 1 THEN '.srm' WHEN 2 THEN '.MD' ELSE '.zip' END)"
+
+
+@query(
+    """WITH f AS (SELECT *, CASE source WHEN 'src0' THEN 'snes' WHEN 'src1' THEN 'snes' WHEN 'src2' THEN 'megadrive' END AS s FROM documents),
+    v AS (SELECT s, CASE WHEN s IS NULL OR doc_id % 4 = 1 OR (s = 'snes' AND doc_id % 4 = 2) OR (s = 'megadrive' AND doc_id % 4 = 0) THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'error' ELSE 'found' END AS v FROM f)
+    SELECT count(*) FILTER (v = 'found') AS files_found, count(*) FILTER (v = 'found') AS files_with_system, count(*) FILTER (v = 'skipped') AS files_skipped, count(*) FILTER (v = 'error') AS errors, count(DISTINCT CASE WHEN v = 'found' THEN s END) AS systems_seen, count(*) FILTER (v = 'found') AS n_rows FROM v"""
+)
+def library_scan_counted(spark, d):
+    """A scan of files on disk, some of them unreadable, and what was observed on its way."""
+    root, docs = folder(spark, "scanned"), table(spark, d, "documents")
+    put(docs.where("doc_id % 7 <> 0").select(F.expr(_IN).alias("rel_path"), F.lit("x").alias("content")), root)
+    _links(docs.where("doc_id % 7 = 0").select(F.expr(_IN).alias("rel_path")), root)
+    systems = spark.createDataFrame([("snes", 1, ["snes", "super nes"], [".sfc", ".smc"]), ("megadrive", 2, ["md", "genesis"], [".md"])], "id string, ord int, folder_aliases array<string>, extensions array<string>")
+    none = spark.createDataFrame([], "path string, system_id string, size_bytes long, missing boolean, match_confidence string")
+    after, counts = S.scan_counted(none, listed(spark, root, unreadable="true"), systems, root)
+    return after.agg(*(F.lit(n).cast("long").alias(c) for c, n in counts.items()), F.count("*").alias("n_rows"))
+
+
+def _links(rows: DataFrame, root: str) -> None:
+    """Links to files that aren't there, at rel_path below root."""
+
+    def link(batches):
+        for batch in batches:
+            for rel_path in batch["rel_path"]:
+                os.makedirs(os.path.dirname(f"{root}/{rel_path}"), exist_ok=True)
+                if not os.path.islink(f"{root}/{rel_path}"):
+                    os.symlink(f"{root}/nowhere", f"{root}/{rel_path}")
+            yield batch
+
+    rows.mapInPandas(link, "rel_path string").write.format("noop").mode("overwrite").save()

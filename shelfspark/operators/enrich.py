@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import names as N
 from shelfspark.operators.catalogue import sibling_donor
+from shelfspark.operators.lookups import cover_candidates, within
 from shelfspark.sources.shared import shared_dir
+from shelfspark.sources.tree import listings
 
 # Fixed values.
 COVER_TYPES = ["Named_Boxarts", "Named_Snaps", "Named_Titles"]
 IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".bmp", ".gif", ".webp"]
+SKIPPED_FOLDERS = ["backup", "backups", "logs_arrm", "logs", ".git", ".svn", "__pycache__", "node_modules"]
+IMAGE_DEPTH = 4
 
 
 def image_bucket(images: DataFrame) -> DataFrame:
@@ -46,6 +50,31 @@ def new_covers(found: DataFrame, covers: DataFrame) -> DataFrame:
     return found.join(covers.select("id", F.col("local_path").alias("image_path")), ["id", "image_path"], "left_anti")
 
 
+def discover_covers(items: DataFrame, covers: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The next covers after a search for images on disk: items with a key and without box art are matched with the images below their own folder.
+
+    items: id, path, fuzzy_key, dat_match; covers: id, rom_id, cover_type, local_path, is_preferred (0 or 1); ids: only these items.
+    Folders are walked in tasks, each once, however many items it has. Images that an item has are left out; new rows
+    have no id. Of each item and type that got one, the first is preferred where none was: by id, then by the key that found it, then by path.
+    """
+    asked = cover_candidates(items, covers)
+    asked = asked if ids is None else within(asked, ids)
+    asked = asked.select("id", N.parent(F.col("path")).alias("system_id"), "path", "fuzzy_key", F.coalesce("dat_match", F.lit("")).alias("clean_name"))
+    listed = listings(asked.select(F.col("system_id").alias("root")).distinct(), max_depth=IMAGE_DEPTH + 1, skip=SKIPPED_FOLDERS, hidden=False)
+    found = local_covers(asked, listed.select(F.col("root").alias("system_id"), F.col("path").alias("image_path")))
+    new = new_covers(found, covers.select(F.col("rom_id").alias("id"), "local_path"))
+    flag = covers.schema["is_preferred"].dataType
+    fresh = new.select(F.lit(None).cast(covers.schema["id"].dataType).alias("id"), F.col("id").alias("rom_id"), "cover_type", F.col("image_path").alias("local_path"), F.lit(0).cast(flag).alias("is_preferred"), "key_rank")
+    every = covers.select("id", "rom_id", "cover_type", "local_path", "is_preferred", F.lit(None).cast("int").alias("key_rank")).unionByName(fresh)
+    group = ["rom_id", "cover_type"]
+    place = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.coalesce("key_rank", F.lit(0)), F.coalesce("local_path", F.lit("")))
+    own = every.withColumn("_place", place)
+    chosen = own.groupBy(*group).agg(F.max("is_preferred").alias("_any"), F.max(F.col("key_rank").isNotNull()).alias("_got"), F.min("_place").alias("_first"))
+    chosen = chosen.where("_any = 0 AND _got").select(*group, "_first")
+    out = own.join(chosen, group, "left")
+    return out.select("id", *group, "local_path", F.when(F.col("_place") == F.col("_first"), F.lit(1).cast(flag)).otherwise(F.col("is_preferred")).alias("is_preferred"))
+
+
 def cover_fetches(items: DataFrame, covers: DataFrame) -> DataFrame:
     """id and cover_type of the covers to fetch: each of three types that an item has no cover of. covers: id, cover_type."""
     wanted = items.select("id", F.explode(F.array(*map(F.lit, COVER_TYPES))).alias("cover_type"))

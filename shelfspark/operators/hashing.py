@@ -34,13 +34,13 @@ def dealt(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     return ranged.withColumn("_to", to).repartitionById(parts, "_to").drop("_to")
 
 
-def file_digests(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """id, crc32, sha1, md5, size of each file's content by its header rule; nulls where it can't be read. files: id, path, size_bytes, header_rule."""
+def file_digests(files: DataFrame, task_bytes: int = TASK_BYTES, *, raw: bool = False) -> DataFrame:
+    """id, crc32, sha1, md5, size of each file's content by its header rule; nulls where it can't be read. files: id, path, size_bytes, header_rule; raw: of the bytes as they are."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, rules = batch.column("path").to_pylist(), batch.column("header_rule").to_pylist()
-            found = [(contents.digests_of(p, r) if p is not None else None) or (None,) * 4 for p, r in zip(paths, rules, strict=True)]
+            found = [(contents.digests_of(p, r, raw=raw) if p is not None else None) or (None,) * 4 for p, r in zip(paths, rules, strict=True)]
             crc32, sha1, md5, size = ([f[k] for f in found] for k in range(4))
             text = [pa.array(c, pa.string()) for c in (crc32, sha1, md5)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *text, pa.array(size, pa.int64())], ["id", "crc32", "sha1", "md5", "size"])

@@ -101,10 +101,12 @@ def _within(chunks: Iterator[bytes], limit: int) -> Iterator[bytes]:
         yield chunk
 
 
-def digests_of(path: str, rule: str | None, limit: int = PAYLOAD_LIMIT) -> tuple[str, str, str, int] | None:
-    """crc32, sha1, md5 and size of a file without its header (of a .zip: of its largest file, the first of equals), one pass; null if it can't be read."""
+def digests_of(path: str, rule: str | None, limit: int = PAYLOAD_LIMIT, raw: bool = False) -> tuple[str, str, str, int] | None:
+    """crc32, sha1, md5 and size of a file without its header (of a .zip: of its largest file, the first of equals), one pass; null if it can't be read. raw: of its bytes as they are."""
     try:
         with opened(path) as stream:
+            if raw:
+                return _digest(_chunks(stream))
             if not path.lower().endswith(".zip"):
                 size = None
                 if rule == "smc_512":

@@ -8,13 +8,17 @@ milliseconds; a catalogue needs all of these as they are.  The tree must be on a
 
 Options: path; maxDepth (segments of the relative path at most, default none); splitDepth (folders at this depth are tasks
 of their own, default 1; files above them are one task); skip (comma-separated folder names that aren't entered, any
-case); hidden ("false" leaves out folders with a leading '.').
+case); hidden ("false" leaves out folders with a leading '.'); unreadable ("true" gives files whose state can't be read as rows without a size).
+
+Where the roots are rows of a table, listings() does the same in tasks.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from shelfspark.functions import names as N
+from shelfspark.sources.shared import written
 
 TREE_SCHEMA = StructType(
     [
@@ -34,19 +39,12 @@ TREE_SCHEMA = StructType(
 )
 
 
-class Subtree(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        super().__init__((folder, deep))
-        self.folder, self.deep = folder, deep
+class Walk:
+    """What of a folder is listed and which folders are entered; folders that can't be read count as empty."""
 
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = os.path.abspath(options["path"])
-        self.max_depth = int(options.get("maxdepth", options.get("maxDepth", 0))) or None
-        self.split_depth = max(1, int(options.get("splitdepth", options.get("splitDepth", 1))))
-        self.skip = {s.strip().lower() for s in options.get("skip", "").split(",") if s.strip()}
-        self.hidden = str(options.get("hidden", "true")).lower() != "false"
+    def __init__(self, max_depth: int | None = None, skip: Iterable[str] = (), hidden: bool = True, unreadable: bool = False):
+        self.max_depth, self.hidden, self.unreadable = max_depth, hidden, unreadable
+        self.skip = {s.strip().lower() for s in skip if s.strip()}
 
     def _entries(self, folder: str) -> list[os.DirEntry]:
         try:
@@ -55,36 +53,113 @@ class TreeReader(DataSourceReader):
         except OSError:
             return []
 
-    def _folders(self, entries: list[os.DirEntry]) -> list[str]:
+    def _inside(self, entries: list[os.DirEntry]) -> list[str]:
         kept = (e for e in entries if e.is_dir(follow_symlinks=False))
         return [e.path for e in kept if e.name.lower() not in self.skip and (self.hidden or not e.name.startswith("."))]
 
+    def folders(self, root: str, folder: str) -> list[str]:
+        """Folders of a folder that are entered; none below the depth limit."""
+        depth = 0 if folder == root else os.path.relpath(folder, root).count(os.sep) + 1
+        return [] if self.max_depth is not None and depth + 1 >= self.max_depth else self._inside(self._entries(folder))
+
+    def files(self, root: str, folder: str) -> Iterator[tuple]:
+        """Files of one folder in the columns of TREE_SCHEMA. A link to a file counts, a link to a folder doesn't."""
+        for e in self._entries(folder):
+            size = mtime = None
+            try:
+                if e.is_file():
+                    stat = e.stat()
+                    size, mtime = stat.st_size, stat.st_mtime
+                elif not (self.unreadable and e.is_symlink() and not e.is_dir()):
+                    continue
+            except OSError:
+                if not self.unreadable:
+                    continue
+            yield e.path, os.path.relpath(e.path, root).replace(os.sep, "/"), e.name, size, mtime
+
+    def below(self, root: str, folder: str) -> Iterator[tuple]:
+        """Files of a folder and of all folders under it."""
+        todo = [folder]
+        while todo:
+            at = todo.pop()
+            yield from self.files(root, at)
+            todo += self.folders(root, at)
+
+
+class Subtree(InputPartition):
+    def __init__(self, folder: str, deep: bool):
+        super().__init__((folder, deep))
+        self.folder, self.deep = folder, deep
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root = os.path.abspath(options["path"])
+        flag = lambda name, default: str(options.get(name, default)).lower() != "false"
+        self.walk = Walk(int(options.get("maxdepth", options.get("maxDepth", 0))) or None, options.get("skip", "").split(","), flag("hidden", "true"), flag("unreadable", "false"))
+        self.split_depth = max(1, int(options.get("splitdepth", options.get("splitDepth", 1))))
+
     def partitions(self) -> list[Subtree]:
         """Only folders down to splitDepth are listed on the driver."""
         level, parts = [self.root], []
         for _ in range(self.split_depth):
             parts += [Subtree(folder, False) for folder in level]
-            level = [sub for folder in level for sub in self._folders(self._entries(folder))]
+            level = [sub for folder in level for sub in self.walk.folders(self.root, folder)]
         return parts + [Subtree(folder, True) for folder in level]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        todo = [partition.folder]
-        while todo:
-            folder = todo.pop()
-            depth = 0 if folder == self.root else os.path.relpath(folder, self.root).count(os.sep) + 1
-            if self.max_depth is not None and depth >= self.max_depth:
-                continue
-            entries = self._entries(folder)
-            for e in entries:
-                try:
-                    if not e.is_file():  # a link to a file counts, a link to a folder doesn't
-                        continue
-                    stat = e.stat()
-                except OSError:
-                    continue
-                yield e.path, os.path.relpath(e.path, self.root).replace(os.sep, "/"), e.name, stat.st_size, stat.st_mtime
-            if partition.deep:
-                todo += self._folders(entries)
+        return self.walk.below(self.root, partition.folder) if partition.deep else self.walk.files(self.root, partition.folder)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], find, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 4096 of the rows that find gives for each (root, folder)."""
+    held: list[tuple] = []
+    for batch in batches:
+        for root, folder in zip(batch.column("root").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+            for row in find(root, folder):
+                held.append(row)
+                if len(held) == 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+_FILE = pa.schema([("root", pa.string()), ("path", pa.string()), ("rel_path", pa.string()), ("filename", pa.string()), ("size_bytes", pa.int64()), ("mtime", pa.float64())])
+_FOLDER = pa.schema([("root", pa.string()), ("folder", pa.string()), ("deeper", pa.bool_())])
+
+
+def listings(roots: DataFrame, *, max_depth: int | None = None, skip: Iterable[str] = (), hidden: bool = True, unreadable: bool = False, split_depth: int = 1) -> DataFrame:
+    """root and the columns of TREE_SCHEMA of the files below each root (column root, as an absolute path), whichever tree it is in.
+
+    Roots are dealt to tasks, then what lies split_depth folders below them, so a large root isn't one task. Folders that
+    are left out are never entered. A root that isn't there has no files.
+    """
+    walk = Walk(max_depth, skip, hidden, unreadable)
+    n = max(1, int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    level = roots.select("root", F.col("root").alias("folder"), F.lit(True).alias("deeper")).where("root IS NOT NULL").distinct()
+    for k in range(split_depth):
+
+        def parts(root: str, folder: str, first: bool = k == 0) -> Iterator[tuple]:
+            if first:
+                yield root, folder, False
+            yield from ((root, sub, False) for sub in walk.folders(root, folder))
+
+        found = level.where("deeper").repartition(n, "folder").mapInArrow(lambda b, f=parts: _rows(b, f, _FOLDER), "root string, folder string, deeper boolean")
+        new = found.withColumn("deeper", (F.col("folder") != F.col("root")))
+        level = written(level.where("NOT deeper").unionByName(level.where("deeper AND folder <> root").withColumn("deeper", F.lit(False))).unionByName(new), "folders")
+    schema = "root string, path string, rel_path string, filename string, size_bytes long, mtime double"
+    one = lambda root, folder: ((root, *row) for row in walk.files(root, folder))
+    every = lambda root, folder: ((root, *row) for row in walk.below(root, folder))
+    shallow = level.where("NOT deeper").repartition(n, "folder").mapInArrow(lambda b: _rows(b, one, _FILE), schema)
+    return shallow.unionByName(level.where("deeper").repartition(n, "folder").mapInArrow(lambda b: _rows(b, every, _FILE), schema))
+
+
+def reachable(roots: DataFrame) -> DataFrame:
+    """root of those that are folders now."""
+    there = lambda root, folder: ((root,) for _ in range(os.path.isdir(folder)))
+    asked = roots.select("root", F.col("root").alias("folder")).where("root IS NOT NULL").distinct()
+    return asked.mapInArrow(lambda b: _rows(b, there, pa.schema([("root", pa.string())])), "root string")
 
 
 class TreeSource(DataSource):
@@ -135,6 +210,8 @@ def accepted(files: DataFrame, systems: DataFrame) -> DataFrame:
 
 
 def library_rows(files: DataFrame, root: str) -> DataFrame:
-    """Catalogue columns of accepted files."""
+    """Catalogue columns of accepted files; the title is what the name shows, a file with a key has a fuzzy match."""
     f = N.parsed(F.col("filename"))
-    return files.select(*files.columns, F.lit(root).alias("library_root"), *(f[c].alias(c) for c in ("extension", "display_title", "region", "revision", "is_hack", "is_homebrew", "fuzzy_key")), F.lit("unmatched").alias("match_confidence"), F.lit(False).alias("missing"))
+    shown = lambda c: F.nullif(c, F.lit(""))
+    title = F.coalesce(shown(f["display_title"]), shown(f["clean_name"]), "filename")
+    return files.select(*files.columns, F.lit(root).alias("library_root"), *(f[c].alias(c) for c in ("extension", "display_title", "region", "revision", "is_hack", "is_homebrew", "fuzzy_key")), title.alias("title"), F.when(f["fuzzy_key"] != "", "fuzzy").otherwise("unmatched").alias("match_confidence"), F.lit(False).alias("missing"))

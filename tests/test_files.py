@@ -8,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import content as B
+from shelfspark.operators import destinations as D
+from shelfspark.operators import enrich as E
 from shelfspark.operators import hashing as H
 from shelfspark.operators import imports as I
 from shelfspark.plans import organize as P
 from shelfspark.sources import contents
+from shelfspark.sources import tree as T
 
 
 def archive(**files):
@@ -110,3 +113,51 @@ def test_landed_files(spark):
     plan = spark.createDataFrame([(1, "/l/a.sfc", "copy"), (2, "/l/a.sfc", "move"), (3, "/l/a.sfc", "keep_both"), (4, "/l/b.sfc", "skip")], "id int, target_path string, resolution string")
     none = spark.createDataFrame([], "path string")
     assert sorted((r.path, r.id, r.moved) for r in I.landed(plan, none, none).collect()) == [("/l/a.sfc", 2, True), ("/l/a_imported.sfc", 3, False)]
+
+
+def test_listings_of_many_roots(spark, tmp_path):
+    for p in ("a/x.png", "a/s/y.png", "a/s/t/z.png", "a/.h/h.png", "a/Logs/l.png", "b/u/v/w.png", "c/q.png"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"1")
+    (tmp_path / "a/broken").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "a/linked").symlink_to(tmp_path / "b")
+    roots = spark.createDataFrame([(str(tmp_path / r),) for r in ("a", "a", "a/s", "b", "absent")] + [(None,)], "root string")
+
+    def got(**options):
+        return sorted((r.root[len(str(tmp_path)) + 1 :], r.rel_path, r.size_bytes) for r in T.listings(roots, **options).collect())
+
+    every = [("a", ".h/h.png", 1), ("a", "Logs/l.png", 1), ("a", "s/t/z.png", 1), ("a", "s/y.png", 1), ("a", "x.png", 1), ("a/s", "t/z.png", 1), ("a/s", "y.png", 1), ("b", "u/v/w.png", 1)]
+    for split in (0, 1, 2, 3):
+        assert got(split_depth=split) == every
+        assert got(split_depth=split, max_depth=2, hidden=False, skip=["logs"]) == [("a", "s/y.png", 1), ("a", "x.png", 1), ("a/s", "t/z.png", 1), ("a/s", "y.png", 1)]
+    assert ("a", "broken", None) in got(unreadable=True) and len(got(unreadable=True)) == 9
+    assert sorted(r.root[len(str(tmp_path)) + 1 :] for r in T.reachable(roots).collect()) == ["a", "a/s", "b"]
+
+
+def test_deep_verify_hashes_bytes_as_they_are(spark, tmp_path):
+    (tmp_path / "z.zip").write_bytes(archive(a__sfc=BODY))
+    (tmp_path / "p.bin").write_bytes(BODY)
+    destinations = spark.createDataFrame([(1, str(tmp_path), None)], "id long, target_path string, signature string")
+    inventory = spark.createDataFrame([(1, "p.bin", len(BODY), 0.0, "stale", 7)], "dest_id long, rel_path string, size_bytes long, mtime double, sha1 string, rom_id long")
+    now, after = D.scan_destinations(destinations, inventory, deep_verify=True)
+    assert {r.rel_path: (r.sha1, r.rom_id) for r in now.collect()} == {"p.bin": (hashlib.sha1(BODY).hexdigest(), None), "z.zip": (hashlib.sha1((tmp_path / "z.zip").read_bytes()).hexdigest(), None)}
+    assert after.first().signature == hashlib.sha1(b"p.bin\0z.zip").hexdigest()
+
+
+def test_an_empty_destination_has_no_signature(spark, tmp_path):
+    destinations = spark.createDataFrame([(1, str(tmp_path), "before")], "id long, target_path string, signature string")
+    inventory = spark.createDataFrame([(1, "gone.bin", 1, 0.0, "x", 7)], "dest_id long, rel_path string, size_bytes long, mtime double, sha1 string, rom_id long")
+    now, after = D.scan_destinations(destinations, inventory)
+    assert now.count() == 0 and after.first().signature == ""
+
+
+def test_covers_of_one_group_prefer_the_better_key(spark, tmp_path):
+    for p in ("Game One.png", "img/Game One (Europe).png"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"1")
+    items = spark.createDataFrame([(1, f"{tmp_path}/Game One (USA).sfc", "gameone", None), (2, f"{tmp_path}/x.sfc", "", None)], "id long, path string, fuzzy_key string, dat_match string")
+    none = spark.createDataFrame([], "id long, rom_id long, cover_type string, local_path string, is_preferred int")
+    got = sorted((r.rom_id, r.local_path[len(str(tmp_path)) + 1 :], r.is_preferred) for r in E.discover_covers(items, none).collect())
+    assert got == [(1, "Game One.png", 1), (1, "img/Game One (Europe).png", 0)]
+    again = E.discover_covers(items, E.discover_covers(items, none).withColumn("cover_type", F.lit("Named_Snaps")))
+    assert again.count() == 2
