@@ -15,8 +15,11 @@ from shelfspark.operators import catalogue as C
 from shelfspark.operators import collections as L
 from shelfspark.operators import enrich as E
 from shelfspark.operators import lookups as U
+from shelfspark.operators import rollups as G
 from shelfspark.operators.resolve import contained_pick, first_wins, keeper, latest_distinct, preferred_first, reconcile, tier_ladder
 from shelfspark.plans import organize as P
+from shelfspark.sources import sinks as K
+from shelfspark.sources.shared import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,9 +77,9 @@ def query(sql: str | None = None):
 # ---- duplicates and keepers
 
 
-@query(f"WITH {_A} SELECT sha1, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM a GROUP BY sha1 HAVING count(*) > 1")
+@query(f"WITH {_A} SELECT sha1, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM a WHERE sha1 IS NOT NULL GROUP BY sha1 HAVING count(*) > 1")
 def dup_groups(spark, d):
-    return files(spark, d).groupBy("sha1").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes")).where("n_files > 1")
+    return G.content_groups(files(spark, d))
 
 
 _RANK = "CASE extension WHEN '.sfc' THEN 0 WHEN '.smc' THEN 1 WHEN '.md' THEN 0 ELSE 2147483647 END"
@@ -129,13 +132,12 @@ def enrich_candidates(spark, d):
     return a.join(table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").select("id")
 
 
-@query(f"WITH {_A}, m AS (SELECT DISTINCT doc_id FROM labels), h AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT a.id, a.system_id, m.doc_id IS NOT NULL AS has_metadata, h.doc_id IS NOT NULL AS has_cover FROM a LEFT JOIN m ON m.doc_id = a.id LEFT JOIN h ON h.doc_id = a.id")
+@query(f"WITH {_A}, m AS (SELECT DISTINCT doc_id FROM labels), h AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT a.id, a.system_id, CASE a.system_id WHEN 'en' THEN 'EN' WHEN 'de' THEN 'German' ELSE a.system_id END AS system_name, coalesce(a.region, '') AS region, m.doc_id IS NOT NULL AS has_metadata, h.doc_id IS NOT NULL AS has_cover FROM a LEFT JOIN m ON m.doc_id = a.id LEFT JOIN h ON h.doc_id = a.id")
 def enrich_status_grid(spark, d):
-    labels = table(spark, d, "labels")
-    m = labels.select(F.col("doc_id").alias("m")).distinct()
-    h = labels.where("toxic = 1").select(F.col("doc_id").alias("h")).distinct()
-    a = files(spark, d)
-    return a.join(m, a.id == m.m, "left").join(h, a.id == h.h, "left").select("id", "system_id", F.col("m").isNotNull().alias("has_metadata"), F.col("h").isNotNull().alias("has_cover"))
+    labels = table(spark, d, "labels").withColumnRenamed("doc_id", "rom_id")
+    systems = spark.createDataFrame([("en", "EN", "English"), ("de", None, "German")], "id string, short_name string, display_name string")
+    grid = U.enrichment_grid(files(spark, d), systems, labels, labels.where("toxic = 1"))
+    return grid.select("id", "system_id", "system_name", "region", "has_metadata", F.col("has_covers").alias("has_cover"))
 
 
 @query(f"WITH {_A} SELECT id FROM a WHERE contains(lower(filename), '1') AND (region IS NOT NULL AND region <> '' AND region NOT IN ('USA', 'Europe', 'Japan', 'World')) AND match_confidence IN ('dat_verified', 'header')")
@@ -171,7 +173,7 @@ def collection_counts(spark, d):
 
 @query(f"WITH {_A} SELECT system_id, lower(regexp_replace(path, '/[^/]*$', '')) AS folder, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY 1, 2")
 def folder_counts(spark, d):
-    return files(spark, d).groupBy("system_id", F.lower(N.parent(F.col("path"))).alias("folder")).agg(F.count("*").alias("n"))
+    return G.folder_counts(files(spark, d))
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS found, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS large, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY user_id")
@@ -251,10 +253,10 @@ def _names(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey", f"{_PART} AS name")
 
 
-@query(f"WITH {_TAGS} SELECT p_partkey, clean AS clean_name, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS extension, list_filter(tags, lambda x: regexp_matches(x, '^(?i)rev\\s+\\S+$'))[1] AS revision, list_contains(marks, '!') AS is_verified, len(list_filter(marks, lambda x: regexp_matches(x, '^b[0-9]*$'))) > 0 AS is_bad_dump, len(list_filter(marks, lambda x: regexp_matches(x, '^h[0-9]*$'))) > 0 AS is_hack, list_contains(tags, 'Beta') AS is_beta, CASE WHEN list_contains(tags, 'Switch Online') THEN 'Switch Online' END AS release_type, CAST(CASE WHEN list_contains(tags, 'Disc 2 of 3') THEN 2 END AS INTEGER) AS disc_number FROM t")
+@query(f"WITH {_TAGS} SELECT p_partkey, clean AS clean_name, concat(CASE WHEN ends_with(clean, ', The') THEN concat('The ', left(clean, length(clean) - 5)) ELSE clean END, CASE WHEN list_contains(tags, 'Switch Online') THEN ' (Switch Online)' ELSE '' END) AS display_title, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS extension, list_filter(tags, lambda x: regexp_matches(x, '^(?i)rev\\s+\\S+$'))[1] AS revision, list_contains(marks, '!') AS is_verified, len(list_filter(marks, lambda x: regexp_matches(x, '^b[0-9]*$'))) > 0 AS is_bad_dump, len(list_filter(marks, lambda x: regexp_matches(x, '^h[0-9]*$'))) > 0 AS is_hack, list_contains(tags, 'Beta') AS is_beta, CASE WHEN list_contains(tags, 'Switch Online') THEN 'Switch Online' END AS release_type, CAST(CASE WHEN list_contains(tags, 'Disc 2 of 3') THEN 2 END AS INTEGER) AS disc_number FROM t")
 def parse_tags(spark, d):
     f = N.parsed(F.col("name"))
-    return _names(spark, d).select("p_partkey", *(f[c].alias(c) for c in ("clean_name", "extension", "revision", "is_verified", "is_bad_dump", "is_hack", "is_beta", "release_type", "disc_number")))
+    return _names(spark, d).select("p_partkey", *(f[c].alias(c) for c in ("clean_name", "display_title", "extension", "revision", "is_verified", "is_bad_dump", "is_hack", "is_beta", "release_type", "disc_number")))
 
 
 @query(f"WITH {_TAGS} SELECT p_partkey, list_filter(tags, lambda x: x IN ('USA', 'USA, Europe', 'En,Fr'))[1] AS region FROM t")
@@ -390,7 +392,7 @@ _DIFF = "(dest_path IS NOT NULL AND CASE WHEN dest_sha <> '' THEN sha1 <> dest_s
 def _sides(spark, d):
     a = files(spark, d)
     region = F.coalesce(F.lower("region"), F.lit("")).alias("region")
-    local = a.select(F.col("id").alias("rom_id"), F.concat(F.lit("roms/"), "system_id", F.lit("/"), "filename").alias("rel_path"), "size_bytes", "mtime", "sha1", "fuzzy_key", region, "system_id")
+    local = U.local_files(a)
     b = a.join(table(spark, d, "labels"), F.col("doc_id") == F.col("id"))
     path = F.expr("CASE WHEN toxic = 1 THEN concat('roms/', system_id, '/moved/', filename) WHEN is_hack THEN concat('roms/media/', filename) ELSE concat('roms/', system_id, '/', filename) END")
     sha = F.expr("CASE WHEN extension <> '.zip' THEN sha1(concat(sha1, CASE WHEN quality = 1 THEN '' ELSE 'x' END)) ELSE CASE WHEN toxic = 1 THEN sha1 END END")
@@ -541,6 +543,17 @@ def m3u_groups(spark, d):
     return C.playlists(f, ["p_brand"])
 
 
+@query("WITH f AS (SELECT p_brand, concat(p_name, ' (Disc ', p_size, ').cue') AS filename, p_name FROM part) SELECT concat(p_brand, '/', p_name, '.m3u') AS rel_path, concat(string_agg(filename, chr(10) ORDER BY filename), chr(10)) AS content FROM f GROUP BY p_brand, p_name HAVING count(*) >= 2")
+def playlist_files(spark, d):
+    """Playlists as files in their folders, read back."""
+    root = shared_dir(spark, "playlists").removeprefix("file://").removeprefix("file:")
+    written = K.write_texts(K.playlist_files(m3u_groups(spark, d), "p_brand"), root)
+    done = written.where("n_bytes IS NOT NULL").agg(F.count("*")).first()[0]
+    lists = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True) if done else spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+    path = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
+    return lists.select(F.regexp_extract(path, r"([^/]+/[^/]+)$", 1).alias("rel_path"), F.col("value").alias("content"))
+
+
 # ---- JSON
 
 

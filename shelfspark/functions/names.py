@@ -139,6 +139,12 @@ def parsed(name: Column) -> dict[str, Column]:
     }
 
 
+def registry_tokens(name: Column) -> dict[str, Column]:
+    """The identity fields of a registry's game name (without an extension)."""
+    tags = paren_tags(name)
+    return {"title": clean_name(name), "region": first_tag(tags, is_region), "revision": first_tag(tags, is_revision), "is_hack": F.exists(bracket_tags(name), lambda m: m.rlike(r"^h\d*$")), "is_homebrew": has_status(tags, "homebrew")}
+
+
 def safe_filename(name: Column) -> Column:
     """Characters that file systems refuse become '_'; device names get one in front."""
     clean = F.regexp_replace(F.trim(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")), r"[. ]+$", "")

@@ -1,10 +1,11 @@
-"""Sync destinations: what lies there now against what is known of them."""
+"""Sync destinations: edits, stamps, the cache of their files, and what lies there now against what is known of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators import changes as C
 from shelfspark.operators.catalogue import signature
 from shelfspark.operators.effects import rescanned
 from shelfspark.operators.hashing import TASK_BYTES, file_digests
@@ -13,6 +14,33 @@ from shelfspark.sources.tree import listings, reachable
 
 #: How many folders deep a destination is walked; a fixed value.
 DEPTH = 12
+#: Fields that an edit may set.
+EDITABLE = ["name", "target_path", "profile_id"]
+
+
+def edited(destinations: DataFrame, edits: DataFrame) -> DataFrame:
+    """destinations with the last value that an edit gives each field (edits: id, seq, name, target_path, profile_id; a null leaves a field alone)."""
+    given = F.map_filter(F.create_map(*(x for c in EDITABLE for x in (F.lit(c), F.col(c)))), lambda _, v: v.isNotNull())
+    return C.changed(destinations, C.gathered(edits.select("id", "seq", given.alias("fields")), ["id"], "seq"), ["id"])
+
+
+def deleted(destinations: DataFrame, inventory: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(destinations, inventory) without those of ids (id) and what is known of their files."""
+    gone = ids.select("id").distinct()
+    return destinations.join(gone, "id", "left_anti"), inventory.join(gone.withColumnRenamed("id", "dest_id"), "dest_id", "left_anti")
+
+
+def stamped(destinations: DataFrame, ids: DataFrame, column: str, value: Column) -> DataFrame:
+    """destinations with value in a column (last_synced_at: a clock; signature: one, or null to clear it) of those of ids (id)."""
+    hit = ids.select("id", F.lit(True).alias("_hit")).distinct()
+    kind = destinations.schema[column].dataType
+    return destinations.join(hit, "id", "left").withColumn(column, F.when(F.col("_hit"), value.cast(kind)).otherwise(F.col(column))).select(*destinations.columns)
+
+
+def remembered(inventory: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """The next inventory after files were seen (seen: dest_id, rel_path, size_bytes, mtime, sha1, rom_id; one row a file): size and time are taken over, a null sha1 or rom_id keeps the old one."""
+    fields = F.create_map(*(x for c in ("size_bytes", "mtime", "sha1", "rom_id") for x in (F.lit(c), F.col(c).cast("string"))))
+    return C.changed(inventory, seen.select("dest_id", "rel_path", fields.alias("fields")), ["dest_id", "rel_path"], insert=True, keep_nulls=True, stamps={"last_seen_at": now})
 
 
 def scan_destinations(destinations: DataFrame, inventory: DataFrame, *, max_depth: int = DEPTH, deep_verify: bool = False, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:

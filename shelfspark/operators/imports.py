@@ -11,6 +11,7 @@ from shelfspark.functions import names as N
 from shelfspark.operators.catalogue import import_status, upsert
 from shelfspark.operators.hashing import TASK_BYTES, file_digests, several_inside
 from shelfspark.operators.resolve import first_wins
+from shelfspark.operators.systems import known_extensions
 from shelfspark.plans.organize import unique_names
 from shelfspark.sources import tree as T
 from shelfspark.sources.shared import written
@@ -60,7 +61,7 @@ def import_plan(staging: DataFrame, library: DataFrame, systems: DataFrame, cata
     rows = rows.withColumn("target_path", F.concat_ws("/", F.lit(library_root.rstrip("/")), "_folder", "filename")).withColumn("id", F.col("path"))
     there = library.where(F.contains("rel_path", F.lit("/"))).select(F.substring_index("rel_path", "/", 1).alias("_folder"), F.lit(True).alias("_there")).distinct()
     rows = rows.join(there, "_folder", "left").withColumn("new_folder", F.col("_there").isNull() & F.col("system_id").isNotNull())
-    extensions = [r[0] for r in systems.select(F.explode("extensions")).distinct().collect()]  # of the registry of systems, which every task needs whole
+    extensions = [r[0] for r in known_extensions(systems).collect()]  # of the registry of systems, which every task needs whole
     rows = written(rows.select("id", "filename", "target_path", "system_id", "confidence", "size_bytes", "mtime", "header_rule", "_known", "new_folder"), "staged")
     multi = several_inside(rows.select("id", F.col("id").alias("path")), extensions, task_bytes).withColumn("is_multi", F.lit(True))
     marked = rows.join(multi, "id", "left").withColumn("is_multi", F.coalesce("is_multi", F.lit(False))).withColumn("sha1", F.lit(None).cast("string"))

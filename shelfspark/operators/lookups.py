@@ -109,6 +109,24 @@ def flags(items: DataFrame, **tables: DataFrame) -> DataFrame:
     return items
 
 
+def enrichment_grid(items: DataFrame, systems: DataFrame, metadata: DataFrame, covers: DataFrame, *, system_id: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """id, name, system_id, path, system_name, region, size_bytes, match_confidence, has_metadata, has_covers; listed by name, a page at a time (pages.BY_NAME).
+
+    systems: id, short_name, display_name; metadata and covers: rom_id; system_id and ids (id): only these.
+    """
+    own = items if system_id is None else of_system(items, system_id)
+    own = own if ids is None else within(own, ids)
+    named = systems.select(F.col("id").alias("system_id"), F.coalesce("short_name", "display_name").alias("_shown"))
+    marked = flags(own, has_metadata=metadata, has_covers=covers).join(named, "system_id", "left")
+    return marked.select("id", F.col("filename").alias("name"), "system_id", "path", F.coalesce("_shown", "system_id").alias("system_name"), F.coalesce("region", F.lit("")).alias("region"), "size_bytes", "match_confidence", "has_metadata", "has_covers")
+
+
+def local_files(items: DataFrame, base: str = "roms") -> DataFrame:
+    """rom_id, rel_path, size_bytes, mtime, sha1, fuzzy_key, region, system_id of items as one side of a sync: below base, in a folder of their system."""
+    rel_path = F.concat_ws("/", F.lit(base), "system_id", "filename")
+    return items.select(F.col("id").alias("rom_id"), rel_path.alias("rel_path"), "size_bytes", "mtime", "sha1", "fuzzy_key", F.coalesce(F.lower("region"), F.lit("")).alias("region"), "system_id")
+
+
 def destination_at(destinations: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (target_path) with the id of the destination there, of several the least."""
     return wanted.join(destinations.groupBy("target_path").agg(F.min("id").alias("id")), "target_path", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions import names as N
+
 
 def _count(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
@@ -81,6 +83,17 @@ def sync_preview(plan: DataFrame) -> DataFrame:
     return plan.agg(*(x for k in kinds for x in (_count(F.col("kind") == k).alias(f"n_{k}"), _bytes(F.col("kind") == k).alias(f"bytes_{k}"))))
 
 
+def folder_counts(items: DataFrame) -> DataFrame:
+    """system_id, folder (in small letters), n of the items that lie in each folder."""
+    return items.groupBy("system_id", F.lower(N.parent(F.col("path"))).alias("folder")).agg(F.count("*").alias("n"))
+
+
+def content_groups(items: DataFrame) -> DataFrame:
+    """sha1, n_files, n_bytes of every content that several items have."""
+    own = items.where("sha1 IS NOT NULL").groupBy("sha1").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
+    return own.where("n_files > 1")
+
+
 def distinct_crcs(dimensions: DataFrame) -> DataFrame:
     """system_id, n_crcs over all dimensions (system_id, dimension, crc)."""
     return dimensions.select("system_id", "crc").distinct().groupBy("system_id").agg(F.count("*").alias("n_crcs"))

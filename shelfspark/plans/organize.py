@@ -13,7 +13,7 @@ from shelfspark.sources.shared import written
 def duplicates(items: DataFrame) -> DataFrame:
     """Items with a content that an item of better extension, shorter name or smaller id has too; hacks take no part."""
     own = items.where(F.col("sha1").isNotNull() & ~F.col("is_hack"))
-    order = [N.extension_rank(F.col("extension")), F.length("filename"), F.col("id")]
+    order = [N.extension_rank(F.lower("extension")), F.length("filename"), F.col("id")]
     found = keeper(own, ["sha1"], order, ["id", "path"]).where("group_size > 1 AND id <> keeper_id")
     return found.select(F.lit("delete_duplicate").alias("kind"), F.col("id").alias("rom_id"), F.col("keeper_id").alias("target_rom_id"), F.col("path").alias("source_path"), F.col("keeper_path").alias("target_path"), F.concat(F.lit("same content as "), "keeper_path").alias("reason"))
 
@@ -118,9 +118,9 @@ def distinct_keepers(items: DataFrame) -> DataFrame:
     """One item of each content (verified ones first, then by extension, length of name and id); items without a hash are all kept."""
     hashed = F.coalesce("sha1", F.lit("")) != ""
     order = [F.when(F.lower("match_confidence") == "dat_verified", 0).otherwise(1), N.extension_rank(F.lower("extension")), F.length("filename"), F.col("id")]
-    own = items.where(hashed).withColumn("_content", F.lower("sha1"))
-    kept = keeper(own, ["_content"], order, ["id"]).where("id = keeper_id").select(*items.columns)
-    return kept.unionByName(items.where(~hashed))
+    group = F.when(hashed, F.concat(F.lit("#"), F.lower("sha1"))).otherwise(F.col("id").cast("string"))
+    best = F.min_by(F.struct(*items.columns), F.struct(*(o.alias(f"_{i}") for i, o in enumerate(order))))
+    return items.groupBy(group.alias("_group")).agg(best.alias("_kept")).select("_kept.*")
 
 
 def analyze(items: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def query(sql: str | None = None):
 
 # ---- registries and lookup files
 
-_GAME = "concat(p_name, CASE p_size % 4 WHEN 0 THEN ' (USA)' WHEN 1 THEN ' (Rev 2)' WHEN 2 THEN ' (Foo) (Europe, Japan)' ELSE '' END, ' & <', p_partkey, '>')"
+_GAME = "concat(p_name, CASE p_size % 4 WHEN 0 THEN ' (USA)' WHEN 1 THEN ' (Rev 2)' WHEN 2 THEN ' (Foo) (Europe, Japan)' ELSE ' (Homebrew) [h2]' END, ' & <', p_partkey, '>')"
+_TOKENS = f"regexp_replace({_GAME}, ' *(\\([^()]*\\)|\\[[^\\]]*\\])', '', 'g') AS title, p_size % 4 = 3 AS is_hack, p_size % 4 = 3 AS is_homebrew"
 
 
-@query(f"SELECT p_partkey AS size_bytes, {_GAME} AS game_name, concat(p_name, '.bin') AS rom_name, right(concat('00000000', lower(to_hex(p_partkey))), 8) AS crc32, sha1(p_name) AS sha1, CASE p_size % 4 WHEN 0 THEN 'USA' WHEN 2 THEN 'Europe, Japan' END AS region, CASE p_size % 4 WHEN 1 THEN 'Rev 2' END AS revision, p_size % 7 = 0 AS is_bios, p_size % 3 AS disc FROM part UNION ALL SELECT p_partkey, {_GAME}, 'second.bin', NULL, NULL, CASE p_size % 4 WHEN 0 THEN 'USA' WHEN 2 THEN 'Europe, Japan' END, CASE p_size % 4 WHEN 1 THEN 'Rev 2' END, p_size % 7 = 0, NULL FROM part WHERE p_size % 3 = 0".replace(", p_size % 3 AS disc", "").replace(", p_size % 7 = 0, NULL FROM", ", p_size % 7 = 0 FROM"))
+@query(f"SELECT p_partkey AS size_bytes, {_GAME} AS game_name, concat(p_name, '.bin') AS rom_name, right(concat('00000000', lower(to_hex(p_partkey))), 8) AS crc32, sha1(p_name) AS sha1, CASE p_size % 4 WHEN 0 THEN 'USA' WHEN 2 THEN 'Europe, Japan' END AS region, CASE p_size % 4 WHEN 1 THEN 'Rev 2' END AS revision, p_size % 7 = 0 AS is_bios, {_TOKENS} FROM part UNION ALL SELECT p_partkey, {_GAME}, 'second.bin', NULL, NULL, CASE p_size % 4 WHEN 0 THEN 'USA' WHEN 2 THEN 'Europe, Japan' END, CASE p_size % 4 WHEN 1 THEN 'Rev 2' END, p_size % 7 = 0, {_TOKENS} FROM part WHERE p_size % 3 = 0")
 def registry_xml(spark, d):
     rom = "struct({name} AS _name, p_partkey AS _size, {crc} AS _crc, {sha} AS _sha1)"
     first = rom.format(name="concat(p_name, '.bin')", crc="upper(lpad(hex(p_partkey), 8, '0'))", sha="upper(sha1(p_name))")
@@ -205,7 +206,12 @@ def inner_titles(spark, d):
     title = "rpad(concat('GAME  ', left(md5(text), 6)), {n}, ' ')"
     cut = lambda lead, n: f"encode(concat(repeat('x', {lead}), {title.format(n=n)}, repeat('x', 64)), 'utf-8')"
     mega = f"encode(concat(repeat('x', 256), rpad('SEGA GENESIS', 32, 'y'), {title.format(n=48)}), 'utf-8')"
-    rows = table(spark, d, "documents").selectExpr("doc_id", "CASE n_chars % 4 WHEN 0 THEN 'gb' WHEN 1 THEN 'gba' WHEN 2 THEN 'megadrive' ELSE 'nds' END AS system", f"CASE n_chars % 4 WHEN 0 THEN {cut(0x134, 16)} WHEN 1 THEN {cut(0xA0, 12)} WHEN 2 THEN {mega} ELSE {cut(0, 12)} END AS content")
+    snes = lambda at: f"encode(concat(repeat('h', 512), repeat(char(1), {at}), {title.format(n=21)}, repeat(char(1), {0x10000 - at - 21})), 'utf-8')"
+    n64 = f"concat(X'80371240', encode(concat(repeat('x', 28), {title.format(n=20)}, repeat('x', 64)), 'utf-8'))"
+    systems = "CASE n_chars % 7 WHEN 0 THEN 'gb' WHEN 1 THEN 'gba' WHEN 2 THEN 'megadrive' WHEN 3 THEN 'snes' WHEN 4 THEN 'snes' WHEN 5 THEN 'n64' ELSE 'nds' END AS system"
+    pairs = f"unhex(regexp_replace(hex({n64}), '(..)(..)', '$2$1'))"
+    content = f"CASE n_chars % 7 WHEN 0 THEN {cut(0x134, 16)} WHEN 1 THEN {cut(0xA0, 12)} WHEN 2 THEN {mega} WHEN 3 THEN {snes(0x7FC0)} WHEN 4 THEN {snes(0xFFC0)} WHEN 5 THEN {pairs} ELSE {cut(0, 12)} END AS content"
+    rows = table(spark, d, "documents").selectExpr("doc_id", systems, content)
     return rows.select("doc_id", B.inner_title(F.col("content"), F.col("system")).alias("title"))
 
 

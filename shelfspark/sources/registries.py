@@ -45,15 +45,14 @@ def registry_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     games = _registry_xml(spark, paths, "game", schema)
     games = games.where(F.col(_CORRUPT).isNull())
     rows = games.select("dat_file", F.trim("_name").alias("game_name"), (F.lower(F.coalesce("_isbios", F.lit("no"))) == "yes").alias("is_bios"), F.explode("rom").alias("r"))
-    tags = N.paren_tags(F.col("game_name"))
+    tokens = N.registry_tokens(F.col("game_name"))
     out = rows.select(
         "dat_file",
         "game_name",
         F.trim("r._name").alias("rom_name"),
         F.col("r._size").try_cast("long").alias("size_bytes"),
         *(_blank_to_null(F.lower(f"r._{a}")).alias(b) for a, b in (("crc", "crc32"), ("md5", "md5"), ("sha1", "sha1"))),
-        _first(tags, N.is_region).alias("region"),
-        _first(tags, N.is_revision).alias("revision"),
+        *(tokens[c].alias(c) for c in ("region", "revision", "title", "is_hack", "is_homebrew")),
         "is_bios",
     )
     return out.where("game_name <> '' AND rom_name <> ''")
