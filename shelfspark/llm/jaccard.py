@@ -5,7 +5,7 @@
    than that, into which shingles are dealt by hash, one part is equal.  Parts are keys of an index whose lists only hold
    sets with an equal part and a fitting size; each task combines equal keys before it sends them, and each list
    gives a chain, not pairs.  Connected candidates form a family, which no link leaves.
-3. Links inside a family, in blocks of at most BLOCK sets: index lists of prefix shingles are kept in order of position, and the part of a list whose positions rule a
+3. Links inside a family, in blocks of about BLOCK sets and BLOCK_SHINGLES shingles at most: index lists of prefix shingles are kept in order of position, and the part of a list whose positions rule a
    link out is skipped; a set that is highly similar to an earlier one isn't probed at all: its overlaps with
    every set follow from the earlier set's overlaps and the lists of the few shingles in which the two differ.
    A family of more sets is compared within each block first; of each component there the set with most links stands
@@ -32,7 +32,8 @@ from shelfspark.llm.common import bounded_batches, shard_count, stored, unused
 from shelfspark.llm.components import components
 
 SHINGLE = 3
-BLOCK = 2048
+#: A block holds so many sets, or fewer where their shingles are more than so many.
+BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
 FLUSH = 4_000_000
 INDEX_BYTES = 16 << 20
 JOIN_BYTES = 64 << 20
@@ -190,6 +191,7 @@ class SetIndex:
         by = head[np.lexsort((position[head], self.tokens[head]))]
         self.prefix_at = np.searchsorted(self.tokens[by], np.arange(len(count) + 1))
         self.prefix_set, self.prefix_position = owner[by], position[by]
+        self.mark = np.zeros(len(count) + 1, bool)
 
     def of(self, k: int) -> np.ndarray:
         return self.tokens[self.at[k] : self.at[k + 1]]
@@ -219,10 +221,10 @@ class SetIndex:
             found.append(self.prefix_set[low:high])
         near = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         near = near[(10 * self.sizes[near] >= 9 * a) & (9 * self.sizes[near] <= 10 * a)]
-        mark = np.zeros(len(self.list_at), bool)
-        mark[own] = True
+        self.mark[own] = True
         n = self.sizes[near]
-        hit = mark[self.tokens[ragged(self.at[near], n)]]
+        hit = self.mark[self.tokens[ragged(self.at[near], n)]]
+        self.mark[own] = False
         return near, np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64) if len(near) else near
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +266,11 @@ def _links(table: pa.Table) -> pa.Table:
 _LINK = "kind int, u binary, v binary"
 
 
+def _count(block: int, shingles):
+    """How many blocks sets need, as an aggregate; shingles: a set's number of them."""
+    return F.ceil(F.greatest(F.count("*") / block, F.sum(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
 def _block(n: str):
     """A set's block of n."""
     return F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
@@ -280,14 +287,14 @@ def _large_links(items: DataFrame, block: int) -> DataFrame:
     items = stored(items, "large-sets")
     within = stored(items.withColumn("own", _block("blocks")).groupBy("family", "own").applyInArrow(_links, _LINK), "large-links")
     tops = items.join(within.where("kind = 1").select(F.col("u").alias("cid")), "cid", "left_semi")
-    count = tops.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    count = tops.groupBy("family").agg(_count(block, F.octet_length("items") / 8).alias("n"))
     between = _paired(tops.join(count, "family"), "n").groupBy("family", "i", "j").applyInArrow(_links, _LINK)
     first = stored(within.where("kind = 0").unionByName(between.where("kind = 0")).select("u", "v"), "large-links")
     part = components(first).select(F.col("node").alias("cid"), "root")
     sets = items.select("family", "blocks", "cid").join(part, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     largest = sets.groupBy("family", "root").agg(F.count("*").alias("size")).groupBy("family").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
     rest = stored(sets.join(largest, "family").where("root <> main").select("family", "cid"), "large-rest")
-    n = rest.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    n = items.join(rest, ["family", "cid"], "left_semi").groupBy("family").agg(_count(block, F.octet_length("items") / 8).alias("n"))
     of = items.join(n, "family")
     other = stored(of.join(rest, ["family", "cid"], "left_semi"), "large-rest")
     # the rest with the rest, and each block of the main part with each block of the rest
@@ -328,8 +335,8 @@ def _grouped(docs: DataFrame, key: str, text: str, block: int, row: str) -> Data
     bounded_batches(docs.sparkSession)
     rows = stored(_described(docs, key, text, row), "sets")
     family = stored(components(_candidate_edges(docs, text)), "families")
-    members = rows.where("n > 0").join(family.select(F.col("node").alias("h"), F.col("root").alias("family")), "h").groupBy("cid", "family").agg(F.min("row").alias("k"))
-    size = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = rows.where("n > 0").join(family.select(F.col("node").alias("h"), F.col("root").alias("family")), "h").groupBy("cid", "family").agg(F.min("row").alias("k"), F.max("n").alias("n"))
+    size = members.groupBy("family").agg(_count(block, F.col("n")).alias("blocks"))
     members = stored(members.join(size, "family"), "members")
 
     def sets(batches):

@@ -164,3 +164,36 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d", 1, 5), (2, "A b c d", 2, 6), (3, None, 3, 7)], "doc_id long, text string, __row int, __gone int")
     kept = J.keep_first(df)
     assert kept.columns == df.columns and sorted(r["__gone"] for r in kept.collect()) == [5, 7]
+
+
+def test_blocks_follow_shingles(spark, monkeypatch):
+    """Near copies of long texts fill a block by their shingles long before they do by their number; the result is that of all pairs."""
+    rng, rows = random.Random(5), []
+    for k in range(40):
+        w = [f"a{i}" for i in range(500)]
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(500)] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 3000)
+    assert sorted(map(tuple, J.near_duplicates(df).collect()), key=str) == brute(rows)
+    blocks = spark.createDataFrame([(1, 498)] * 40, "family int, n int").groupBy("family").agg(J._count(2048, F.col("n")).alias("b")).first().b
+    assert blocks == 7
+
+
+def test_a_block_is_searched_in_bounded_memory():
+    """A pair of blocks of long near copies: peak memory of the search stays under 100 bytes a shingle."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 20000).astype(np.uint64)
+    sets = []
+    for _ in range(50):  # a million shingles
+        x = base.copy()
+        x[rng.integers(0, len(x), 300)] = rng.integers(0, 2**63, 300)
+        sets.append(np.unique(x))
+    tracemalloc.start()
+    u, v = J.SetIndex(sets).links()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(u) and peak < 100 * sum(map(len, sets))
