@@ -22,6 +22,9 @@ from __future__ import annotations
 
 import re
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,16 +43,24 @@ COMMON = {
 _WORDS = sorted({w for ws in COMMON.values() for w in ws})
 CLASSES = 8
 GUARD_WORDS = 50
-#: (least number of words, limit of the character distance, limit of the mean of both distances)
-LIMITS = ((50, 0.29, 1.0), (100, 0.29, 0.24), (300, 0.29, 0.20))
-#: (least number of words, limit of the word distance). Set on the labelled documents of sf0.1 that pass the base rules (3243 good ones,
-#: whose largest distance is 0.347 at 50-99 words, 0.359 at 100-299 and 0.195 from 300 on, and 291 junk ones); short junk has letters
-#: like those of prose, and only its words give it away.
-WORD_LIMITS = ((50, 0.36), (300, 0.28))
+class Band(NamedTuple):
+    """Limits for documents of least words or more, up to the next band; a limit of None isn't looked at. mean: of both distances."""
+
+    least: int
+    chars: float
+    words: float | None
+    mean: float
+
+
+#: Fitted on the documents of sf0.1 with an even id that are labelled and pass the base rules: where good and junk ones lie apart (mean, from 100
+#: words on) the limit is midway, else just beyond the largest good distance. The rest of sf0.1 and the other tables are for reports only.
+BANDS = (Band(50, 0.29, 0.365, 0.29), Band(100, 0.29, None, 0.224), Band(300, 0.29, None, 0.186))
 #: A language of COMMON: labelled good documents of sf0.1 have 16 % of their words or more in its list, 99 % of junk under 10 %.
 LEAST_SHARE = 0.1
 LEAST_DOCS = 10
 LEAST_TAGGED = 200
+#: At most so many tags without a list become references, those with most documents.
+MOST_TAGGED = 64
 NO_LANGUAGE = {"", "und", "unk", "unknown", "none", "null", "nan", "xx", "xxx", "zxx", "mis", "mul"}
 #: The reference of all documents, used when no language has one.
 POOLED = "*"
@@ -167,8 +178,11 @@ def fit_references(docs: DataFrame, *, text: str = "text", lang: str = "lang", g
     sums = docs.select(lang, text).mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     size = F.max(F.when(F.col("bin") == CLASSES + len(_WORDS) + 1, F.col("n"))) / UNIT
     need = F.when(F.col("lang") == POOLED, 1).when(F.col("lang").isin(listed), LEAST_DOCS).otherwise(LEAST_TAGGED)
-    rows = sums.groupBy("lang").agg(size.alias("size"), F.collect_list(F.struct("bin", "n")).alias("bins")).where(F.col("size") >= need).collect()
-    own = [r for r in rows if r["lang"] != POOLED] or rows
+    found = sums.groupBy("lang").agg(size.alias("size"), F.collect_list(F.struct("bin", "n")).alias("bins")).where(F.col("size") >= need)
+    first = F.when(F.col("lang").isin(POOLED, *listed), 0).otherwise(1)
+    rows = found.orderBy(first, F.desc("size"), "lang").limit(1 + len(listed) + MOST_TAGGED).collect()
+    tagged = [r for r in rows if r["lang"] not in (POOLED, *listed)][:MOST_TAGGED]
+    own = [r for r in rows if r["lang"] in listed] + tagged or rows
     out = {}
     for r in sorted(own, key=lambda r: r["lang"]):
         x = np.zeros(CLASSES + len(_WORDS) + 2)
@@ -218,7 +232,7 @@ def dup_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.n
     return np.bincount(doc, minlength=n) - np.bincount(doc[at], minlength=n)
 
 
-def verdicts(data: np.ndarray, offsets: np.ndarray, references: dict, limits: tuple, word_limits: tuple = WORD_LIMITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def verdicts(data: np.ndarray, offsets: np.ndarray, references: dict, bands: tuple[Band, ...] = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept, character distance, word distance) of each document."""
     s, e, at = words(data, offsets)
     n_words = np.diff(at)
@@ -228,14 +242,15 @@ def verdicts(data: np.ndarray, offsets: np.ndarray, references: dict, limits: tu
     by_chars = np.min([js_distance(chars, r[0]) for r in references.values()], axis=0)
     by_words = np.min([js_distance(common, r[1]) for r in references.values()], axis=0)
     bad = np.zeros(len(n_words), bool)
-    for least, most_chars, most_mean in limits:
-        bad |= (n_words >= least) & ((by_chars > most_chars) | (by_chars + by_words > 2 * most_mean))
-    for least, most_words in word_limits:
-        bad |= (n_words >= least) & (by_words > most_words)
+    for band, end in zip(bands, [b.least for b in bands[1:]] + [math.inf], strict=True):
+        over = (by_chars > band.chars) | (by_chars + by_words > 2 * band.mean)
+        if band.words is not None:
+            over |= by_words > band.words
+        bad |= (n_words >= band.least) & (n_words < end) & over
     return ~bad, by_chars, by_words
 
 
-def quality(docs: DataFrame, references: dict, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), limits: tuple = LIMITS, word_limits: tuple = WORD_LIMITS) -> DataFrame:
+def quality(docs: DataFrame, references: dict, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), bands: tuple[Band, ...] = BANDS) -> DataFrame:
     """keys, the contract's counts, base_failed, kept, and both distances. Map only."""
     bounded_batches(docs.sparkSession)
     source = docs.select(*keys, F.col(text).alias(unused(list(keys), "__text")))
@@ -247,13 +262,13 @@ def quality(docs: DataFrame, references: dict, *, text: str = "text", keys: tupl
             for a, b, data, offsets in chunks(batch.column(batch.num_columns - 1)):
                 counts = base_counts(data, offsets)
                 failed = base_failed(counts)
-                ok, by_chars, by_words = verdicts(data, offsets, references, limits, word_limits)
+                ok, by_chars, by_words = verdicts(data, offsets, references, bands)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *(pa.array(counts[x], pa.int64()) for x in names), pa.array(failed), pa.array(ok & ~failed), pa.array(by_chars), pa.array(by_words)], names=[*batch.schema.names[:-1], *names, "base_failed", "kept", "char_distance", "word_distance"])
 
     return source.mapInArrow(run, schema)
 
 
-def filter_quality(docs: DataFrame, references: dict, *, text: str = "text", limits: tuple = LIMITS, word_limits: tuple = WORD_LIMITS) -> DataFrame:
+def filter_quality(docs: DataFrame, references: dict, *, text: str = "text", bands: tuple[Band, ...] = BANDS) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Map only."""
     bounded_batches(docs.sparkSession)
     place = docs.columns.index(text)
@@ -264,7 +279,7 @@ def filter_quality(docs: DataFrame, references: dict, *, text: str = "text", lim
             for _, _, data, offsets in chunks(batch.column(place)):
                 counts = base_counts(data, offsets)
                 failed = base_failed(counts)
-                keep.append(verdicts(data, offsets, references, limits, word_limits)[0] & ~failed)
+                keep.append(verdicts(data, offsets, references, bands)[0] & ~failed)
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)
