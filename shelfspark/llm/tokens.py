@@ -27,7 +27,8 @@ from shelfspark.llm.common import bounded_batches, unused
 
 BATCH_BYTES = 1 << 19
 PIECE_BYTES = 1 << 16
-CACHE_ENTRIES = 1_200_000
+#: The cache of a worker is emptied beyond so many pieces, or so many bytes of long pieces and their ids.
+CACHE_ENTRIES, CACHE_BYTES = 1_200_000, 64 << 20
 LIMIT = 512
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
@@ -121,6 +122,7 @@ class PieceEncoder:
         self.starts = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
         self.used = 0
+        self.held = 0
 
     @staticmethod
     def _byte_chars() -> str:
@@ -149,11 +151,12 @@ class PieceEncoder:
         if used > len(self.pool):
             self.pool = np.resize(self.pool, max(used, 2 * len(self.pool)))
         self.pool[self.used : used] = out
+        self.held += 4 * (used - self.used) + sum(len(k) for k in pieces if isinstance(k, bytes))
         self.used = used
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cache row of each piece, and each document's offsets into the pieces."""
-        if len(self.row) > CACHE_ENTRIES:
+        if len(self.row) > CACHE_ENTRIES or self.held > CACHE_BYTES:
             self._reset()
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -200,10 +203,13 @@ class PieceEncoder:
         if not self.plain or self._has_special(data):
             got = self._library(data, offsets)
             return (np.concatenate(got).astype(np.uint32) if got else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
-        rows, at = self.rows(data, offsets)
-        lengths = self.lengths[rows]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        return self.pool[ragged(self.starts[rows], lengths)], total[at]
+        ids, ends = [], np.zeros(len(offsets), np.int64)
+        for part, border in split_long(data, offsets, BATCH_BYTES):
+            rows, at = self.rows(part, border)
+            lengths = self.lengths[rows]
+            ids.append(self.pool[ragged(self.starts[rows], lengths)])
+            ends += np.concatenate([[0], np.cumsum(lengths)])[at]
+        return (ids[0] if len(ids) == 1 else np.concatenate(ids)), ends
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of tokens of each document."""

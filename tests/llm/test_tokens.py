@@ -123,3 +123,34 @@ def test_batches_are_bounded_in_bytes(spark):
     rows = spark.range(60).coalesce(1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("t"))
     sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
     assert len(sizes) > 1 and max(r.n for r in sizes) < int(ARROW_BYTES) + (2 << 20)
+
+
+def test_the_cache_is_bounded_in_bytes():
+    """Many long pieces: the cache is emptied, and counts stay those of the library."""
+    from shelfspark.llm import tokens
+
+    encoder = tokens.PieceEncoder(tokens.vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(20)) for _ in range(12)]
+    before, tokens.CACHE_BYTES = tokens.CACHE_BYTES, 200_000
+    try:
+        for t in texts:
+            data = np.frombuffer(t.encode(), np.uint8)
+            offsets = np.array([0, len(data)])
+            ids = encoder.tokenizer.encode(t, add_special_tokens=False).ids
+            assert encoder.count(data, offsets).tolist() == [len(ids)]
+            assert encoder.encode(data, offsets)[0].tolist() == ids
+            assert encoder.held < 200_000 + 2 * 60_000 * 5
+    finally:
+        tokens.CACHE_BYTES = before
+
+
+def test_long_texts_are_encoded_in_parts():
+    from shelfspark.llm import tokens
+
+    encoder = tokens.PieceEncoder(tokens.vocabulary("byte_bpe_50k.json"))
+    for text in ("lorem ipsum, dolor 12 " * 60_000, "日本語テキスト。" * 40_000, "x" * 700_000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, at = encoder.encode(data, np.array([0, len(data)]))
+        assert at.tolist() == [0, len(ids)] and len(ids) == encoder.count(data, np.array([0, len(data)]))[0]
+        assert encoder.tokenizer.decode(ids.tolist()) == text
