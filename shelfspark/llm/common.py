@@ -61,6 +61,21 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+#: What a task reads where rows name work of a known size.
+TASK_BYTES = 256 << 20
+
+
+def tasks_for(spark: SparkSession, rows: int, total_bytes: float) -> int:
+    """Partitions for rows that name work of total_bytes: as many as cores or as TASK_BYTES asks for, but none without a row."""
+    return max(1, min(rows, max(spark.sparkContext.defaultParallelism, math.ceil(total_bytes / TASK_BYTES))))
+
+
+def grouped_by(df: DataFrame, column: str, total_bytes: float) -> DataFrame:
+    """df with at least one partition for TASK_BYTES before it is grouped by a column: dealt out by it where the session's number of partitions is too small, else as it is."""
+    n = math.ceil(total_bytes / TASK_BYTES)
+    return df.repartition(n, column) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def parts_of(total: float, part_bytes: int, least: int = 8) -> int:
     return max(least, math.ceil(total / part_bytes))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrays import chunks, column_bytes, ragged
-from shelfspark.llm.common import bounded_batches, dropping_shuffles, shared_dir, shard_count, stored
+from shelfspark.llm.common import bounded_batches, dropping_shuffles, shared_dir, shard_count, stored, tasks_for
 from shelfspark.llm.files import Replacing, read_file
 from shelfspark.llm.tokens import BATCH_BYTES, piece_encoder
 
@@ -270,8 +270,8 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=null), pa.array(first + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, files.count())
-    return files.select("path", "first").repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n, ids = files.agg(F.count("*"), F.sum("n_ids")).first()
+    return files.select("path", "first").repartition(tasks_for(files.sparkSession, n, 2 * (ids or 0))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def huffman_ids(docs: DataFrame, vocabulary_path: str, **options) -> DataFrame:

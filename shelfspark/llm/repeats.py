@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrays import Rolling, chunks, covered, mix, per_document, ragged, sliding_min, valid_starts
-from shelfspark.llm.common import parts_of, text_bytes
+from shelfspark.llm.common import grouped_by, parts_of, text_bytes
 
 SHARD_BYTES = 4 << 20
 #: Of a run or partition of the index.
@@ -519,9 +519,9 @@ def repeated_windows(docs: DataFrame, rule: Rule, read: Callable, finish: Callab
         found = _repeated(state, rule, first, lambda a: _answers(answers, _WINDOWS, a, parts, 1)[:, 0])
         return finish(table, found, *([left["stretches"].shared_of(left["hashes"])] if rule.scout else []))
 
-    by_shard = dealt.groupBy("__shard")
+    by_shard = grouped_by(dealt, "__shard", total).groupBy("__shard")
     index = _index(rule)
-    met = lambda runs: runs.groupBy("dest").applyInArrow(index, _ANSWER)
+    met = lambda runs: grouped_by(runs, "dest", parts * index_bytes).groupBy("dest").applyInArrow(index, _ANSWER)
     if rule.scout:
         one = met(by_shard.cogroup(met(by_shard.applyInArrow(scout_runs, _RUN)).groupBy("src")).applyInArrow(scouted_runs, _RUN))
     else:

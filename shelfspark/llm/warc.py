@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import bounded_batches, shared_dir, stored
+from shelfspark.llm.common import bounded_batches, shared_dir, stored, tasks_for
 from shelfspark.llm.files import Replacing, file_system
 
 LEAST_BYTES = 0
@@ -248,8 +248,8 @@ def locate(packages: DataFrame, *, read_bytes: int = READ_BYTES) -> DataFrame:
                     rows.append({"path": path, "start": start, "lengths": lengths})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    n = max(1, packages.count())
-    return packages.select("path").repartition(n, "path").mapInArrow(run, "path string, start long, lengths array<long>")
+    n = packages.count()
+    return packages.select("path").repartition(tasks_for(packages.sparkSession, n, n * read_bytes)).mapInArrow(run, "path string, start long, lengths array<long>")
 
 
 def read_packages(packages: DataFrame, *, read_bytes: int = READ_BYTES) -> DataFrame:
@@ -269,8 +269,8 @@ def read_packages(packages: DataFrame, *, read_bytes: int = READ_BYTES) -> DataF
                     at += n
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    n = max(1, ranges.count())
-    return ranges.repartition(n, "path", "start").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    n, size = ranges.agg(F.count("*"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    return ranges.repartition(tasks_for(ranges.sparkSession, n, size or 0)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def warc_round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -174,3 +174,18 @@ def test_levels():
     assert sum(sizes[-1]) == len(seen) and max(map(len, sizes)) <= 7
     a, b, least, count = family.compacted()
     assert list(zip(a.tolist(), b.tolist(), count.tolist(), least.tolist(), strict=True)) == [(*x, *seen[x]) for x in sorted(seen)]
+
+
+def test_texts_are_dealt_by_bytes(spark, monkeypatch):
+    """Where the session has too few partitions for the texts, they are dealt to more; the result is the same."""
+    from shelfspark.llm import common
+
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + (" " + shared if i % 3 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substring.substring_dedup(df, shard_bytes=2000).collect()))
+    monkeypatch.setattr(common, "TASK_BYTES", 3000)
+    out = substring.substring_dedup(df, shard_bytes=2000, index_bytes=3000)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect())) == want and sum(r[2] > 0 for r in want) == 19
