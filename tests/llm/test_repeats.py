@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from shelfspark.llm import substring, suffix
-from shelfspark.llm.repeats import Levels, Rule
+from shelfspark.llm.repeats import Levels, Rule, repeated_windows
 
 
 def brute_bytes(rows, width):
@@ -186,6 +186,6 @@ def test_texts_are_dealt_by_bytes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, substring.substring_dedup(df, shard_bytes=2000).collect()))
     monkeypatch.setattr(common, "TASK_BYTES", 3000)
-    out = substring.substring_dedup(df, shard_bytes=2000, index_bytes=3000)
+    out = repeated_windows(df, substring.RULE, substring._read, substring.digest_rows, substring.DIGEST, symbol_bytes=substring.WORD_BYTES, shard_bytes=2000, index_bytes=3000)
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
     assert sorted(map(tuple, out.collect())) == want and sum(r[2] > 0 for r in want) == 19
