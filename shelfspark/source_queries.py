@@ -300,8 +300,12 @@ def staging_size(spark, d):
 # ---- the streamed catalogue
 
 
-@query("SELECT concat('/', lang, '/', doc_id) AS path, source AS title, 'fuzzy' AS match_confidence, n_chars AS size_bytes, FALSE AS missing FROM documents")
+@query("SELECT concat('/x/', doc_id // 3) AS path, arg_max(source, doc_id) AS title, CASE WHEN min(doc_id % 3) = 0 THEN 'header' ELSE 'fuzzy' END AS match_confidence, arg_max(n_chars, doc_id) AS size_bytes, FALSE AS missing FROM documents GROUP BY 1")
 def stream_catalogue(spark, d):
-    docs = spark.readStream.schema(table(spark, d, "documents").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")  # a pattern, for a stream of one path must be a folder
-    rows = docs.selectExpr("concat('/', lang, '/', doc_id) AS path", "source AS title", "'fuzzy' AS match_confidence", "n_chars AS size_bytes", "FALSE AS missing", "n_chars AS mtime")
-    return run_available(rows, shared_dir(spark, "catalogue"), order="mtime")
+    """Three files that come one after another, a batch each: the later ones have paths of the earlier ones again, with less certain matches."""
+    docs, arriving = table(spark, d, "documents"), shared_dir(spark, "arriving")
+    rows = docs.selectExpr("concat('/x/', doc_id div 3) AS path", "source AS title", "if(doc_id % 3 = 0, 'header', 'fuzzy') AS match_confidence", "n_chars AS size_bytes", "FALSE AS missing", "doc_id AS mtime")
+    for k in range(3):
+        rows.where(F.col("mtime") % 3 == k).coalesce(1).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    return run_available(stream, shared_dir(spark, "catalogue"), order="mtime")
