@@ -222,10 +222,23 @@ def sibling_metadata_ladder(spark, d):
 
 @query(f"WITH {_A}, cover AS (SELECT a.id, a.sha1, a.system_id, a.dat_match, a.fuzzy_key FROM a JOIN labels l ON l.doc_id = a.id WHERE l.toxic = 1), hit AS (SELECT t.id, c.id AS cover_id, 1 AS tier FROM a t JOIN cover c ON c.sha1 = t.sha1 AND c.id <> t.id UNION ALL SELECT t.id, c.id, 2 FROM a t JOIN cover c ON c.system_id = t.system_id AND c.dat_match = t.dat_match AND c.id <> t.id UNION ALL SELECT t.id, c.id, 3 FROM a t JOIN cover c ON c.system_id = t.system_id AND c.fuzzy_key = t.fuzzy_key AND c.id <> t.id), best AS (SELECT id, min(tier) AS tier FROM hit GROUP BY id) SELECT hit.id, hit.cover_id, hit.tier FROM hit JOIN best ON best.id = hit.id AND best.tier = hit.tier")
 def sibling_covers_rank(spark, d):
+    return E.sibling_covers(*_siblings(spark, d))
+
+
+def _siblings(spark, d):
     keys = [["sha1"], ["system_id", "dat_match"], ["system_id", "fuzzy_key"]]
     a = files(spark, d).select("id", "sha1", "system_id", "dat_match", "fuzzy_key")
     own = a.join(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return E.sibling_covers(a, own.withColumnRenamed("id", "rom_id").withColumn("cover_id", F.col("rom_id")), keys)
+    return a, own.withColumnRenamed("id", "rom_id").withColumn("cover_id", F.col("rom_id")), keys
+
+
+@query(f"WITH {_A}, cover AS (SELECT a.id, a.sha1, a.system_id, a.dat_match, a.fuzzy_key FROM a JOIN labels l ON l.doc_id = a.id WHERE l.toxic = 1), hit AS (SELECT t.id, 1 AS tier, count(*) AS n FROM a t JOIN cover c ON c.sha1 = t.sha1 AND c.id <> t.id GROUP BY 1 UNION ALL SELECT t.id, 2, count(*) FROM a t JOIN cover c ON c.system_id = t.system_id AND c.dat_match = t.dat_match AND c.id <> t.id GROUP BY 1 UNION ALL SELECT t.id, 3, count(*) FROM a t JOIN cover c ON c.system_id = t.system_id AND c.fuzzy_key = t.fuzzy_key AND c.id <> t.id GROUP BY 1) SELECT id, CAST(min(tier) AS INTEGER) AS tier, arg_min(n, tier) AS n_covers FROM hit GROUP BY id")
+def sibling_cover_classes(spark, d):
+    """How many covers of others each item may take, from classes and members: no pair is made."""
+    members, classes = E.sibling_cover_classes(*_siblings(spark, d))
+    size = classes.groupBy("class").agg(F.count("*").alias("n"))
+    own = classes.groupBy("class", F.col("rom_id").alias("id")).agg(F.count("*").alias("mine"))
+    return members.join(size, "class").join(own, ["class", "id"], "left").select("id", "tier", (F.col("n") - F.coalesce("mine", F.lit(0))).alias("n_covers"))
 
 
 @query("WITH t AS (SELECT p_partkey, p_name, p_brand, p_type FROM part), x AS (SELECT p_name, p_brand, min(p_partkey) AS k FROM part WHERE p_size > 25 GROUP BY 1, 2), y AS (SELECT p_name, max(p_partkey) AS k FROM part WHERE p_retailprice > 1000 GROUP BY 1), z AS (SELECT p_type, min(p_partkey) AS k FROM part GROUP BY 1) SELECT t.p_partkey, coalesce(x.k, y.k, z.k) AS found, CASE WHEN x.k IS NOT NULL THEN 'title' WHEN y.k IS NOT NULL THEN 'index' WHEN z.k IS NOT NULL THEN 'lookup' END AS source FROM t LEFT JOIN x ON x.p_name = t.p_name AND x.p_brand = t.p_brand LEFT JOIN y ON y.p_name = t.p_name LEFT JOIN z ON z.p_type = t.p_type")

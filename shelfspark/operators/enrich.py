@@ -134,23 +134,34 @@ def spread_to_siblings(values: DataFrame, items: DataFrame, keys: list[list[str]
         have = have.unionByName(got)
 
 
-def sibling_covers(targets: DataFrame, covers: DataFrame, keys: list[list[str]]) -> DataFrame:
-    """id, cover_id, tier: all covers of the first keys by which an item has any; not its own.
+def sibling_cover_classes(targets: DataFrame, covers: DataFrame, keys: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(members: id, tier, class; classes: class, rom_id, cover_id): which group of covers each item may take, and the covers of every group that an item has.
 
-    targets: id and the keys; covers: cover_id, rom_id and the keys. The best tier of each item is found among the distinct keys first, so only rows of the result are paired.
+    targets: id and the keys; covers: cover_id, rom_id and the keys. A class is a tier with its keys; an item belongs to that of the first keys by which another item
+    has a cover. Both grow with items and covers, not with their pairs: who shows an item's covers joins its class and leaves out its own.
     """
     best = None
     for n, k in enumerate(keys, start=1):
         # a key that only the item itself has covers of finds nothing
         owners = covers.groupBy(*k).agg(F.min("rom_id").alias("_low"), F.max("rom_id").alias("_high"))
-        hit = targets.join(owners, k).where((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id"))).select("id", F.lit(n).alias("tier"))
+        hit = targets.join(owners, k).where((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id"))).select("id", F.struct(F.lit(n).alias("tier"), _class(n, k).alias("class")).alias("_found"))
         best = hit if best is None else best.unionByName(hit)
-    best = best.groupBy("id").agg(F.min("tier").alias("tier"))
-    own, out = targets.join(best, "id"), None
+    members = best.groupBy("id").agg(F.min("_found").alias("_found")).select("id", "_found.tier", "_found.class")
+    every = None
     for n, k in enumerate(keys, start=1):
-        found = own.where(F.col("tier") == n).select("id", "tier", *k).join(covers.select(*k, "cover_id", "rom_id"), k).where("id <> rom_id").select("id", "cover_id", "tier")
-        out = found if out is None else out.unionByName(found)
-    return out
+        own = covers.where(" AND ".join(f"{c} IS NOT NULL" for c in k)).select(_class(n, k).alias("class"), "rom_id", "cover_id")
+        every = own if every is None else every.unionByName(own)
+    return members, every.join(members.select("class").distinct(), "class", "left_semi")
+
+
+def _class(tier: int, keys: list[str]) -> Column:
+    return F.to_json(F.array(F.lit(str(tier)), *(F.col(k).cast("string") for k in keys)))
+
+
+def sibling_covers(targets: DataFrame, covers: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """id, cover_id, tier: all covers of the first keys by which an item has any; not its own. A row for each pair; sibling_cover_classes has the same without pairs."""
+    members, classes = sibling_cover_classes(targets, covers, keys)
+    return members.join(classes, "class").where("id <> rom_id").select("id", "cover_id", "tier")
 
 
 def set_preferred(covers: DataFrame, chosen: DataFrame) -> DataFrame:
