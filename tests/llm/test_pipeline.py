@@ -70,3 +70,34 @@ def test_stages(spark, tiny):
     check_packing(apply("packing"), list(kept.items()), packing.MAX_LENGTH, packing.BUCKETS, packing.BUDGET)
     want = sorted(map(tuple, docs.select("doc_id", "piece", "n_tokens", "bucket", "bucket_length", "batch", "slot").collect()))
     assert sorted(map(tuple, pipeline.run(spark, tiny).collect())) == want
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __id long, __text string, __row int, __gone int, c0 int, dest int"
+
+
+def test_stages_take_odd_rows(spark, tiny):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, columns with the names that stages use: no stage fails or loses a clean row."""
+    prose = [r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 900 AND 3000").orderBy("doc_id").limit(12).collect()]
+    long = " ".join(f"{a}{k}" for k in range(9000) for a in ("word", "line", "text", "of", "the", "and"))
+    rows = [(None if k % 4 == 0 else k % 5, t) for k, t in enumerate(prose)] + [(1, prose[0]), (1, prose[0]), (None, None), (9, None), (10, ""), (11, " \n"), (12, long)]
+    docs = spark.createDataFrame([(i, t, None if k % 3 else "en", "s", len(t or ""), k, "x", 1, 2, 3, 4) for k, (i, t) in enumerate(rows)], ODD)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, tiny)
+        got = out.collect()
+        if name != "packing":
+            assert out.dtypes == docs.dtypes
+            kept = {r["text"] for r in got}
+            if name == "n-gram Jaccard join":
+                assert {t for t in prose if t in {x for _, x in rows}} >= kept & set(prose) and len(kept & set(prose)) >= 1
+            if name == "quality rules":
+                assert not kept & {None, "", " \n"}
+            docs = spark.createDataFrame(got, out.schema)
+        else:
+            assert got
+
+
+def test_stages_take_an_empty_table(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, docs, tiny)
+        assert out.count() == 0
