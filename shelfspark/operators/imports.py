@@ -49,8 +49,8 @@ def import_plan(staging: DataFrame, library: DataFrame, systems: DataFrame, cata
     staging and library: listings (path, rel_path, filename, size_bytes, mtime); systems: id, ord, folder_aliases, extensions, header_rule;
     catalogue: id, path, sha1. A file goes to its system's first alias, or to the folder of unsorted ones; new_folder: the library has no
     file below that folder yet. Paths decide first. Only with by_content, and only for what they leave as new and a system takes,
-    are contents read; one that the catalogue has is a dupe_hash, and is known by its content. Of archives that paths don't
-    decide, too, only directories are read.
+    are contents read; one that the catalogue has is a dupe_hash, and is known by its content. An archive of several games
+    is told by its directory, which is all that is read of it, before anything else.
     """
     if _below(staging_root, library_root):
         raise ValueError("the staging folder must be outside the library")
