@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrays import LOWER, NOT_ALNUM, chunks, column_bytes, covered, ngrams, per_document, sliding_min, valid_starts, word_hashes, words
+from shelfspark.llm.arrays import LOWER, NOT_ALNUM, chunks, column_bytes, covered, mix, ngrams, per_document, sliding_min, valid_starts, word_hashes, words
 from shelfspark.llm.common import bounded_batches, stored, unused
 
 WINDOW, K = 13, 5
@@ -171,41 +171,79 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
     return docs.mapInArrow(run, docs.schema)
 
 
-def _windows_of(batches, lengths: list[int], only_short: bool):
-    """Rows (row id, start, n, gram, window hashes) of each kept gram's windows; short windows have gram = their hash."""
+def _short(at: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Starts of n consecutive words of one text."""
+    return np.flatnonzero(valid_starts(at, n, size - n + 1)) if size >= n else np.zeros(0, np.int64)
+
+
+def _item_windows(batches):
+    """Rows (id, n, gram, w1, w2) of each window of the items; gram: the one that it keeps, of a short item's window its own hash."""
     for batch in batches:
-        ids = batch.column(0)
         for a, _, data, offsets in chunks(batch.column(1)):
             h, at = _doc_words(data, offsets)
-            doc_size = np.diff(at)
+            size = np.diff(at)
             starts, kept, grams = winnow(h, at)
-            rows = []
-            if len(starts):
-                rows.append((starts, np.full(len(starts), WINDOW), grams[kept], ngrams(h, WINDOW)[starts], ngrams(h, WINDOW, 991)[starts]))
-            for n in lengths:
-                if len(h) < n:
-                    continue
-                s = np.flatnonzero(valid_starts(at, n, len(h) - n + 1))
-                if only_short:  # items: only those that are one short window
-                    s = s[doc_size[np.searchsorted(at, s, "right") - 1] == n]
-                g = ngrams(h, n)[s]
-                rows.append((s, np.full(len(s), n), g, g, ngrams(h, n, 991)[s]))
-            if not rows:
-                continue
-            s, n, gram, w1, w2 = (np.concatenate(x) for x in zip(*rows, strict=True))
-            doc = np.searchsorted(at, s, "right") - 1
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + doc)), pa.array(s - at[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(gram.view(np.int64)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["id", "start", "n", "gram", "w1", "w2"])
+            parts = [(starts, grams[kept], WINDOW)]
+            for n in range(1, WINDOW):
+                s = _short(at, len(h), n)
+                s = s[size[np.searchsorted(at, s, "right") - 1] == n]
+                parts.append((s, ngrams(h, n)[s], n))
+            for s, gram, n in parts:
+                if len(s):
+                    doc = np.searchsorted(at, s, "right") - 1
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc)), pa.array(np.full(len(s), n), pa.int32()), *(pa.array(x.view(np.int64)) for x in (gram, ngrams(h, n)[s], ngrams(h, n, 991)[s]))], names=["id", "n", "gram", "w1", "w2"])
+
+
+def _prints(batches, lengths: list[int]):
+    """Rows (id, n, gram): the grams that a document's windows keep, and its short windows of these lengths; each once a document."""
+    for batch in batches:
+        for a, _, data, offsets in chunks(batch.column(1)):
+            h, at = _doc_words(data, offsets)
+            starts, kept, grams = winnow(h, at)
+            parts = [(starts, grams[kept], WINDOW)] + [(s, ngrams(h, n)[s], n) for n in lengths for s in [_short(at, len(h), n)]]
+            for s, gram, n in parts:
+                doc = np.searchsorted(at, s, "right") - 1
+                order = np.lexsort((gram, doc))
+                doc, gram = doc[order], gram[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc[new])), pa.array(np.full(int(new.sum()), n), pa.int32()), pa.array(gram[new].view(np.int64))], names=["id", "n", "gram"])
+
+
+def _candidates(batches):
+    """Rows (id, start, n, w1, w2) of the windows that keep one of the grams that their document shares with an item (columns id, t, ns, grams)."""
+    for batch in batches:
+        ns, gs = batch.column(2), batch.column(3)
+        for a, b, data, offsets in chunks(batch.column(1)):
+            h, at = _doc_words(data, offsets)
+            own_n, own_g = (x.slice(a, b - a) for x in (ns, gs))
+            owner = np.repeat(np.arange(b - a), np.diff(own_n.offsets.to_numpy()))
+            flat_n, flat_g = own_n.flatten().to_numpy(), own_g.flatten().to_numpy().view(np.uint64)
+            starts, kept, grams = winnow(h, at)
+            for n in np.unique(flat_n).tolist():
+                s = starts if n == WINDOW else _short(at, len(h), n)
+                gram = grams[kept] if n == WINDOW else ngrams(h, n)[s]
+                doc = np.searchsorted(at, s, "right") - 1
+                mine = flat_n == n
+                pair = lambda d, g: mix(g + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                s = s[np.isin(pair(doc, gram), pair(owner[mine], flat_g[mine]))]  # a chance equality is found out by the join that follows
+                doc = np.searchsorted(at, s, "right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc)), pa.array(s - at[doc], pa.int64()), pa.array(np.full(len(s), n), pa.int32()), *(pa.array(x.view(np.int64)) for x in (ngrams(h, n)[s], ngrams(h, n, 991)[s]))], names=["id", "start", "n", "w1", "w2"])
 
 
 def _joined(numbered: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> DataFrame:
-    """The same result by shuffled joins, for stored rows with a number (id), a key (k) and a text (t)."""
-    rows = "id long, start long, n int, gram long, w1 long, w2 long"
+    """The same result by shuffled joins, for stored rows with a number (id), a key (k) and a text (t).
+
+    Documents send the distinct grams that they keep; those that an item keeps come back to their documents, and only the windows around them are extended.
+    """
     items = benchmark.select(_item_id(item), F.col(item_text).alias("t"))
-    tests = stored(items.mapInArrow(lambda it: _windows_of(it, list(range(1, WINDOW)), True), rows.replace("id long", "id string")), "benchmark-windows")
+    tests = stored(items.mapInArrow(_item_windows, "id string, n int, gram long, w1 long, w2 long"), "benchmark-windows")
     lengths = sorted(r["n"] for r in tests.where(f"n < {WINDOW}").select("n").distinct().collect())  # at most 12
-    grams = numbered.select("id", "t").mapInArrow(lambda it: _windows_of(it, lengths, False), rows)
-    near = grams.join(tests.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
-    hit = stored(near.select("id", "start", "n", "w1", "w2").join(tests.select("n", "w1", "w2", F.col("id").alias("item")).distinct(), ["n", "w1", "w2"]).select("id", "start", "n", "item"), "window-hits")
+    prints = numbered.select("id", "t").mapInArrow(lambda it: _prints(it, lengths), "id long, n int, gram long")
+    near = prints.join(tests.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
+    shared = stored(near.groupBy("id").agg(F.collect_list(F.struct("n", "gram")).alias("p")).select("id", F.col("p.n").alias("ns"), F.col("p.gram").alias("grams")), "shared-grams")
+    windows = numbered.select("id", "t").join(shared, "id").select("id", "t", "ns", "grams").mapInArrow(_candidates, "id long, start long, n int, w1 long, w2 long")
+    hit = stored(windows.join(tests.select("n", "w1", "w2", F.col("id").alias("item")).distinct(), ["n", "w1", "w2"]).select("id", "start", "n", "item"), "window-hits")
     found = hit.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("items"))
     spots = hit.select("id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy("id").agg(F.count("*").alias("n_hit"))
 
