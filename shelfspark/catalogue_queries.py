@@ -20,7 +20,7 @@ from shelfspark.operators.providers import include_names, listed_names, until_ex
 from shelfspark.operators.resolve import contained_pick, first_wins, keeper, latest_distinct, preferred_first, reconcile, tier_ladder
 from shelfspark.plans import organize as P
 from shelfspark.sources import sinks as K
-from shelfspark.sources.shared import shared_dir
+from shelfspark.sources.shared import shared_dir, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -583,7 +583,7 @@ def id_list_resolve(spark, d):
     ids = F.array(*((F.col("c_nationkey") + F.lit(k)).cast("string") for k in (0, 1)), F.lit("99"))
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.struct(F.col("n_name").alias("name")).alias("n"))
     one = names.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "n")))).alias("block"))  # the 25 nations: one row
-    answers = table(spark, d, "customer").withColumn("k", F.lit(1)).join(one.withColumn("k", F.lit(1)), "k")
+    answers = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey")).crossJoin(F.broadcast(one))
     answer = F.concat(F.lit('{"data": {"game": '), F.to_json(F.struct(ids.alias("genres"))), F.lit('}, "include": {"genres": '), "block", F.lit("}}"))
     found = listed_names(F.get_json_object("answer", "$.data.game"), ["genres"], include_names(F.col("answer"), "genres"))
     return answers.withColumn("answer", answer).select("c_custkey", found.alias("names"))

@@ -33,6 +33,11 @@ def lookup(column: Column, values: dict, default: Column | None = None) -> Colum
     return out.otherwise(default) if default is not None else out
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is evaluated once a row, however often body names it: Spark evaluates an expression anew at each place where it stands in a condition or a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")
 

@@ -33,13 +33,12 @@ YEARS = (1970, 2100)
 
 
 def _filled(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return N.bound(c, lambda v: F.nullif(v, F.lit("")))
 
 
 def _object(json: Column, path: str) -> Column:
     """The JSON text at a path if it is an object."""
-    value = F.get_json_object(json, path)
-    return F.when(F.startswith(value, F.lit("{")), value)
+    return N.bound(F.get_json_object(json, path), lambda value: F.when(F.startswith(value, F.lit("{")), value))
 
 
 def answer_fields(json: Column) -> dict[str, Column]:
@@ -54,21 +53,25 @@ def include_names(json: Column, block: str) -> Column:
     def names(at: str) -> Column:
         entries = F.from_json(F.coalesce(_object(json, f"{at}.data"), _object(json, at)), "map<string,struct<name:string>>")
         named = F.map_filter(entries, lambda _, e: e["name"] != "")
-        return F.transform_values(F.when(F.size(F.map_keys(named)) > 0, named), lambda _, e: e["name"])
+        return N.bound(named, lambda m: F.transform_values(F.when(F.size(m) > 0, m), lambda _, e: e["name"]))
 
     return F.coalesce(names(f"$.data.include.{block}"), names(f"$.include.{block}"))
 
 
 def listed_names(game: Column, keys: list[str], names: Column) -> Column:
-    """The first of a game's fields that isn't empty; of a list its ids' names, or ids without a name as they are, joined by ', '."""
-    out = F.lit(None).cast("string")
-    for key in reversed(keys):
-        value = F.get_json_object(game, f"$.{key}")
+    """The first of a game's fields that isn't empty; of a list its ids' names, or ids without a name as they are, joined by ', '. names is read once for a list, not for each id."""
+
+    def listed(value: Column) -> Column:
         ids = F.filter(F.from_json(value, "array<string>"), lambda i: i != "")
-        joined = F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(names, i), i)), ", ")
-        text = F.when(F.startswith(value, F.lit("[")), _filled(joined)).otherwise(value)
-        out = F.when(F.coalesce(value, F.lit("")).isin("", "[]"), out).otherwise(text)
-    return out
+        return N.bound(names, lambda m: _filled(F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(m, i), i)), ", ")))
+
+    def first(at: Column, keys: list[str]) -> Column:
+        if not keys:
+            return F.lit(None).cast("string")
+        text = lambda v: F.when(F.startswith(v, F.lit("[")), listed(v)).otherwise(v)
+        return N.bound(F.get_json_object(at, f"$.{keys[0]}"), lambda v: F.when(F.coalesce(v, F.lit("")).isin("", "[]"), first(at, keys[1:])).otherwise(text(v)))
+
+    return N.bound(game, lambda g: first(g, keys))
 
 
 def allowance(json: Column) -> Column:
