@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.catalogue_queries import table
 from shelfspark.operators import providers as P
+from shelfspark.sources.shared import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,7 +38,7 @@ _INCLUDE = """concat('{"include":{"genres":{"data":{"', n_nationkey, '":{"id":1,
 
 @query("SELECT c_custkey, concat(n_name, ', 98, ', n_nationkey + 1) AS genre, '7, 8' AS developer, CAST(NULL AS VARCHAR) AS publisher FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def included_names(spark, d):
-    j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).withColumn("answer", F.expr(_INCLUDE))
+    j = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).withColumn("answer", F.expr(_INCLUDE))
     game, answer = F.get_json_object("answer", "$.data.game"), F.col("answer")
     named = lambda block, *keys: P.listed_names(game, list(keys), P.include_names(answer, block))
     return j.select("c_custkey", named("genres", "genre", "genres").alias("genre"), named("developers", "developers", "developer").alias("developer"), named("publishers", "publishers", "publisher").alias("publisher"))

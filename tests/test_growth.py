@@ -11,7 +11,7 @@ def parses(df, name):
     return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}(")
 
 
-@pytest.mark.parametrize("query", ["id_list_resolve"])
+@pytest.mark.parametrize("query", ["id_list_resolve", "included_names"])
 def test_rows_of_one_file_go_to_several_tasks(spark, tiny, query):
     assert entry.queries()[query](spark, tiny).select(F.spark_partition_id()).distinct().count() > 1
 
