@@ -43,8 +43,15 @@ def _object(json: Column, path: str) -> Column:
 
 def answer_fields(json: Column) -> dict[str, Column]:
     """The fields of an answer, which may lie in one of the wrappers: each under the first of its names that isn't empty."""
+    found = answer_struct(json)
+    return {field: found[field] for field in SYNONYMS}
+
+
+def answer_struct(json: Column) -> Column:
+    """The same fields as one struct, for which the wrappers are looked for once; a column of it by itself serves any number of fields."""
     game = F.coalesce(*(_object(json, f"$.{w}") for w in WRAPPERS), json)
-    return {field: F.coalesce(*(_filled(F.get_json_object(game, f"$.{n}")) for n in names)) for field, names in SYNONYMS.items()}
+    named = lambda g, names: F.coalesce(*(_filled(F.get_json_object(g, f"$.{n}")) for n in names))
+    return N.bound(game, lambda g: F.struct(*(named(g, names).alias(field) for field, names in SYNONYMS.items())))
 
 
 def include_names(json: Column, block: str) -> Column:
@@ -116,7 +123,8 @@ def title_payload(entries: DataFrame, key: str = "id") -> DataFrame:
 
 def answer_payload(answers: DataFrame, json: str, key: str = "id") -> DataFrame:
     """Of answers to a lookup by hash; null answers go."""
-    return _payload(answers.where(F.col(json).isNotNull()), key, **answer_fields(F.col(json)))
+    found = answers.where(F.col(json).isNotNull()).withColumn("_found", answer_struct(F.col(json)))
+    return _payload(found, key, **{field: F.col("_found")[field] for field in SYNONYMS})
 
 
 def first_payload(found: dict[str, DataFrame], *, key: str = "id", online: bool = True) -> DataFrame:

@@ -28,8 +28,8 @@ _FIELDS = "p_name AS title, p_type AS description, '[\"a\",\"b\"]' AS genre, CAS
 
 @query(f"SELECT p_partkey, {_FIELDS} FROM part")
 def answer_fields(spark, d):
-    fields = P.answer_fields(F.col("answer"))
-    return table(spark, d, "part").withColumn("answer", F.expr(_ANSWER)).select("p_partkey", *(c.alias(n) for n, c in fields.items()))
+    answers = spread(table(spark, d, "part")).withColumn("answer", F.expr(_ANSWER))
+    return answers.withColumn("found", P.answer_struct(F.col("answer"))).select("p_partkey", "found.*")
 
 
 # One answer for each customer: ids of nations, of which its include block names one and one has an empty name.

@@ -11,7 +11,7 @@ def parses(df, name):
     return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}(")
 
 
-@pytest.mark.parametrize("query", ["id_list_resolve", "included_names"])
+@pytest.mark.parametrize("query", ["id_list_resolve", "included_names", "answer_fields"])
 def test_rows_of_one_file_go_to_several_tasks(spark, tiny, query):
     assert entry.queries()[query](spark, tiny).select(F.spark_partition_id()).distinct().count() > 1
 
@@ -22,3 +22,13 @@ def test_included_names_are_parsed_once_for_a_list(spark):
     out = df.select(P.listed_names(F.get_json_object("a", "$.data.game"), ["genre", "genres"], P.include_names(F.col("a"), "genres")).alias("n"))
     assert [r.n for r in out.collect()] == ["A, 2", "x", None, None]
     assert parses(out, "from_json") <= 6  # for each of two fields: the list, and the block at either of its places
+
+
+def test_an_answer_looks_for_its_wrapper_once(spark):
+    answers = ['{"title":"","name":"T","genres":["a", "b"],"esrb":null}', '{"game":{"name":"G","released":"1999"},"title":"other"}', '{"game":"none","data":{"summary":"D"}}', None, "{"]
+    df = spark.createDataFrame([(a,) for a in answers], "a string").coalesce(1)
+    out = df.withColumn("f", P.answer_struct(F.col("a"))).select("f.*")
+    empty = dict.fromkeys(P.SYNONYMS)
+    assert [r.asDict() for r in out.collect()] == [empty | f for f in ({"title": "T", "genre": '["a","b"]'}, {"title": "G", "release_date": "1999"}, {"description": "D"}, {}, {})]
+    assert [r.asDict() for r in df.select(*(c.alias(n) for n, c in P.answer_fields(F.col("a")).items())).collect()] == [r.asDict() for r in out.collect()]
+    assert parses(out, "get_json_object") == len(P.WRAPPERS) + sum(map(len, P.SYNONYMS.values()))
