@@ -104,19 +104,23 @@ def clean_name(text: Column) -> Column:
 def article_first(name: Column) -> Column:
     """'Family, The' as 'The Family'."""
     pattern = rf"(?i)^(.*?)\s*,\s*({'|'.join(ARTICLES)})\s*$"
-    return F.when(name.rlike(pattern), F.concat(F.initcap(F.regexp_extract(name, pattern, 2)), F.lit(" "), F.rtrim(F.regexp_extract(name, pattern, 1)))).otherwise(name)
+    turned = lambda n: F.concat(F.initcap(F.regexp_extract(n, pattern, 2)), F.lit(" "), F.rtrim(F.regexp_extract(n, pattern, 1)))
+    return bound(name, lambda n: F.when(F.contains(n, F.lit(",")) & n.rlike(pattern), turned(n)).otherwise(n))
 
 
 def fuzzy_key(name: Column, release: Column | None = None) -> Column:
     """Articles, numerals and version endings folded; only small letters and digits are left."""
     words = F.filter(F.split(article_first(name), r"(?U)\s+"), lambda w: w != "")
-    words = F.when(F.lower(F.get(words, F.lit(0))).isin(ARTICLES), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
-    words = F.transform(words, lambda w: lookup(F.lower(F.regexp_replace(w, "[^A-Za-z0-9]", "")), {k: str(v) for k, v in NUMERALS.items()}, w))
+    words = bound(words, lambda ws: F.when(F.lower(F.get(ws, F.lit(0))).isin(ARTICLES), F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1)))).otherwise(ws))
+    words = F.transform(words, lambda w: bound(F.lower(F.regexp_replace(w, "[^A-Za-z0-9]", "")), lambda k: lookup(k, {k: str(v) for k, v in NUMERALS.items()}, w)))
     key = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.array_join(words, " "), VERSION_END, ""))), "[^a-z0-9]", "")
-    if release is None:
-        return key
+    return key if release is None else with_release(key, release)
+
+
+def with_release(key: Column, release: Column) -> Column:
+    """A key with its release behind it, if there is one."""
     end = F.regexp_replace(F.lower(F.coalesce(release, F.lit(""))), "[^a-z0-9]", "")
-    return F.when(end != "", F.concat(key, F.lit("__"), end)).otherwise(key)
+    return bound(end, lambda e: F.when(e != "", F.concat(key, F.lit("__"), e)).otherwise(key))
 
 
 def parsed(name: Column) -> dict[str, Column]:

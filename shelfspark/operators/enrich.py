@@ -29,9 +29,10 @@ def image_bucket(images: DataFrame) -> DataFrame:
 def candidate_keys(path: Column, key: Column, clean: Column) -> Column:
     """Keys to look images up by, in order of preference: loose forms of key, stem and title, then key and stem with their release."""
     stem = N.stem(N.base_name(path))
-    bare, release = N.clean_name(stem), N.first_tag(N.paren_tags(stem), N.is_release)
-    keys = [F.substring_index(key, "__", 1), N.fuzzy_key(bare), N.fuzzy_key(clean), key, N.fuzzy_key(bare, release)]
-    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull() & (k != "")))
+    own = lambda s: N.bound(N.fuzzy_key(N.clean_name(s)), lambda k: F.array(k, N.with_release(k, N.first_tag(N.paren_tags(s), N.is_release))))
+    keys = lambda o: F.array(F.substring_index(key, "__", 1), F.get(o, F.lit(0)), N.fuzzy_key(clean), key, F.get(o, F.lit(1)))
+    every = N.bound(N.bound(stem, own), keys)
+    return F.array_distinct(F.filter(every, lambda k: k.isNotNull() & (k != "")))
 
 
 def local_covers(items: DataFrame, images: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from shelfspark.sources import profiles as Y
 from shelfspark.sources import registries as R
 from shelfspark.sources import sinks as K
 from shelfspark.sources import tree as T
-from shelfspark.sources.shared import shared_dir
+from shelfspark.sources.shared import shared_dir, spread
 from shelfspark.streaming.catalogue import run_available
 
 QUERIES: dict = {}
@@ -222,7 +222,7 @@ def inner_titles(spark, d):
 def local_covers(spark, d):
     part = table(spark, d, "part")
     path = F.concat(F.lit("/lib/"), "p_brand", F.lit("/"), "p_name", F.lit(" (USA) (Switch Online).sfc"))
-    items = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("system_id"), path.alias("path"), N.parsed(N.base_name(path))["fuzzy_key"].alias("fuzzy_key"), F.col("p_name").alias("clean_name"))
+    items = spread(part).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("system_id"), path.alias("path"), N.parsed(N.base_name(path))["fuzzy_key"].alias("fuzzy_key"), F.col("p_name").alias("clean_name"))
     images = part.where("p_size > 25").select(F.col("p_brand").alias("system_id"), F.concat(F.lit("/lib/"), "p_brand", F.lit("/snaps/"), "p_name", F.lit(" (Europe).PNG")).alias("image_path")).distinct()
     return E.local_covers(items, images).select("id", "image_path", "cover_type")
 

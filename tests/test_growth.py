@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from shelfspark.functions import names as N
+from shelfspark.operators import enrich as E
 from shelfspark.operators import providers as P
 
 
@@ -16,6 +18,10 @@ def test_rows_of_one_file_go_to_several_tasks(spark, tiny, query):
     assert entry.queries()[query](spark, tiny).select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_local_covers_deals_its_items_to_tasks(spark, tiny):
+    assert "Repartition " in entry.queries()["local_covers"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_included_names_are_parsed_once_for_a_list(spark):
     answer = '{"include":{"genres":{"1":{"name":"A"},"2":{"name":""}}},"data":{"game":{"genre":[],"genres":[1, 2, null, ""]}}}'
     df = spark.createDataFrame([(answer,), ('{"data":{"game":{"genre":"x"}}}',), ('{"data":{"game":{"genres":[""]}}}',), (None,)], "a string").coalesce(1)
@@ -32,3 +38,13 @@ def test_an_answer_looks_for_its_wrapper_once(spark):
     assert [r.asDict() for r in out.collect()] == [empty | f for f in ({"title": "T", "genre": '["a","b"]'}, {"title": "G", "release_date": "1999"}, {"description": "D"}, {}, {})]
     assert [r.asDict() for r in df.select(*(c.alias(n) for n, c in P.answer_fields(F.col("a")).items())).collect()] == [r.asDict() for r in out.collect()]
     assert parses(out, "get_json_object") == len(P.WRAPPERS) + sum(map(len, P.SYNONYMS.values()))
+
+
+def test_keys_take_names_apart_once(spark):
+    rows = [("/l/Family, The II (NSO).sfc", "thefamily2__nso", "Family, The II"), ("/l/The.sfc", "", None), ("/l/A  Game v1.2.sfc", None, "A Game"), (None, None, None)]
+    df = spark.createDataFrame(rows, "path string, fuzzy_key string, clean_name string").coalesce(1)
+    out = df.select(E.candidate_keys(F.col("path"), F.col("fuzzy_key"), F.col("clean_name")).alias("k"))
+    assert [r.k for r in out.collect()] == [["thefamily2", "familythe2", "thefamily2__nso", "familythe2__nso"], [], ["game"], []]
+    assert parses(out, "regexp_replace") <= 11
+    keys = df.select(N.fuzzy_key(F.col("clean_name")).alias("k"))
+    assert parses(keys, "regexp_replace") <= 3
