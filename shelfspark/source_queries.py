@@ -123,10 +123,9 @@ def title_xml(spark, d):
 @query("SELECT concat('sys', p_partkey) AS id, p_name AS display_name, concat('.x', p_size) AS extension, CAST(p_size AS INTEGER) AS generation, CASE WHEN p_size % 9 = 0 THEN 'extension' WHEN p_size % 7 = 0 THEN 'header_rule' END AS problem FROM part")
 def yaml_registry(spark, d):
     entry = "concat('  - id: sys', p_partkey, '\\n    display_name: \"', p_name, '\"\\n    short_name: S\\n    generation: ', p_size, '\\n    extensions: [', if(p_size % 9 = 0, 'nodot, ', ''), '.X', p_size, ']\\n', if(p_size % 7 = 0, '    header_rule: other\\n', '')) AS entry"
-    books = table(spark, d, "part").selectExpr("floor(p_partkey / 100) AS book", entry).groupBy("book")  # a hundred entries a file
-    path = shared_dir(spark, "systems")
-    books.agg(F.concat(F.lit("systems:\n"), F.array_join(F.collect_list("entry"), "")).alias("value")).write.partitionBy("book").text(path)
-    return Y.registry_systems(spark, path).select("id", "display_name", F.element_at("extensions", -1).alias("extension"), "generation", "problem")
+    root = shared_dir(spark, "systems").removeprefix("file://").removeprefix("file:")
+    K.write_books(table(spark, d, "part").selectExpr("floor(p_partkey / 100) AS book", entry), root, "systems:\n")  # a hundred entries a file
+    return Y.registry_systems(spark, root).select("id", "display_name", F.element_at("extensions", -1).alias("extension"), "generation", "problem")
 
 
 # ---- trees and sinks

@@ -6,7 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,25 +49,38 @@ def write_texts(rows: DataFrame, root: str) -> DataFrame:
     runs again writes the same bytes again. Rows whose rel_path leaves the root are refused (n_bytes null).
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = uuid.uuid4().hex, set()
         for batch in batches:
             sizes = []
-            for rel_path, content, ok in zip(batch["rel_path"], batch["content"], batch["ok"], strict=True):
-                if not ok or content is None:
+            for rel_path, content, ok in zip(*(batch.column(c) for c in ("rel_path", "content", "ok")), strict=True):  # one content at a time as an object
+                if not ok.as_py() or not content.is_valid:
                     sizes.append(None)
                     continue
-                target = os.path.join(root, rel_path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}.part"
-                data = content.encode() if isinstance(content, str) else bytes(content)
+                target = os.path.join(root, rel_path.as_py())
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                part = f"{target}.{task}.part"
+                data = content.as_py()
+                data = data.encode() if isinstance(data, str) else data
                 with open(part, "wb") as f:
                     f.write(data)
                 os.replace(part, target)
                 sizes.append(len(data))
-            yield pd.DataFrame({"rel_path": batch["rel_path"], "n_bytes": pd.array(sizes, dtype="Int64")})
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), pa.array(sizes, pa.int64())], ["rel_path", "n_bytes"])
 
     checked = rows.select("rel_path", "content", F.coalesce(N.valid_relative_path(F.col("rel_path")), F.lit(False)).alias("ok"))
-    return checked.mapInPandas(write, "rel_path string, n_bytes long")
+    return checked.mapInArrow(write, "rel_path string, n_bytes long")
+
+
+def write_books(entries: DataFrame, root: str, head: str) -> None:
+    """A file for each book (columns book, entry): head, then its entries. A thousand files share a folder, named so that readers take the folders as one table; root is there even without any."""
+    os.makedirs(root, exist_ok=True)
+    place = F.concat(F.lit("shelf="), F.expr("book div 1000"), F.lit("/"), "book", F.lit(".yaml"))
+    texts = entries.groupBy("book").agg(F.concat(F.lit(head), F.array_join(F.collect_list("entry"), "")).alias("content"))
+    write_texts(texts.select(place.alias("rel_path"), "content"), root).write.format("noop").mode("overwrite").save()
 
 
 def playlist_files(playlists: DataFrame, folder: str) -> DataFrame:

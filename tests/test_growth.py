@@ -7,6 +7,8 @@ import __spark_entry__ as entry
 from shelfspark.functions import names as N
 from shelfspark.operators import enrich as E
 from shelfspark.operators import providers as P
+from shelfspark.sources import profiles as Y
+from shelfspark.sources import sinks as K
 
 
 def parses(df, name):
@@ -48,3 +50,20 @@ def test_keys_take_names_apart_once(spark):
     assert parses(out, "regexp_replace") <= 11
     keys = df.select(N.fuzzy_key(F.col("clean_name")).alias("k"))
     assert parses(keys, "regexp_replace") <= 3
+
+
+def test_registry_files_are_parsed_once(spark, tmp_path):
+    book = tmp_path / "a.yaml"
+    book.write_text("systems:\n  - {id: a, display_name: A, short_name: S, extensions: [.X]}\n  - {id: b}\n")
+    systems = Y.registry_systems(spark, str(tmp_path))
+    book.unlink()
+    assert sorted((r.id, r.ord, r.extensions, r.problem) for r in systems.collect()) == [("a", 0, [".x"], None), ("b", 1, [], "incomplete")]
+
+
+def test_books_share_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x\n"), (1, "x\n"), (7, "y\n"), (1002, "z\n")], "book long, entry string")
+    K.write_books(rows, str(tmp_path / "b"), "h\n")
+    K.write_books(rows.limit(0), str(tmp_path / "none"), "h\n")
+    assert {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*.yaml")} == {"b/shelf=0/1.yaml": "h\nx\nx\n", "b/shelf=0/7.yaml": "h\ny\n", "b/shelf=1/1002.yaml": "h\nz\n"}
+    assert spark.read.text(str(tmp_path / "b"), wholetext=True).count() == 3
+    assert Y.registry_systems(spark, str(tmp_path / "none")).count() == 0
