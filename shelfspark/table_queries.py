@@ -10,6 +10,7 @@ from shelfspark.operators import pages as G
 from shelfspark.operators import systems as Y
 from shelfspark.plans import saved as S
 from shelfspark.sources import profiles
+from shelfspark.sources import sinks as K
 from shelfspark.sources.shared import shared_dir, written
 
 QUERIES: dict = {}
@@ -95,10 +96,9 @@ def registry_refresh(spark, d):
     entry = "concat('  - id: sys', p_partkey, '\\n    display_name: \"', p_name, '\"\\n    short_name: S\\n    extensions: [', ext, ']\\n') AS entry"
 
     def load(rows, name):
-        path = shared_dir(spark, name)
-        books = rows.selectExpr("book", entry).groupBy("book")  # a hundred entries a file
-        books.agg(F.concat(F.lit("systems:\n"), F.array_join(F.collect_list("entry"), "")).alias("value")).write.partitionBy("book").text(path)
-        return profiles.registry_systems(spark, path)
+        root = shared_dir(spark, name).removeprefix("file://").removeprefix("file:")
+        K.write_books(rows.selectExpr("book", entry), root, "systems:\n")  # a hundred entries a file
+        return profiles.registry_systems(spark, root)
 
     own = part.selectExpr("p_partkey", "p_name", "p_size", "p_partkey div 100 AS book", "concat('.x', p_size) AS ext")
     current = part.selectExpr("concat('sys', p_partkey) AS id", "'old' AS display_name", "p_size").where("p_size > 25").drop("p_size")
