@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 
@@ -46,44 +47,55 @@ class Walk:
         self.max_depth, self.hidden, self.unreadable = max_depth, hidden, unreadable
         self.skip = {s.strip().lower() for s in skip if s.strip()}
 
-    def _entries(self, folder: str) -> list[os.DirEntry]:
+    def _entries(self, folder: str) -> Iterator[os.DirEntry]:
+        """Entries as they come, none held: a folder may have millions."""
         try:
             with os.scandir(folder) as found:
-                return sorted(found, key=lambda e: e.name)
+                yield from found
         except OSError:
-            return []
+            return
 
-    def _inside(self, entries: list[os.DirEntry]) -> list[str]:
-        kept = (e for e in entries if e.is_dir(follow_symlinks=False))
-        return [e.path for e in kept if e.name.lower() not in self.skip and (self.hidden or not e.name.startswith("."))]
+    def _entered(self, e: os.DirEntry) -> bool:
+        return e.is_dir(follow_symlinks=False) and e.name.lower() not in self.skip and (self.hidden or not e.name.startswith("."))
+
+    def _deeper(self, root: str, folder: str) -> bool:
+        depth = 0 if folder == root else os.path.relpath(folder, root).count(os.sep) + 1
+        return self.max_depth is None or depth + 1 < self.max_depth
 
     def folders(self, root: str, folder: str) -> list[str]:
         """Folders of a folder that are entered; none below the depth limit."""
-        depth = 0 if folder == root else os.path.relpath(folder, root).count(os.sep) + 1
-        return [] if self.max_depth is not None and depth + 1 >= self.max_depth else self._inside(self._entries(folder))
+        return sorted(e.path for e in self._entries(folder) if self._entered(e)) if self._deeper(root, folder) else []
 
-    def files(self, root: str, folder: str) -> Iterator[tuple]:
-        """Files of one folder in the columns of TREE_SCHEMA. A link to a file counts, a link to a folder doesn't."""
+    def _file(self, e: os.DirEntry, prefix: str) -> tuple | None:
+        """A file in the columns of TREE_SCHEMA. A link to a file counts, a link to a folder doesn't."""
+        size = mtime = None
+        try:
+            if e.is_file():
+                stat = e.stat()
+                size, mtime = stat.st_size, stat.st_mtime
+            elif not (self.unreadable and e.is_symlink() and not e.is_dir()):
+                return None
+        except OSError:
+            if not self.unreadable:
+                return None
+        return e.path, prefix + e.name, e.name, size, mtime
+
+    def files(self, root: str, folder: str, inside: list[str] | None = None) -> Iterator[tuple]:
+        """Files of one folder; the folders in it that are entered are added to inside."""
+        prefix = "" if folder == root else os.path.relpath(folder, root).replace(os.sep, "/") + "/"
+        deeper = inside is not None and self._deeper(root, folder)
         for e in self._entries(folder):
-            size = mtime = None
-            try:
-                if e.is_file():
-                    stat = e.stat()
-                    size, mtime = stat.st_size, stat.st_mtime
-                elif not (self.unreadable and e.is_symlink() and not e.is_dir()):
-                    continue
-            except OSError:
-                if not self.unreadable:
-                    continue
-            yield e.path, os.path.relpath(e.path, root).replace(os.sep, "/"), e.name, size, mtime
+            if deeper and self._entered(e):
+                inside.append(e.path)
+            row = self._file(e, prefix)
+            if row is not None:
+                yield row
 
     def below(self, root: str, folder: str) -> Iterator[tuple]:
-        """Files of a folder and of all folders under it."""
+        """Files of a folder and of all folders under it, each of which is read once."""
         todo = [folder]
         while todo:
-            at = todo.pop()
-            yield from self.files(root, at)
-            todo += self.folders(root, at)
+            yield from self.files(root, todo.pop(), todo)
 
 
 class Subtree(InputPartition):
@@ -107,8 +119,14 @@ class TreeReader(DataSourceReader):
             level = [sub for folder in level for sub in self.walk.folders(self.root, folder)]
         return parts + [Subtree(folder, True) for folder in level]
 
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        return self.walk.below(self.root, partition.folder) if partition.deep else self.walk.files(self.root, partition.folder)
+    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
+        rows = self.walk.below(self.root, partition.folder) if partition.deep else self.walk.files(self.root, partition.folder)
+        while held := list(islice(rows, 4096)):
+            yield _batch(held, _LISTED)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], find, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -119,13 +137,14 @@ def _rows(batches: Iterator[pa.RecordBatch], find, schema: pa.Schema) -> Iterato
             for row in find(root, folder):
                 held.append(row)
                 if len(held) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    yield _batch(held, schema)
                     held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        yield _batch(held, schema)
 
 
 _FILE = pa.schema([("root", pa.string()), ("path", pa.string()), ("rel_path", pa.string()), ("filename", pa.string()), ("size_bytes", pa.int64()), ("mtime", pa.float64())])
+_LISTED = pa.schema(list(_FILE)[1:])
 _FOLDER = pa.schema([("root", pa.string()), ("folder", pa.string()), ("deeper", pa.bool_())])
 
 

@@ -1,5 +1,8 @@
 """Work that grows with rows: it is dealt to tasks, and each row's texts are parsed once."""
 
+import contextlib
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from shelfspark.operators import enrich as E
 from shelfspark.operators import providers as P
 from shelfspark.sources import profiles as Y
 from shelfspark.sources import sinks as K
+from shelfspark.sources import tree as T
 
 
 def parses(df, name):
@@ -67,3 +71,30 @@ def test_books_share_folders(spark, tmp_path):
     assert {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*.yaml")} == {"b/shelf=0/1.yaml": "h\nx\nx\n", "b/shelf=0/7.yaml": "h\ny\n", "b/shelf=1/1002.yaml": "h\nz\n"}
     assert spark.read.text(str(tmp_path / "b"), wholetext=True).count() == 3
     assert Y.registry_systems(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_folders_are_listed_as_they_come(tmp_path, monkeypatch):
+    for name in ("a/x", "a/b/y", "z"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    real, calls = os.scandir, []
+    monkeypatch.setattr(os, "scandir", lambda folder: calls.append(folder) or real(folder))
+    assert sorted(r[1] for r in T.Walk().below(str(tmp_path), str(tmp_path))) == ["a/b/y", "a/x", "z"]
+    assert len(calls) == 3
+
+    def endless(folder):
+        @contextlib.contextmanager
+        def entries():
+            with real(tmp_path / "a") as found:
+                file = next(e for e in found if e.name == "x")
+
+            def more():
+                yield file
+                raise AssertionError("the whole folder is held")
+
+            yield more()
+
+        return entries()
+
+    monkeypatch.setattr(os, "scandir", endless)
+    assert next(T.Walk().files(str(tmp_path), str(tmp_path / "a")))[1:3] == ("a/x", "x")
