@@ -23,6 +23,7 @@ INES_MAGIC = "4E45531A"
 LYNX_MAGIC = "4C594E5800"
 Z64, V64, N64 = b"\x80\x37\x12\x40", b"\x37\x80\x40\x12", b"\x40\x12\x37\x80"
 PAYLOAD_LIMIT = 2 * 2**30
+N64_TITLE = (0x20, 20)
 SNES_OFFSETS = [0x7FC0, 0xFFC0]
 MEGADRIVE_OFFSETS = [0x150, 0x120]
 MEGADRIVE_MAGIC = ["SEGA MEGA DRIVE", "SEGA GENESIS", "SEGA 32X", "SEGA PICO"]
@@ -54,12 +55,13 @@ def big_endian(content: pd.Series) -> pd.Series:
 
 
 def normalized(content: Column, rule: Column) -> Column:
-    """The content without the header that its rule names; without a rule, as it is."""
+    """The content without the header that its rule names; without a rule, as it is. Only what has to be swapped goes to Python, which Spark would else ask about every row."""
+    swapped = (rule == "n64_byteswap") & F.hex(F.substring(content, 1, 4)).isin(V64.hex().upper(), N64.hex().upper())
     return (
         F.when((rule == "smc_512") & (F.octet_length(content) % 1024 == 512), _after(content, HEADER_BYTES["smc_512"]))
         .when((rule == "ines_16") & _magic(content, INES_MAGIC), _after(content, HEADER_BYTES["ines_16"]))
         .when((rule == "lynx_64") & _magic(content, LYNX_MAGIC), _after(content, HEADER_BYTES["lynx_64"]))
-        .when((rule == "n64_byteswap") & F.hex(F.substring(content, 1, 4)).isin(V64.hex().upper(), N64.hex().upper()), big_endian(content))
+        .when(swapped, big_endian(F.when(swapped, content)))
         .otherwise(content)
     )
 
@@ -144,11 +146,12 @@ def _best(content: Column, offsets: list[int], length: int) -> Column:
 def inner_title(content: Column, system: Column) -> Column:
     """The title inside a cartridge's header, null where the system has no slot or the content is too short."""
     bare = normalized(content, F.lit("smc_512"))
-    swapped = F.when(F.hex(F.substring(content, 1, 4)).isin(*(m.hex().upper() for m in (Z64, V64, N64))), normalized(content, F.lit("n64_byteswap")))
+    head = F.substring(content, 1, N64_TITLE[0] + N64_TITLE[1])  # whole units, so its swapped form is the beginning of the content's
+    swapped = F.when(F.hex(F.substring(content, 1, 4)).isin(*(m.hex().upper() for m in (Z64, V64, N64))), normalized(F.when(system == "n64", head), F.lit("n64_byteswap")))
     mega = F.decode(F.substring(content, 0x101, 16), "ISO-8859-1")
     out = (
         F.when(system == "snes", _best(bare, SNES_OFFSETS, 21))
-        .when(system == "n64", clean_title(_slot(swapped, 0x20, 20)))
+        .when(system == "n64", clean_title(_slot(swapped, *N64_TITLE)))
         .when((system == "megadrive") & F.greatest(*(mega.startswith(m) for m in MEGADRIVE_MAGIC)), _best(content, MEGADRIVE_OFFSETS, 48))
     )
     for name, (offset, length) in TITLE_SLOTS.items():

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from shelfspark.functions import content as B
 from shelfspark.functions import names as N
 from shelfspark.operators import enrich as E
 from shelfspark.operators import providers as P
@@ -98,3 +99,14 @@ def test_folders_are_listed_as_they_come(tmp_path, monkeypatch):
 
     monkeypatch.setattr(os, "scandir", endless)
     assert next(T.Walk().files(str(tmp_path), str(tmp_path / "a")))[1:3] == ("a/x", "x")
+
+
+def test_titles_send_only_heads_to_python(spark):
+    big = b"\x80\x37\x12\x40" + b"x" * 28 + b"GAME  ONE".ljust(20) + b"y" * 7
+    pairs = lambda b: b"".join(b[i : i + 2][::-1].ljust(2, b"\0") for i in range(0, len(b), 2))
+    words = lambda b: b"".join((b[i : i + 4] + b"\0" * 3)[:4][::-1] for i in range(0, len(b), 4))
+    contents = [big, pairs(big + b"z"), words(big + b"z"), pairs(big[:52]), pairs(big[:50]), b"x" * 80, None]
+    df = spark.createDataFrame([(i, bytearray(c) if c is not None else None, "n64") for i, c in enumerate(contents)], "i int, content binary, system string")
+    out = df.select("i", B.inner_title(F.col("content"), F.col("system")).alias("t"))
+    assert [r.t for r in out.orderBy("i").collect()] == ["GAME ONE", "GAME ONE", "GAME ONE", "GAME ONE", None, None, None]
+    assert "big_endian(content" not in out._jdf.queryExecution().optimizedPlan().toString()
